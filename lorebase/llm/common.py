@@ -88,3 +88,53 @@ def cached(key, make):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def whole_groups(batches, key: str = "g", least: int = 50_000):
+    """Arrow batches sorted by ``key`` regrouped into tables of whole groups, of at least ``least`` rows where possible."""
+    import numpy as np
+    import pyarrow as pa
+
+    held, n = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n < least:
+            continue
+        t = pa.Table.from_batches(held)
+        g = t.column(key).to_numpy()
+        at = int(np.flatnonzero(g != g[-1])[-1]) + 1 if g[0] != g[-1] else 0
+        if at:
+            yield t.slice(0, at)
+        held, n = t.slice(at).combine_chunks().to_batches(), t.num_rows - at
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def block_pairs(rows: DataFrame, keys: list[str], row: str, limit: int) -> DataFrame:
+    """Rows dealt to comparison groups ``g``: a group of ``keys`` of up to ``limit`` rows is one; a larger one is cut into
+    chunks by the hash of ``row``, and each pair of chunks (``lo`` <= ``hi``) is a group. ``chunk`` is a row's own."""
+    hot = rows.groupBy(*keys).count().where(F.col("count") > limit).select(*keys, F.ceil(F.col("count") / limit).cast("int").alias("_c"))
+    c = F.coalesce("_c", F.lit(1))
+    rows = rows.join(hot, keys, "left").withColumn("chunk", F.pmod(F.xxhash64(row), c).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), c - 1), lambda j: F.struct(F.least("chunk", j).alias("lo"), F.greatest("chunk", j).alias("hi")))
+    rows = rows.withColumn("_p", F.explode(pairs)).withColumn("lo", F.col("_p.lo")).withColumn("hi", F.col("_p.hi")).drop("_p", "_c")
+    return rows.withColumn("g", F.xxhash64(*keys, "lo", "hi")).repartition("g").sortWithinPartitions("g")
+
+
+def smallest_reachable(n: int, i, j):
+    """Smallest index reachable from each of ``n`` by the links (i, j), numpy arrays."""
+    import numpy as np
+
+    label = np.arange(n)
+    while True:
+        m = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, label[i], m)
+        np.minimum.at(new, label[j], m)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
