@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat, embedding_dedup, mixing, sharding, simhash, topk
+from . import chat, embedding_dedup, mixing, pii, sharding, simhash, topk
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op2_sharding": sharding.op2_sharding,
     "op5_mixing": mixing.op5_mixing,
     "op7_topk": topk.op7_topk,
+    "op8_pii": pii.op8_pii,
     "op9_simhash": simhash.op9_simhash,
     "op10_chat_formatting": chat.op10_chat_formatting,
 }
