@@ -5,8 +5,9 @@ document's count inverts the Poisson distribution of that mean at a uniform numb
 number of k with P(X <= k) <= u. Documents are exploded by their count and dealt out by a hash of (id, copy), then
 sorted by it within each partition: a global shuffle that any rerun repeats exactly.
 
-Statistics combine on the map side to a row a source. The join of documents with them has one row a source on one
-side, so a source with a third of all rows is broadcast against (when small) or split as a skewed partition.
+Statistics combine on the map side to a row a source, written as a small table. While that is below Spark's broadcast
+threshold the documents meet it without a shuffle; beyond, a sort-merge join with one row a source on its side lets
+adaptive execution split a source with a third of all rows.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 SEED, TEMPERATURE = "lorebase-mix", 0.5
 
@@ -66,7 +67,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     keep = [c for c in docs.columns if c not in ("mix_copy", "mix_key")]
     docs = docs.select(*keep)
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    table_ = rates(docs, weights, temperature).select("_source", poisson_cdf(F.col("_rate")).alias("_cdf"))
+    # written first: its size is then known, and only a table below the broadcast threshold is broadcast
+    table_ = cut(rates(docs, weights, temperature).select("_source", poisson_cdf(F.col("_rate")).alias("_cdf")).coalesce(1))
     counted = docs.withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit(""))).join(table_, "_source")
     counted = counted.withColumn("_u", uniform(seed, "count", doc)).withColumn("_n", F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))))
     copies = counted.where("_n > 0").select(*keep, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("mix_copy"))
