@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, chat, embedding_dedup, mixing, pii, sharding, simhash, topk
+from . import bpe, chat, embedding_dedup, mixing, pii, sharding, simhash, token_store, topk
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
     "op2_sharding": sharding.op2_sharding,
+    "op3_token_store": token_store.op3_token_store,
     "op4_bpe": bpe.op4_bpe,
     "op5_mixing": mixing.op5_mixing,
     "op7_topk": topk.op7_topk,
