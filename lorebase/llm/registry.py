@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, chat, embedding_dedup, mixing, pii, sharding, simhash, token_store, topk
+from . import bpe, chat, embedding_dedup, mixing, pii, sharding, simhash, token_store, topk, toxicity
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_token_store": token_store.op3_token_store,
     "op4_bpe": bpe.op4_bpe,
     "op5_mixing": mixing.op5_mixing,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_topk": topk.op7_topk,
     "op8_pii": pii.op8_pii,
     "op9_simhash": simhash.op9_simhash,
