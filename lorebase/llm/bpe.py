@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import cached, table
 
-VOCABULARY, SLICE_CHARS = "byte_bpe_50k.json", 1 << 24
+VOCABULARY, SLICE_CHARS = "byte_bpe_50k.json", 1 << 21
 
 # Text of these characters alone splits alike by the tokenizer's pattern and by the faster one below.
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧]")
@@ -70,7 +70,7 @@ class Encoder:
         self.longest = [1] * 256
         for s in self.id:
             self.longest[s[-1]] = max(self.longest[s[-1]], len(s))
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
         self.split_special = re.compile("|".join(map(re.escape, self.special))) if self.special else None
 
     def stay_apart(self, a: int, b: int) -> bool:
@@ -106,10 +106,10 @@ class Encoder:
                     if t is not None:
                         if k == d:
                             break
-                        pair = (state[d - k], t)
+                        pair = state[d - k] << 20 | t
                         ok = apart.get(pair)
                         if ok is None:
-                            ok = apart[pair] = self.stay_apart(*pair)
+                            ok = apart[pair] = self.stay_apart(state[d - k], t)
                         if ok:
                             break
                     k -= 1
@@ -182,6 +182,13 @@ def slices(lengths: list[int], limit: int = SLICE_CHARS):
         yield start, len(lengths)
 
 
+def lengths_of(texts) -> list[int]:
+    """Characters of each text of an Arrow array, 0 for null."""
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>) of each row of ``docs``; a null text is the empty one, which has no ids."""
     path = path or vocabulary()
@@ -192,9 +199,9 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
         own = encoder(path)
         for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            for s, e in slices(list(map(len, texts))):
-                flat, counts = own.encode_batch(texts[s:e])
+            rows = b.column("text")
+            for s, e in slices(lengths_of(rows)):
+                flat, counts = own.encode_batch([t or "" for t in rows.slice(s, e - s).to_pylist()])
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(s, e - s), lists], ["doc_id", "ids"])
 
@@ -219,9 +226,29 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
 
 
+def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, ids, text): ``decode(encode(docs))`` in one pass of one Python worker a task."""
+    path = path or vocabulary()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        own = encoder(path)
+        for b in batches:
+            rows = b.column("text")
+            for s, e in slices(lengths_of(rows)):
+                flat, counts = own.encode_batch([t or "" for t in rows.slice(s, e - s).to_pylist()])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(flat))
+                text = pa.array(own.decode_batch(flat, counts), pa.string())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(s, e - s), lists, text], ["doc_id", "ids", "text"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>, text string")
+
+
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, n_tokens, SHA-256 of its ids and of the text decoded from them."""
-    both = decode(encode(docs, path), path)
+    both = round_trip(docs, path)
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
     )
