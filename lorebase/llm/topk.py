@@ -54,7 +54,8 @@ def _with_distances(pivots: dict[int, list[list[int]]]):
             for dim in {len(v) for v in x}:
                 at = [i for i, v in enumerate(x) if len(v) == dim]
                 v = np.array([x[i] for i in at], np.float64).reshape(len(at), dim)
-                p = np.array(pivots.get(dim, [[0] * dim]), np.float64).reshape(-1, dim)
+                chosen = pivots.get(dim, [[0] * dim])
+                p = np.array(chosen, np.float64).reshape(len(chosen), dim)
                 d = np.sqrt(np.maximum((v * v).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None] - 2 * v @ p.T, 0))
                 far += list(zip(at, d.astype(np.float32)))
             far = [d.tobytes() for _, d in sorted(far, key=lambda y: y[0])]
