@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cached, table
 
-VOCABULARY, SLICE_CHARS = "byte_bpe_50k.json", 1 << 21
+VOCABULARY, SLICE_CHARS = "byte_bpe_50k.json", 1 << 22
 
 # Text of these characters alone splits alike by the tokenizer's pattern and by the faster one below.
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧]")
@@ -60,6 +61,7 @@ class Encoder:
             self.bytes[i] = s
         for s, i in self.special.items():
             self.bytes[i] = s.encode()
+        self.sizes = list(map(len, self.bytes))
         self.rank, self.merge, self.parts = [-1] * n, {}, [None] * n
         for r, m in enumerate(model["merges"]):
             a, b = (self.id[to_bytes(x)] for x in (m.split(" ") if isinstance(m, str) else m))
@@ -67,9 +69,9 @@ class Encoder:
             self.merge[a, b] = r
             if self.parts[c] is None:
                 self.rank[c], self.parts[c] = r, (a, b)
-        self.longest = [1] * 256
-        for s in self.id:
-            self.longest[s[-1]] = max(self.longest[s[-1]], len(s))
+        # an automaton over suffixes: a state is the longest one that begins a token; filled in as texts need it
+        self.beginnings = {t[:k] for t in self.id for k in range(1, len(t) + 1)}
+        self.suffix, self.number, self.next, self.ends = [b""], {b"": 0}, {}, [()]
         self.apart: dict[int, bool] = {}
         self.split_special = re.compile("|".join(map(re.escape, self.special))) if self.special else None
 
@@ -87,10 +89,22 @@ class Encoder:
             else:  # the leftmost of equal merges comes first, so one across the border would have come before b
                 limit, b = rank[b] + 1, parts[b][0]
 
+    def follow(self, state: int, byte: int) -> int:
+        """The state after one more byte; its tokens, longest first, are those that may end there."""
+        s = self.suffix[state] + bytes((byte,))
+        while s and s not in self.beginnings:
+            s = s[1:]
+        if s not in self.number:
+            self.number[s] = len(self.suffix)
+            self.suffix.append(s)
+            self.ends.append(tuple((self.id[s[k:]], len(s) - k) for k in range(len(s)) if s[k:] in self.id))
+        self.next[state << 8 | byte] = self.number[s]
+        return self.number[s]
+
     def encode_words(self, words) -> dict[bytes, list[int]]:
         """Ids of each distinct word, by one pass over the trie."""
-        out, before, state = {}, b"", [-1]
-        ids, longest, apart, size = self.id.get, self.longest, self.apart, list(map(len, self.bytes))
+        out, before, last, at = {}, b"", [-1], [0]  # by depth: last token, and state of the automaton
+        apart, follow, ends, size = self.apart, self.next, self.ends, self.sizes
         for w in sorted(words):
             n, depth, m = len(w), 0, min(len(w), len(before))
             if w[:m] == before[:m]:
@@ -98,27 +112,31 @@ class Encoder:
             else:
                 while w[depth] == before[depth]:
                     depth += 1
-            del state[depth + 1 :]
+            del last[depth + 1 :], at[depth + 1 :]
+            state = at[depth]
             for d in range(depth + 1, n + 1):
-                k = min(d, longest[w[d - 1]])
-                while True:
-                    t = ids(w[d - k : d])
-                    if t is not None:
-                        if k == d:
-                            break
-                        pair = state[d - k] << 20 | t
-                        ok = apart.get(pair)
-                        if ok is None:
-                            ok = apart[pair] = self.stay_apart(state[d - k], t)
-                        if ok:
-                            break
-                    k -= 1
-                state.append(t)
+                key = state << 8 | w[d - 1]
+                state = follow.get(key)
+                if state is None:
+                    state = self.follow(key >> 8, key & 255)
+                for t, k in ends[state]:
+                    if k == d:
+                        break
+                    pair = last[d - k] << 20 | t
+                    ok = apart.get(pair)
+                    if ok is None:
+                        ok = apart[pair] = self.stay_apart(last[d - k], t)
+                    if ok:
+                        break
+                last.append(t)
+                at.append(state)
             found, d = [], n
             while d:
-                found.append(state[d])
-                d -= size[state[d]]
-            out[w] = found[::-1]
+                t = last[d]
+                found.append(t)
+                d -= size[t]
+            found.reverse()
+            out[w] = found
             before = w
         return out
 
@@ -143,12 +161,13 @@ class Encoder:
         """(all ids as one array of 32-bit integers, number of ids of each text)."""
         import numpy as np
 
+        pack = lambda x: array("i", x).tobytes()
         split = [self.split(t) for t in texts]
         distinct = {w.encode(): w for w in {w for ws in split for w in ws} if w not in self.special}
-        ids = {distinct[b]: np.array(x, "<i4").tobytes() for b, x in self.encode_words(distinct).items()}
-        ids |= {w: np.array([i], "<i4").tobytes() for w, i in self.special.items()}
+        ids = {distinct[b]: pack(x) for b, x in self.encode_words(distinct).items()}
+        ids |= {w: pack([i]) for w, i in self.special.items()}
         found = [b"".join(map(ids.__getitem__, ws)) for ws in split]
-        return np.frombuffer(b"".join(found), "<i4"), np.array([len(f) // 4 for f in found], np.int64)
+        return np.frombuffer(b"".join(found), np.int32), np.array([len(f) // 4 for f in found], np.int64)
 
     def decode_batch(self, flat, counts) -> list[str]:
         """Texts of consecutive runs of ``flat``; bytes that are no UTF-8 become replacement characters."""
