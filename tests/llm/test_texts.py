@@ -1,0 +1,232 @@
+"""Operators on texts and rows, with nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
+
+import hashlib
+import random
+import re
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lorebase.llm import bpe, chat, mixing, pii, registry, sharding, token_store, toxicity
+
+ODD = [None, "", " ", "\n\n", "a", "Ünï cödé 漢字 🙂 <|endoftext|> x", "tab\tnbsp\xa0ctl\x1c\x85.", "it's we'll 123 ٣² ªº", "x" * 5000, "ab " * 3000]
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_against_sql(name, same):
+    same(name, registry.QUERIES, registry.ORACLES)
+
+
+def test_all_ten_are_registered():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES) == list(range(1, 11))
+
+
+def docs(spark, texts, **more):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({k: F.lit(v) for k, v in more.items()})
+
+
+def test_bpe_equals_the_library(spark):
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary()
+    library = Tokenizer.from_file(path)
+    rng = random.Random(1)
+    bits = ["a", "the", " ", "  ", "\n", "é", "漢", "🙂", "'s", "<|endoftext|>", "12", "²", "\x85", "_", "ǅ", "́"]
+    texts = ODD + ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    df = docs(spark, texts, ids="clash", n_tokens=1)
+    rows = sorted(bpe.round_trip(df).collect(), key=lambda r: r["doc_id"])
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [r["ids"] for r in rows] == want
+    assert [r["text"] for r in rows] == [library.decode(w, skip_special_tokens=False) for w in want]
+    parts = sorted(bpe.decode(bpe.encode(df)).collect(), key=lambda r: r["doc_id"])
+    assert parts == rows
+    d = next(r for r in bpe.digests(df).collect() if r["doc_id"] == 4)
+    assert d["ids_sha256"] == hashlib.sha256(b"64").hexdigest() and d["decoded_sha256"] == hashlib.sha256(b"a").hexdigest()
+    assert bpe.digests(df.limit(0)).count() == 0
+
+
+def test_invalid_bytes_decode_to_replacements():
+    e = bpe.encoder(bpe.vocabulary())
+    lone = np.array([e.id[b"\xc3"], e.id[b"a"]], np.int32)
+    assert e.decode_batch(lone, np.array([2])) == ["�a"]
+
+
+def test_coder_round_trip():
+    rng = np.random.default_rng(1)
+    blocks = [rng.integers(0, 65536, n) for n in (1, 2, 77, 4096)] + [np.zeros(4096, int), np.arange(3000) % 7, np.full(5, 65535), rng.zipf(1.4, 4096) % 50000]
+    coded = token_store.encode_blocks(blocks)
+    assert all((a == b).all() for a, b in zip(blocks, token_store.decode_blocks(coded)))
+    assert len(coded[4]) < 200 and len(coded[5]) < 300
+    for damage in (coded[3][:-20], coded[3][:40] + bytes([coded[3][40] ^ 1]) + coded[3][41:], b"LBT0" + coded[3][4:], b""):
+        with pytest.raises(ValueError):
+            token_store.decode_blocks([damage])
+    with pytest.raises(ValueError):
+        token_store.encode_blocks([np.array([70000])])
+
+
+def test_token_store_equals_the_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.vocabulary(token_store.VOCABULARY))
+    texts = ODD + ["Σίσυφος ΑΣ", "DON'T stop, No. 1!", "İstanbul ﬁne é"] + [f"word{k} " * (k % 50) for k in range(200)]
+    df = docs(spark, texts, start="clash").union(spark.createDataFrame([(3, "again", "x"), (None, "none", "x")], "doc_id long, text string, start string"))
+    path = f"file://{tmp_path}/tokens"
+    token_store.write(df.repartition(5), path)
+    got = sorted(((r["start"], r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in token_store.read(spark, path).collect()), key=lambda r: r[0])
+    order = sorted([(-1, "none"), (3, "again")] + [(i, t or "") for i, t in enumerate(texts)])
+    want, at = [], 0
+    for i, t in order:
+        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+        want.append((at, None if i < 0 else i, ids))
+        at += len(ids)
+    assert got == want
+    token_store.write(df.limit(0), path + "-empty")
+    assert token_store.read(spark, path + "-empty").count() == 0
+
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    out = []
+    for kind, p in BASE.items():
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m[0])
+            checksum = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+            if {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")), "card": 14 <= len(d) <= 19 and checksum, "phone": 10 <= len(d) <= 15}[kind]:
+                out.append((kind, m.start(), m.end()))
+    return sorted(out, key=lambda s: (s[1], list(BASE).index(s[0])))
+
+
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("a0159@@..- +()%é1") for _ in range(rng.randint(0, 40))) for _ in range(20_000)]
+    texts += ["4111 1111 1111 1111 a@b.c.d +1 (555) 123-4567 1.2.3.4.5.6.7.8 256.1.1.1 é@x.y"]
+    assert [pii.base_spans(t) for t in texts] == [plain_spans(t) for t in texts]
+
+
+def test_pii_adds_and_redacts(spark):
+    model = pii.train()
+    assert model == pii.train() and model["held_out_accuracy"] > 0.95
+    text = "My ssn: 123-45-6789, mail me: jane at example dot com or jo@x.org; order 123456789 from version 1.2.3"
+    base, every = pii.spans([text, None, ""], model)[0]
+    assert base == [("email", text.index("jo@"), text.index("jo@") + 8)]
+    assert {k for k, _, _ in every} >= {"email", "national_id", "obfuscated_email"} and len(every) == 3
+    df = docs(spark, [text, None, "", "+1 555 123 4567 " * 2000], base="clash").withColumn("n_chars", F.lit(5))
+    out = {r["doc_id"]: r for r in pii.redact_documents(df).collect()}
+    assert "[EMAIL]" in out[0]["text"] and "jo@" not in out[0]["text"] and out[1]["text"] is None and out[2]["text"] == ""
+    assert out[0]["n_chars"] == len(out[0]["text"]) and "555" not in out[3]["text"]
+    assert pii.detect(df.limit(0)).count() == 0
+
+
+def test_toxicity_learns_beginnings(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9)))
+    rows, labels = [], []
+    for i in range(1500):
+        w, toxic = [word() for _ in range(40)], i % 8 == 0
+        if toxic:
+            w[3:3] = [rng.choice(["idiot", "zuxxa" + word(), "scum"])] * rng.randint(1, 3)
+        rows.append((i, " ".join(w)))
+        if i % 3:
+            labels.append((i, int(toxic)))
+    rows += [(5000, None), (5001, ""), (None, "idiot"), (3, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
+    lab = spark.createDataFrame([*labels, (1, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(df, lab)
+    assert any(g.startswith("zuxx") for g in model["lexicon"])
+    got = toxicity.score(df, model).collect()
+    assert len(got) == len(rows)
+    wrong = [r["doc_id"] for r in got if r["doc_id"] is not None and r["doc_id"] < 1500 and (r["score"] >= 0.7) != (r["doc_id"] % 8 == 0)]
+    assert not wrong
+    assert all(r["score"] < 0.5 for r in got if r["doc_id"] in (5000, 5001))
+    assert toxicity.drop_toxic(df, lab).columns == df.columns
+    bare = toxicity.fit(df.limit(0), lab.limit(0))
+    assert toxicity.score(df.limit(0), bare).count() == 0
+    assert toxicity.score_texts(["what an idiot", "hello"], bare)[0] >= 0.7 > toxicity.score_texts(["hello"], bare)[0]
+
+
+def test_held_out_accuracy(spark, data):
+    d = data.replace("sf0.001", "sf0.1")
+    got = registry.QUERIES["op6_toxicity"](spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("toxic IS NOT NULL").toPandas()
+    assert (got["predicted"] == got["toxic"]).mean() > 0.97  # some 2,600 training rows; 1.0 on tables of 20,000
+    assert got[got["toxic"] == 0]["predicted"].mean() < 0.01
+
+
+def test_lookup_table_is_even():
+    names = [f"s{k}" for k in range(10)]
+    owner = sharding.lookup_table(names, 1009)
+    counts = np.bincount(owner)
+    assert counts.max() - counts.min() <= 1
+    fewer = sharding.lookup_table(names[:-1], 1009)
+    assert np.mean([a == b for a, b in zip(owner, fewer)]) > 0.75  # most slots keep their shard
+    for bad in ([names, 1000], [["a", "a"], 7], [[], 7], [names, 7]):
+        with pytest.raises(ValueError):
+            sharding.lookup_table(*bad)
+
+
+def test_placement(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "doc_id long, slot string")
+    got = sharding.place(df, "doc_id").collect()
+    assert len(got) == 3 and got[0]["shard"] is not None and len({r["shard"] for r in got}) <= 2
+    assert sharding.place(df.limit(0), "doc_id").count() == 0
+    sharding.write_shards(df, "doc_id", f"file://{tmp_path}/shards")
+    assert spark.read.parquet(f"file://{tmp_path}/shards").count() == 3
+
+
+def test_mixing_rates(spark):
+    rows = [(i, "x" * 9, "big") for i in range(4000)] + [(10_000 + i, "y" * 9, "small") for i in range(500)] + [(None, None, None), (7, "twin", "big"), (7, "twin", "big")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("mix_copy", F.lit("clash"))
+    counts = {r["source"]: r["count"] for r in mixing.mix(df, {"big": 0.5, "small": 0.5}).groupBy("source").count().collect()}
+    assert abs(counts["big"] / 2250 - 1) < 0.1 and abs(counts["small"] / 2250 - 1) < 0.1 and None not in counts
+    once = mixing.mix(df).select("doc_id", "mix_copy").collect()
+    assert sorted(once, key=str) == sorted(mixing.mix(df.repartition(7)).select("doc_id", "mix_copy").collect(), key=str)
+    assert mixing.mix(df, {}).count() == 0 and mixing.mix(df.limit(0)).count() == 0
+
+
+def test_poisson_cdf_is_exact(spark):
+    from math import exp
+
+    for rate in (0.0, 0.3, 4.0, 900.0):
+        cdf = spark.range(1).select(mixing.poisson_cdf(F.lit(rate)).alias("c")).first()["c"]
+        assert abs(cdf[-1] - 1) < 1e-9 and cdf == sorted(cdf)
+        assert cdf[0] == pytest.approx(exp(-rate))
+
+
+def test_snapshots_collapse(spark):
+    def log(conv, turns):
+        return [(conv, t, role, text) for t, role, text in turns]
+
+    long = [(k, "user" if k % 2 == 0 else "assistant", f"turn {k}") for k in range(1500)]
+    rows = log(1, long[:2]) + log(2, long[:4]) + log(3, long[:4]) + log(4, [*long[:2], (2, "user", "other")]) + log(5, long[1:3]) + log(6, [(None, "user", "a"), (0, None, None)])
+    rows += log(7, long) + log(8, [(0, "user", "twice"), (0, "user", "twice"), (5, "user", "gap")]) + log(9, [(10, "user", "turn 0"), (20, "assistant", "turn 1")]) + [(None, 0, "user", "lost")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("rank", F.lit("clash")).withColumn("part", F.lit(1))
+    got = {(r["conv_id"], r["part"]): r for r in chat.format_chats(df).collect()}
+    assert sorted({c for c, _ in got}) == [4, 5, 6, 7, 8]
+    assert got[7, 0]["n_turns"] == 1024 and got[7, 1]["n_turns"] == 476
+    assert got[7, 0]["text"].startswith("<|im_start|>user\nturn 0<|im_end|>\n<|im_start|>assistant\nturn 1<|im_end|>\n")
+    assert got[8, 0]["text"] == "<|im_start|>user\ntwice<|im_end|>\n<|im_start|>user\ngap<|im_end|>\n"
+    assert got[6, 0]["text"] == "<|im_start|>user\na<|im_end|>\n<|im_start|>\n<|im_end|>\n"
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_pipeline_keeps_clean_documents(spark, data):
+    import corpus_pipeline as cp
+
+    frame = spark.read.parquet(f"{data}/documents.parquet")
+    for name, stage in cp.STAGES:
+        before, frame = frame, stage(spark, frame, data).cache()
+        if name != "tokens":
+            assert frame.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        if name == "toxicity":
+            clean = {r["doc_id"] for r in spark.read.parquet(f"{data}/labels.parquet").where("toxic = 0").collect()}
+            assert clean <= {r["doc_id"] for r in frame.collect()}
+        if name == "near duplicates":
+            ids = [r["doc_id"] for r in frame.collect()]
+            assert len(ids) == len(set(ids)) and set(ids) <= {r["doc_id"] for r in before.collect()}
+        if name == "personal data":
+            assert not [s for r in frame.collect() for s in plain_spans(r["text"])]
+    assert frame.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and frame.count() == before.count() > 0
+    assert duckdb.__version__
