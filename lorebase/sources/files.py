@@ -75,10 +75,9 @@ def _fields(ddl: str) -> str:
 
 def read_pages(spark: SparkSession, root: str) -> DataFrame:
     """(path, page_type, slug, text) of the Markdown files below ``root``/wiki, paths relative to ``root``."""
-    got = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(f"{root}/wiki")
-    rel = F.concat(F.lit("wiki/"), F.substring_index(F.expr("_metadata.file_path"), "/wiki/", -1))
-    rel = F.url_decode(F.replace(rel, F.lit("+"), F.lit("%2B")))
-    return got.select(rel.alias("path"), F.split(rel, "/")[1].alias("page_type"), F.regexp_replace(F.substring_index(rel, "/", -1), r"\.md$", "").alias("slug"), F.col("value").alias("text"))
+    got = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(f"{root}/wiki")
+    rel = F.concat(F.lit("wiki/"), F.substring_index("path", "/wiki/", -1))
+    return got.select(rel.alias("path"), F.split(rel, "/")[1].alias("page_type"), F.regexp_replace(F.substring_index(rel, "/", -1), r"\.md$", "").alias("slug"), decode("content").alias("text"))
 
 
 def write_pages(pages: DataFrame, root: str) -> None:
