@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from .operators import merge as M
 from .operators import register as R
 from .operators import search as S
 from .plans import papers as P
-from .sources.durable import cut
+from .sources.durable import cut, shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -547,6 +549,20 @@ def canonical_entities(spark, d):
     return s.select("term", X.canonical("term", V.THEORIES).alias("theory"), X.canonical("term", V.METHODS).alias("method"))
 
 
+@query(f"WITH {_REGISTER} SELECT doc_id, kind AS source_type, file_hash FROM reg")
+def stream_register(spark, d):
+    """Documents registered by a stream over the table's files, each micro-batch written as a folder of its own."""
+    root = f"{shared_dir(spark)}/lorebase/stream-{uuid.uuid4().hex}"
+    rows = spark.readStream.schema("doc_id long, text string").option("pathGlobFilter", "documents.parquet").parquet(d)
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        kind = R.source_type(F.expr(_SUFFIX))
+        batch.select("doc_id", kind.alias("source_type"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("file_hash")).write.mode("overwrite").parquet(f"{root}/rows/batch={batch_id}")
+
+    rows.writeStream.foreachBatch(take).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/rows").select("doc_id", "source_type", "file_hash")
+
+
 @query()
 def paper_extraction(spark, d):
     """The whole record of every paper."""
