@@ -1,11 +1,11 @@
 """Operator 3: token ids in files of an adaptive context-mixing range coder.
 
 A block holds up to ``BLOCK`` consecutive ids and is coded by itself: models start empty, and a checksum of its ids
-closes it. Order-2 and order-1 contexts predict the id that followed them last, with a confidence. The likelihood that
-the leading prediction is right mixes three opinions in the logistic domain (how often predictions of that order-2
-confidence held, those of that order-1 confidence, and those of ids as frequent in the block: order 0) by weights that
-each block learns. A prediction that fails falls back to that of order 1, then to adaptive order-0 frequencies of the
-id's two bytes. The probabilities drive a range coder. All arithmetic is on integers, so any machine decodes alike.
+closes it. Order-2 and order-1 contexts predict the id that followed them last, with a confidence; the longest context
+that has been met leads. The likelihood that it is right mixes three opinions in the logistic domain (how often
+predictions of that order-2 confidence held, those of that order-1 confidence and agreement, and those of ids as
+frequent in the block: order 0) by weights that each block learns. Where it fails, the id's two bytes follow by
+adaptive order-0 frequencies. The probabilities drive a range coder. All arithmetic is on integers, so any machine decodes alike.
 
 Blocks are independent, so a task codes many at a time: step t handles the t-th id of every block, as arrays.
 
@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import byte_letters, slices, vocabulary
-from .common import cached, shared_dir, table
+from .bpe import byte_letters, lengths_of, slices, vocabulary
+from .common import cached, cut, shared_dir, table
 
-VOCABULARY, END, BLOCK, LANES, SLOTS, MAGIC = "word_bpe_49k.json", 2, 4096, 1024, 4096, b"LBT1"
+VOCABULARY, END, BLOCK, LANES, SLOTS, MAGIC = "word_bpe_49k.json", 2, 4096, 512, 4096, b"LBT1"
 BITS, BYTE_BITS, LOW_RANGE, REBUILD = 12, 14, 1 << 16, 128
 
 
@@ -112,82 +112,70 @@ def _code(lengths, ids=None, words=None):
     if decoding:
         ids = np.zeros((n, steps), np.int64)
     lane = np.arange(n)
-    one, two = np.zeros(n * SLOTS, np.int32), np.zeros(n * SLOTS, np.int32)  # id << 4 | confidence
-    seen = np.zeros(n * SLOTS, np.uint8)
-    by_two, by_one, by_zero, second = (np.full(n * k, 2048, np.int64) for k in (16, 32, 16, 16))
-    weight = np.full((3, n), 1 << 14, np.int64)
-    count = np.ones((2, n, 256), np.int32)
-    cum = np.zeros((2, n, 257), np.int32)
-    half, prev, prev2 = 1 << 15, np.zeros(n, np.int64), np.zeros(n, np.int64)
-    rebuild = 0
+    slots, six, wide, byte_row = lane * SLOTS, lane * 16, lane * 32, lane * 256
+    one, two = np.zeros(n * SLOTS, np.int64), np.zeros(n * SLOTS, np.int64)  # id << 4 | confidence
+    seen = np.zeros(n * SLOTS, np.int8)
+    by_two, by_one, by_zero = (np.full(n * k, 2048, np.int64) for k in (16, 32, 16))
+    weights = [np.full(n, 1 << 14, np.int64) for _ in range(3)]
+    count = np.ones((2, n * 256), np.int64)
+    low, freq, coarse = np.zeros((2, n * 256), np.int64), np.zeros((2, n * 256), np.int64), np.zeros((2, n, 16), np.int64)
+    prev, prev2, rebuild, full = np.zeros(n, np.int64), np.zeros(n, np.int64), 0, 1 << BITS
+    sixteen = np.arange(16)
 
     for t in range(steps):
         a = int(np.searchsorted(-lengths, -t, "left"))  # blocks that still have ids
         if t == rebuild:  # frequencies of the two bytes as slots; each keeps one at least
-            c = count[:, :a]
-            f = c.astype(np.int64) * ((1 << BYTE_BITS) - 256) // c.sum(axis=2, keepdims=True) + 1
-            np.cumsum(f, axis=2, out=cum[:, :a, 1:])
-            cum[:, :a, 256] = 1 << BYTE_BITS
+            c = count.reshape(2, n, 256)[:, :a]
+            f = c * ((1 << BYTE_BITS) - 256) // c.sum(axis=2, keepdims=True) + 1
+            ends = np.cumsum(f, axis=2)
+            f[:, :, 255] += (1 << BYTE_BITS) - ends[:, :, 255]
+            freq.reshape(2, n, 256)[:, :a] = f
+            low.reshape(2, n, 256)[:, :a, 1:] = ends[:, :, :-1]
+            coarse[:, :a] = low.reshape(2, n, 256)[:, :a, ::16]
             rebuild = max(t + 8, min(2 * t, t + REBUILD))
-        base = lane[:a] * SLOTS
+        base = slots[:a]
         at1 = base + ((prev[:a] * 2654435761 & 0xFFFFFFFF) >> 20)
-        at2 = base + (((prev[:a] * 2246822519 + prev2[:a] * 3266489917) & 0xFFFFFFFF) >> 20)
-        e1, e2 = one[at1].astype(np.int64), two[at2].astype(np.int64)
+        at2 = base + ((prev[:a] * 2246822519 + prev2[:a] * 3266489917 & 0xFFFFFFFF) >> 20)
+        e1, e2 = one[at1], two[at2]
         id1, c1, id2, c2 = e1 >> 4, e1 & 15, e2 >> 4, e2 & 15
         lead = np.where(c2 > 0, id2, id1)
-        has = (c1 > 0) | (c2 > 0)
-        at0 = base + ((lead * 2654435761 & 0xFFFFFFFF) >> 20)
-        s2, s1, s0 = lane[:a] * 16 + c2, lane[:a] * 32 + c1 + 16 * (id1 != lead), lane[:a] * 16 + np.minimum(seen[at0], 15)
-        p2, p1, p0 = by_two[s2], by_one[s1], by_zero[s0]
-        x = np.stack((stretch[p2], stretch[p1], stretch[p0]))
-        w = weight[:, :a]
-        p = squash[np.clip((w * x).sum(axis=0) >> 16, -2047, 2047) + 2047]
-        full = 1 << BITS
-
-        def flag(valid, p, right):
-            """Code whether ``right`` where ``valid``."""
-            hit = valid & (coder.bit_ahead(a, p) if decoding else right)
-            coder.step(a, np.where(valid & ~hit, p, 0), np.where(valid, np.where(hit, p, full - p), full), BITS)
-            return hit
-
+        has = (c1 | c2) > 0
+        s2, s1, s0 = six[:a] + c2, wide[:a] + c1 + 16 * (id1 != lead), six[:a] + seen[base + ((lead * 2654435761 & 0xFFFFFFFF) >> 20)]
+        opinions = [(by_two, s2, by_two[s2]), (by_one, s1, by_one[s1]), (by_zero, s0, by_zero[s0])]
+        xs = [stretch[q] for _, _, q in opinions]
+        p = squash[np.minimum(np.maximum(sum(w[:a] * x for w, x in zip(weights, xs)) >> 16, -2047), 2047) + 2047]
         now = None if decoding else ids[:a, t]
-        hit = flag(has, p, None if decoding else now == lead)
-        y = hit.astype(np.int64)
-        w += np.where(has, (x * (((y << BITS) - p) * 6) + half) >> 16, 0)
-        for table_, s, q, shift in ((by_two, s2, p2, 5), (by_one, s1, p1, 5), (by_zero, s0, p0, 5)):
-            table_[s] = np.clip(q + np.where(has, ((y << BITS) - q) >> shift, 0), 32, 4063)
-        other = ~hit & (c2 > 0) & (c1 > 0) & (id1 != lead)
-        s3 = lane[:a] * 16 + c1
-        p3 = second[s3]
-        hit3 = flag(other, p3, None if decoding else now == id1)
-        second[s3] = np.clip(p3 + np.where(other, ((hit3.astype(np.int64) << BITS) - p3) >> 5, 0), 32, 4063)
-        raw = ~hit & ~hit3
-        got = np.where(hit, lead, id1).astype(np.int64)
+        hit = has & (coder.bit_ahead(a, p) if decoding else now == lead)
+        miss = has & ~hit
+        coder.step(a, p * miss, np.where(has, np.where(hit, p, full - p), full), BITS)
+        target = hit * full
+        error = (target - p) * 6 * has
+        for w, x in zip(weights, xs):
+            w[:a] += (x * error + (1 << 15)) >> 16
+        for kept, s, q in opinions:
+            kept[s] = q + (((target - q) * has) >> 5)
+        raw = ~hit
         byte = [None, None]
         for k in (0, 1):
-            c = cum[k, :a].reshape(-1)
-            row = lane[:a] * 257
             if decoding:
-                v = coder.slot(a, BYTE_BITS)
-                b = np.zeros(a, np.int64)
-                for jump in (128, 64, 32, 16, 8, 4, 2, 1):
-                    b += np.where(c[row + b + jump] <= v, jump, 0)
+                v = coder.slot(a, BYTE_BITS)[:, None]
+                block = (coarse[k, :a] <= v).sum(axis=1) * 16 + byte_row[:a] - 16
+                at = block + (low[k][block[:, None] + sixteen] <= v).sum(axis=1) - 1
+                byte[k] = at & 255
             else:
-                b = (now >> 8, now & 255)[k]
-            low, high = c[row + b].astype(np.int64), c[row + b + 1].astype(np.int64)
-            coder.step(a, np.where(raw, low, 0), np.where(raw, high - low, 1 << BYTE_BITS), BYTE_BITS)
-            byte[k] = b
+                byte[k] = (now >> 8, now & 255)[k]
+                at = byte_row[:a] + byte[k]
+            coder.step(a, low[k][at] * raw, np.where(raw, freq[k][at], 1 << BYTE_BITS), BYTE_BITS)
+            count[k][byte_row[:a] + byte[k]] += raw
         if decoding:
-            now = np.where(raw, byte[0] << 8 | byte[1], got)
+            now = np.where(raw, byte[0] << 8 | byte[1], lead)
             ids[:a, t] = now
-        f = count.reshape(2, -1)
-        f[0, lane[:a] * 256 + (now >> 8)] += raw
-        f[1, lane[:a] * 256 + (now & 255)] += raw
-        for table_, at, e, known, conf in ((one, at1, e1, id1, c1), (two, at2, e2, id2, c2)):
+        for kept, at, e, known, conf in ((one, at1, e1, id1, c1), (two, at2, e2, id2, c2)):
             same = (known == now) & (conf > 0)
-            table_[at] = np.where(same, e + (conf < 15), np.where(conf > 1, (known << 4) | (conf >> 1), (now << 4) | 1))
+            kept[at] = np.where(same, e + (conf < 15), np.where(conf > 1, (known << 4) | (conf >> 1), (now << 4) | 1))
         at0 = base + ((now * 2654435761 & 0xFFFFFFFF) >> 20)
-        seen[at0] += seen[at0] < 255
+        met = seen[at0]
+        seen[at0] = met + (met < 15)
         prev2[:a], prev[:a] = prev[:a], now
     if decoding:
         return ids
@@ -325,9 +313,9 @@ def _write(path: str, end: int):
 
         close = struct.pack("<I", end)
         for b in batches:
-            texts, docs = [t or "" for t in b.column("text").to_pylist()], b.column("doc_id").to_pylist()
-            for s, e in slices(list(map(len, texts)), 1 << 23):
-                for i, found in zip(docs[s:e], own.encode(texts[s:e])):
+            texts, docs = b.column("text"), b.column("doc_id").to_pylist()
+            for s, e in slices(lengths_of(texts)):
+                for i, found in zip(docs[s:e], own.encode([t or "" for t in texts.slice(s, e - s).to_pylist()])):
                     got = np.frombuffer(found + close, "<u4")
                     starts.append((held, i, len(got)))
                     ids.append(got)
@@ -393,7 +381,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     blocks = spark.read.parquet(path)
     sizes = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a part
+    before = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = cut(before)  # a row a part; written, its known size lets Spark broadcast it
     ordered = blocks.select("part", "block", "doc_ids", "doc_lengths", "payload").repartition("part").sortWithinPartitions("part", "block")
     found = ordered.mapInArrow(run, "part long, doc_id long, start long, ids binary")
     return found.join(before, "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "ids")
