@@ -213,7 +213,7 @@ def _matched(spark, d) -> DataFrame:
     return R.first_match(rows, ["key_hash", "key_title"])
 
 
-_MATCH = r"""rows_ AS (SELECT doc_id AS seq, sha256(text) AS h, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '\s+', ' ', 'g')) AS t, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE doc_id IS NOT NULL),
+_MATCH = r"""rows_ AS MATERIALIZED (SELECT doc_id AS seq, sha256(text) AS h, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '\s+', ' ', 'g')) AS t, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE doc_id IS NOT NULL),
 walk(k, hs, ts, seqs, dup, seq) AS (
   SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], []::BIGINT[], NULL::BIGINT, NULL::BIGINT
   UNION ALL
