@@ -117,6 +117,7 @@ def block_pairs(rows: DataFrame, keys: list[str], row: str, limit: int) -> DataF
     """Rows dealt to comparison groups ``g``: a group of ``keys`` of up to ``limit`` rows is one; a larger one is cut into
     chunks by the hash of ``row``, and each pair of chunks (``lo`` <= ``hi``) is a group. ``chunk`` is a row's own."""
     hot = rows.groupBy(*keys).count().where(F.col("count") > limit).select(*keys, F.ceil(F.col("count") / limit).cast("int").alias("_c"))
+    hot = cut(hot.coalesce(8))  # written: its size is then known, and the rows meet it without a shuffle while it is small
     c = F.coalesce("_c", F.lit(1))
     rows = rows.join(hot, keys, "left").withColumn("chunk", F.pmod(F.xxhash64(row), c).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), c - 1), lambda j: F.struct(F.least("chunk", j).alias("lo"), F.greatest("chunk", j).alias("hi")))
