@@ -82,7 +82,8 @@ DOI = r"10\.\d{4,9}/[-._;()/:A-Z0-9]+"
 YEAR = r"\b(?:19|20)\d{2}\b"
 VOLUME_YEAR = r"제\s*\d+\s*권.*?((?:19|20)\d{2})\s*년"
 NO_TITLE = r"https?://|doi|제\s*\d+\s*권|vol\.|©|@|^\W"
-PHRASE = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})\b"
+#: Borders and white space spelled out: in Java, marks belong to words, superscripts do not, and \s lacks \x1c-\x1f.
+PHRASE = r"(?<![\p{L}\p{N}_])([A-Z][a-z]+(?:[\s\x1c-\x1f]+[A-Z][a-z]+){1,3})(?![\p{L}\p{N}_])"
 PHRASE_STOP = ["The", "This", "These", "We", "In", "Our"]
 ORDINAL_PREFIX = r"^(첫째|둘째|셋째|넷째|다섯째|또한|아울러|그리고|따라서|즉|마지막으로|first(ly)?|second(ly)?|third(ly)?|also|finally|moreover)\s*,?\s*"
 FUTURE_PREFIX = r"^(향후\s*연구에서는|future research)\s*"

@@ -142,7 +142,7 @@ def phrases_of(abstract_: Column | str, text: Column | str) -> Column:
 def concepts(keyword_rows: Column, phrases: Column, journal_: Column) -> Column:
     """Keywords, or else ``phrases`` by frequency; without known entities and the journal; twelve at most."""
     counted = F.array_sort(F.transform(F.array_distinct(phrases), lambda p: F.struct((-F.size(F.filter(phrases, lambda x: x == p))).alias("n"), p.alias("p"))))
-    fallback = F.filter(F.transform(counted, lambda c: c["p"]), lambda p: ~F.regexp_extract(p, r"^\S+", 0).isin(V.PHRASE_STOP))
+    fallback = F.filter(F.transform(counted, lambda c: c["p"]), lambda p: ~F.regexp_extract(p, "^[A-Za-z]+", 0).isin(V.PHRASE_STOP))
     found = F.when(F.size(keyword_rows) > 0, keyword_rows).otherwise(fallback)
     keep = lambda c: ~is_known(c) & (F.lower(c) != F.coalesce(F.lower(journal_), F.lit("")))
     return F.slice(F.array_distinct(F.filter(found, keep)), 1, 12)

@@ -357,7 +357,7 @@ def concepts(spark, d):
 counted AS (SELECT doc_id, p, count(*) AS n FROM phrases GROUP BY ALL)
 SELECT doc_id, list(p ORDER BY n DESC, p)[1:12] AS phrases FROM counted WHERE regexp_extract(p, '^\S+') NOT IN ('The', 'This', 'These', 'We', 'In', 'Our') GROUP BY doc_id""")
 def concepts_fallback(spark, d):
-    s = _table(spark, d, "documents").where(F.col("doc_id").isNotNull() & F.rlike("text", F.lit(r"\A[\x00-\x7f]*\z"))).select("doc_id", X.phrases_of(F.lit(None).cast("string"), "text").alias("_p"))
+    s = _table(spark, d, "documents").where("doc_id IS NOT NULL").select("doc_id", X.phrases_of(F.lit(None).cast("string"), "text").alias("_p"))
     return s.select("doc_id", X.concepts(F.array().cast("array<string>"), F.col("_p"), F.lit(None).cast("string")).alias("phrases")).where(F.size("phrases") > 0)
 
 
