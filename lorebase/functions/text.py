@@ -115,7 +115,9 @@ def slug(name: Column | str) -> Column:
     s = F.lower(F.regexp_replace(name, "(?i)&(?:amp|lt|gt|quot|apos);", " "))
     s = F.regexp_replace(s, r"(?<=\p{N}),(?=\p{N})", "")
     s = F.btrim(F.regexp_replace(s, r"[^\p{L}\p{N}]+", "-"), F.lit("-"))
-    step = lambda acc, w: F.when(F.length(acc) + F.length(w) < 120, F.concat(acc, w, F.lit("-"))).otherwise(acc)
+    room = lambda acc, w: F.lit(120) - F.length(acc) - F.length(w)
+    # a word that does not fit is left out and later ones are tried; one that ends at 120 is the last
+    step = lambda acc, w: F.when((acc != "") & ~F.endswith(acc, F.lit("-")), acc).when(room(acc, w) > 0, F.concat(acc, w, F.lit("-"))).when(room(acc, w) == 0, F.concat(acc, w)).otherwise(acc)
     fits = F.btrim(F.aggregate(F.split(s, "-"), F.lit(""), step), F.lit("-"))
     cut = F.when(F.length(s) < 120, s).otherwise(F.coalesce(nonempty(fits), F.substring(s, 1, 120)))
     return F.coalesce(nonempty(cut), F.lit("untitled"))

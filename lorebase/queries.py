@@ -375,7 +375,7 @@ _NAMES = "SELECT doc_id, split_part(text, chr(10), 1)[1:100] AS name FROM docume
 
 @query(f"SELECT doc_id, CASE WHEN {_slug('name')} = '' THEN 'untitled' ELSE {_slug('name')} END AS slug FROM ({_NAMES})")
 def slug(spark, d):
-    return _table(spark, d, "documents").select("doc_id", T.slug(F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 100)).alias("slug"))
+    return _table(spark, d, "documents").select("doc_id", T.slug(F.split_part("text", F.lit("\n"), F.lit(1))).alias("slug"))
 
 
 @query(f"WITH {_FIELDS} SELECT source_id, {_link('papers', 'title', 'ref')} AS cite, list_transform(concepts, lambda c: {_link('concepts', 'c')}) AS links FROM ex")

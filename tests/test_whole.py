@@ -1,6 +1,7 @@
 """Queries on the rows and texts that their SQL leaves out, beside plain Python."""
 
 import re
+import unicodedata
 
 from lorebase import queries
 from lorebase.functions import values as V
@@ -31,3 +32,31 @@ def test_concepts_fallback_takes_texts_of_any_script(spark, data, tmp_path):
         want = {i: p for i, t in texts.items() if (p := plain_phrases(t))}
         assert {r["doc_id"]: r["phrases"] for r in queries.concepts_fallback(spark, d).collect()} == want
         assert d == data or {0, 1, 3} <= set(want)
+
+
+def plain_slug(text):
+    """The library's rule: 120 characters, words that do not fit left out, up to a word that ends at 120."""
+    s = re.sub("(?i)&(?:amp|lt|gt|quot|apos);", " ", text.split("\n")[0]).lower()
+    s = re.sub(r"[\W_]+", "-", re.sub(r"(?<=\d),(?=\d)", "", s)).strip("-")
+    if len(s) < 120:
+        return s or "untitled"
+    if "-" not in s:
+        return s[:120]
+    out = ""
+    for w in s.split("-"):
+        if len(out) + len(w) < 120:
+            out += w + "-"
+        elif len(out) + len(w) == 120:
+            out += w
+            break
+    return (out or s[:120]).strip("-")
+
+
+def test_slug_takes_the_whole_first_line(spark, data, tmp_path):
+    odd = ["a" * 59 + " " + "b" * 60 + " c", "a" * 59 + " " + "b" * 61 + " c", "a" * 119, "a" * 120, "a" * 121, "a" * 130 + " " + "b" * 130, "a" * 130 + " word", "가나 " * 60 + "\nx", "word " * 40, "ab " * 39 + "xyz more", "", "--", "x" * 101 + " tail\nnext"]
+    odd += ["w" * 50 + " " + "v" * k + " " + "u" * (67 - k + d) + " z" for k in (10, 30) for d in (0, 1, 2, 3)]
+    for d in (table(spark, tmp_path, odd), data):
+        texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
+        kept = {i: t for i, t in texts.items() if t is not None and unicodedata.is_normalized("NFKC", t.split("\n")[0])}
+        got = {r["doc_id"]: r["slug"] for r in queries.slug(spark, d).collect()}
+        assert len(got) == len(texts) and {i: got[i] for i in kept} == {i: plain_slug(t) for i, t in kept.items()}
