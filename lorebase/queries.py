@@ -396,7 +396,7 @@ def wiki_bullets(spark, d):
 
 @query(f"WITH {_LOG} SELECT page_type, slug, arg_min(name, (seq, step, pos)) AS name, min(seq) AS first_seq, count(DISTINCT seq) AS n_sources FROM slugged GROUP BY ALL")
 def wiki_pages(spark, d):
-    return M.pages(log(spark, d, False))
+    return M.pages(log(spark, d))
 
 
 _TOUCH = _LOG + """, touch AS (SELECT s.seq, s.page_type, s.slug, min((s.seq, s.step, s.pos)) AS own_at FROM slugged s GROUP BY ALL),
@@ -416,7 +416,7 @@ def effects(spark, d):
 @query(f"""WITH {_TOUCH} SELECT seq, page_type, slug, CASE WHEN NOT existed THEN 'created' ELSE 'updated' END AS change FROM effects
 WHERE NOT existed OR page_type = 'overviews' OR (effect IS NOT NULL AND (added OR effect <> 'unchanged'))""")
 def page_changes(spark, d):
-    return M.changes(log(spark, d, False)).drop("source_id")
+    return M.changes(log(spark, d)).drop("source_id")
 
 
 @query(f"WITH {_LOG} SELECT slug, section, count(*) AS n, sha256(string_agg('- ' || line, chr(10) ORDER BY seq, step, pos)) AS body_sha256 FROM firsts WHERE k = 1 AND page_type = 'overviews' GROUP BY ALL")
@@ -450,13 +450,13 @@ texts AS (SELECT page_type, slug, name, '# ' || name || chr(10) || chr(10) || st
 
 @query(f"WITH {_RENDER} SELECT page_type, slug, name, sha256(text) AS text_sha256 FROM texts")
 def page_render(spark, d):
-    got = M.page_texts(log(spark, d, False))
+    got = M.page_texts(log(spark, d))
     return got.select("page_type", "slug", "name", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query(f"WITH {_RENDER} SELECT page_type, slug, name AS title, len(string_split(text, chr(10) || '## ')) - 1 AS n_sections FROM texts")
 def page_parse_roundtrip(spark, d):
-    got = M.page_texts(log(spark, d, False)).select("page_type", "slug", M.parse_page("text").alias("p"))
+    got = M.page_texts(log(spark, d)).select("page_type", "slug", M.parse_page("text").alias("p"))
     return got.select("page_type", "slug", "p.title", F.size("p.sections").cast("long").alias("n_sections"))
 
 
