@@ -78,7 +78,7 @@ _GENERATORS = {
     "national_id": re.compile(r"(?<![\w.-])[0-9]{3}[ -]?[0-9]{2}[ -]?[0-9]{4}(?![\w-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
     "local_phone": re.compile(r"(?<![\w+.-])\(?[0-9]{2,5}\)?(?:[ ./-][0-9]{2,5}){1,4}(?![\w-])"),
-    "secret": re.compile(r"(?<![\w/+-])[A-Za-z0-9_/+-]{20,128}={0,2}(?![\w/+-])"),
+    "secret": re.compile(r"(?<![\w/+-])[A-Za-z0-9_/+-]{20,}+={0,2}(?![\w/+-])"),
 }
 #: Words that speak for or against personal data.
 _FOR = re.compile(r"(?i)phone|call|tel\b|mobile|contact|mail|write|reach|ssn|social|iban|account|bank|key|token|secret|password|passwd|api|auth|bearer|id\b|ring|fax")
@@ -162,6 +162,16 @@ def examples(n: int = EXAMPLES, seed: int = SEED) -> list[tuple[str, str, int, i
         text = f"{head} " if head else ""
         s = make()
         out.append((kind, f"{text}{s} {filler()}", len(text), len(text) + len(s), i % 2))
+    # keys and tokens of any length, against long sums, rules, words and paths
+    long_good = lambda k: r.choice(["", "eyJ", "ghp_", "sk_live_"]) + word(k, k, r.choice([mixed, mixed + "+/", mixed + "-_"]))
+    long_bad = lambda k: r.choice([lambda: word(k, k, "0123456789abcdef"), lambda: num(k), lambda: r.choice("-_/+ax") * k, lambda: word(k, k), lambda: "/".join(word(3, 9) for _ in range(k // 7 + 3)), lambda: "-".join(word(3, 9) for _ in range(k // 7 + 3))])()
+    for i in range(n // 8):
+        s, words = (long_good if i % 2 else long_bad)(int(2 ** r.uniform(5, 12))), (good if i % 2 else bad)[-1][2]
+        head = f"{filler()} {r.choice(words)}".strip()
+        text = f"{head} " if head else ""
+        if i % 4 == 1:  # the payload of a token in parts
+            text, s = f"{text}eyJ{word(17, 60, mixed)}.", s + f"eyJ{word(10, 10, mixed)}"
+        out.append(("secret", f"{text}{s} {filler()}", len(text), len(text) + len(s), i % 2))
     return out
 
 
