@@ -553,7 +553,10 @@ def canonical_entities(spark, d):
 def stream_register(spark, d):
     """Documents registered by a stream over the table's files, each micro-batch written as a folder of its own."""
     root = f"{shared_dir(spark)}/lorebase/stream-{uuid.uuid4().hex}"
-    rows = spark.readStream.schema("doc_id long, text string").option("pathGlobFilter", "documents.parquet").parquet(d)
+    reader, path = spark.readStream.schema("doc_id long, text string"), spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    folder = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    # a stream reads folders: a table that is one file is picked from the folder it lies in
+    rows = reader.parquet(f"{d}/documents.parquet") if folder else reader.option("pathGlobFilter", "documents.parquet").parquet(d)
 
     def take(batch: DataFrame, batch_id: int) -> None:
         kind = R.source_type(F.expr(_SUFFIX))

@@ -151,3 +151,11 @@ def test_secrets_of_any_length():
     assert jwt.split(".")[1] not in pii.redact(text, pii.spans([text], model)[0][1])
     for plain in ("-" * 400, "a" * 400, "0123456789abcdef" * 40):
         assert pii.spans([f"the {plain} word"], model)[0][1] == []
+
+
+def test_stream_reads_a_folder_of_part_files(spark, tmp_path):
+    d = table(spark, tmp_path, ["one", "twö", None])
+    spark.createDataFrame([(9, "three")], "doc_id long, text string").write.mode("append").parquet(f"{d}/documents.parquet")
+    df = queries.stream_register(spark, d)
+    cols, theirs = compare.duck(d, queries.ORACLES["stream_register"])
+    assert compare.rows_of(df.columns, df.collect()) == compare.rows_of(cols, theirs) and len(theirs) == 4
