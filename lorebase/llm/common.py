@@ -1,51 +1,52 @@
-"""Helpers shared by the operators: durable intermediate tables, connected components, worker caches."""
+"""Helpers shared by the operators: connected components, comparison groups, private columns, worker caches."""
 
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.durable import cut, forget, made, release, scratch, shared_dir  # noqa: F401
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lorebase-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: Edge tables of up to so many rows are finished in one task, by the same rule as larger ones; 16 bytes a row.
+FINISH = 1_000_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lorebase/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lorebase_path = path
-    return out
+def private(names: list[str], *wanted: str) -> list[str]:
+    """Names for helper columns that clash with none of ``names``, whatever their case."""
+    taken, prefix = {n.lower() for n in names}, "_lb_"
+    while any(n.startswith(prefix) for n in taken):
+        prefix = "_" + prefix
+    return [prefix + w for w in wanted]
+
 
+def others(df: DataFrame, *replaced: str) -> list[str]:
+    """Columns of ``df``, quoted, without those that are called ``replaced`` in any case."""
+    return [f"`{c.replace('`', '``')}`" for c in df.columns if c.lower() not in {r.lower() for r in replaced}]
 
-def release(*frames: DataFrame) -> None:
-    """Delete tables made by ``cut`` that no later plan reads."""
-    for df in frames:
-        path = getattr(df, "_lorebase_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
+def _finish(batches):
+    import numpy as np
+    import pyarrow as pa
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    a, b = (np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
+    ids, at = np.unique(np.r_[a, b], return_inverse=True)
+    label = smallest_reachable(len(ids), at[: len(a)], at[len(a) :])
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label] if len(ids) else ids)], ["id", "parent"])
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", finish: int = FINISH) -> DataFrame:
     """Smallest reachable id of every id that occurs in ``edges``: columns ``id``, ``component``.
 
-    Rounds of contraction: each id points to its smallest neighbour (or itself), edges are relabelled by that
-    pointer, loops and repeats vanish. Each round is written to the shared folder. Null ends and self-loops link
-    nothing. Group-bys combine on the map side and the joins have one row per key on one side, so a hub of
-    millions of edges is split by adaptive skew handling.
+    Rounds of contraction. Each id points to its smallest neighbour or itself, pointers are followed until they stand
+    still (each jump doubles their reach), edges are relabelled by them, loops and repeats vanish. An id that absorbs
+    none in one round has a smaller neighbour in the next, so the ids at least halve in two rounds and rounds grow with
+    their logarithm. When ``finish`` edges or
+    fewer are left, one task gets the same labels by the same rule. Every table is written to the shared folder and
+    deleted when the next one is. Null ends and self-loops link nothing. Group-bys combine on the map side and the
+    joins have one row per key on one side, so a hub of millions of edges is split by adaptive skew handling.
     """
     e = cut(
         edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
@@ -53,9 +54,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .distinct()
     )
     parents: list[DataFrame] = []
-    while not e.isEmpty():
+    while (n := e.count()) > finish:
         both = e.select(F.col("a").alias("id"), F.col("b").alias("to")).union(e.select(F.col("b"), F.col("a")))
         p = cut(both.groupBy("id").agg(F.min("to").alias("to")).select("id", F.least("id", "to").alias("parent")))
+        while True:  # a pointer to a larger or equal id ends; others follow the pointer of where they point
+            up = p.select(F.col("id").alias("parent"), F.col("parent").alias("next"))
+            far = cut(p.join(up, "parent").select("id", F.col("next").alias("parent"), (F.col("next") != F.col("parent")).alias("moved")))
+            moved = far.where("moved").limit(1).count()
+            release(p)
+            p = far
+            if not moved:
+                break
+        p = p.select("id", "parent")
+        p._lorebase_path = far._lorebase_path
         parents.append(p)
         pa, pb = p.select(F.col("id").alias("a"), F.col("parent").alias("pa")), p.select(F.col("id").alias("b"), F.col("parent").alias("pb"))
         new = cut(
@@ -63,9 +74,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         )
         release(e)
         e = new
-    spark = edges.sparkSession
+    if n:
+        parents.append(cut(e.coalesce(1).mapInArrow(_finish, "id long, parent long")))
+        release(e)
     if not parents:
-        return spark.createDataFrame([], "id long, component long")
+        return edges.sparkSession.createDataFrame([], "id long, component long")
     out = parents[0].select("id", F.col("parent").alias("component"))
     for p in parents[1:]:
         step = p.select(F.col("id").alias("component"), F.col("parent").alias("_next"))

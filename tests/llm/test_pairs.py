@@ -31,6 +31,20 @@ def test_connected_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_need_few_rounds(spark):
+    from lorebase.llm import common
+
+    rng = random.Random(2)
+    ids = rng.sample(range(10**6), 5000)  # a path of ids in no order, one in order, a star about its largest id
+    pairs = list(zip(ids, ids[1:])) + [(2_000_000 + i, 2_000_001 + i) for i in range(4999)] + [(3_000_000 + i, 4_000_000) for i in range(3000)]
+    for finish, most in ((0, 20), (common.FINISH, 1)):
+        before = common.made()
+        got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "a long, b long"), finish=finish).collect()}
+        left = len(common.made() - before)
+        assert got == {i: min(ids) for i in ids} | {2_000_000 + i: 2_000_000 for i in range(5000)} | {i: 3_000_000 for i in [*range(3_000_000, 3_003_000), 4_000_000]}
+        assert left <= most  # one table of pointers a round
+
+
 def vectors():
     rng = np.random.default_rng(5)
     base = rng.standard_normal((60, 16))
