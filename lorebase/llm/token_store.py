@@ -1,246 +1,77 @@
 """Operator 3: token ids in files of an adaptive context-mixing range coder.
 
-A block holds up to ``BLOCK`` consecutive ids and is coded by itself: models start empty, and a checksum of its ids
-closes it. Order-2 and order-1 contexts predict the id that followed them last, with a confidence; the longest context
-that has been met leads. The likelihood that it is right mixes three opinions in the logistic domain (how often
-predictions of that order-2 confidence held, those of that order-1 confidence and agreement, and those of ids as
-frequent in the block: order 0) by weights that each block learns. Where it fails, the id's two bytes follow by
-adaptive order-0 frequencies. The probabilities drive a range coder. All arithmetic is on integers, so any machine decodes alike.
-
-Blocks are independent, so a task codes many at a time: step t handles the t-th id of every block, as arrays.
-
-Layout of a file table: Parquet rows (part, block, n_ids, payload, doc_ids, doc_lengths), uncompressed. ``part`` follows
-the order of doc_id; ``doc_ids`` and ``doc_lengths`` list the documents that start in the block, a document's ids may go on
-in the next ones. ``payload``: b"LBT1", number of ids and CRC-32 of the ids as little-endian 32-bit integers, then the
-code as 16-bit words. Spark's writers commit it, so a lost executor leaves no half-written file.
+A block holds consecutive ids of whole documents, ``BLOCK`` of them or a little more, and is coded by itself: models
+start empty, and a checksum of its ids closes it. Documents that would take it beyond ``LIMIT`` ids are cut there. The coder (``TokenCoder.java``) predicts ids from orders 2, 1 and 0, mixes how far it trusts each and drives a
+range coder. It runs in the JVM, as functions of one block: Spark's own compiler makes the classes on the driver, and
+executors get them as any jar of the session. No Python code touches coded ids.
+
+Layout of a file table: Parquet rows (part, block, n_ids, payload, pieces), uncompressed. ``part`` follows the order of
+doc_id. ``pieces`` lists what the block holds, in order: where the document starts in the part, its doc_id, its length,
+where in the document the piece begins, and how many ids it has. So every block is decoded by itself, wherever it is
+read, and only documents longer than a block are put together by a shuffle. Spark's writers commit the files, so a lost
+executor leaves no half-written one.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
+import io
 import re
-import struct
-import uuid
-import zlib
+import zipfile
+from array import array
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bpe import byte_letters, lengths_of, slices, vocabulary
-from .common import cached, cut, shared_dir, table
-
-VOCABULARY, END, BLOCK, LANES, SLOTS, MAGIC = "word_bpe_49k.json", 2, 4096, 512, 4096, b"LBT1"
-BITS, BYTE_BITS, LOW_RANGE, REBUILD = 12, 14, 1 << 16, 128
-
-
-def _tables():
-    import numpy as np
-
-    p = (np.arange(4096) + 0.5) / 4096
-    stretch = np.array([round(math.log(x / (1 - x)) * 256) for x in p], np.int64)
-    squash = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int64)
-    return stretch, squash
-
-
-class _Coder:
-    """Range coders of many blocks at once. ``words`` is what to decode, or None to encode."""
-
-    def __init__(self, n: int, capacity: int, words=None):
-        import numpy as np
-
-        self.np, self.range, self.at, self.rows = np, np.full(n, 0xFFFFFFFF, np.int64), np.zeros(n, np.int64), np.arange(n)
-        self.decoding = words is not None
-        if self.decoding:
-            self.words = words
-            self.low = (words[:, 0].astype(np.int64) << 16) | words[:, 1]
-            self.at += 2
-        else:
-            self.words, self.low = np.zeros((n, capacity), np.uint16), np.zeros(n, np.int64)
-
-    def slot(self, a: int, bits: int):
-        """Where the code of the first ``a`` blocks points among 2 ** ``bits`` slots."""
-        return self.np.minimum(self.low[:a] // (self.range[:a] >> bits), (1 << bits) - 1)
-
-    def bit_ahead(self, a: int, p):
-        """Whether the next bits are 1, whose slots are the first ``p`` of 2 ** BITS."""
-        return self.low[:a] < (self.range[:a] >> BITS) * p
-
-    def step(self, a: int, start, freq, bits: int) -> None:
-        np, low, width, at = self.np, self.low[:a], self.range[:a], self.at[:a]
-        unit = width >> bits
-        if self.decoding:
-            low -= unit * start
-        else:
-            low += unit * start
-            over = np.flatnonzero(low > 0xFFFFFFFF)
-            if len(over):
-                low[over] &= 0xFFFFFFFF
-                for i in over:
-                    k = at[i] - 1
-                    while self.words[i, k] == 0xFFFF:
-                        self.words[i, k] = 0
-                        k -= 1
-                    self.words[i, k] += 1
-        np.multiply(unit, freq, out=width)
-        small = np.flatnonzero(width < LOW_RANGE)
-        if len(small):
-            rows = self.rows[small]
-            if self.decoding:
-                low[small] = ((low[small] << 16) | self.words[rows, at[small]]) & 0xFFFFFFFFFFFF
-            else:
-                self.words[rows, at[small]] = low[small] >> 16
-                low[small] = (low[small] << 16) & 0xFFFFFFFF
-            width[small] <<= 16
-            at[small] += 1
-
-    def finish(self, lanes) -> None:
-        """Close the encoders of these blocks."""
-        for i in lanes:
-            self.words[i, self.at[i]], self.words[i, self.at[i] + 1] = int(self.low[i]) >> 16, int(self.low[i]) & 0xFFFF
-            self.at[i] += 2
-
-
-def _code(lengths, ids=None, words=None):
-    """Encode ``ids`` (blocks x steps, longest block first) to words, or decode ``words`` to ids."""
-    import numpy as np
-
-    stretch, squash = cached("coder tables", _tables)
-    n, steps = len(lengths), int(lengths[0])
-    coder = _Coder(n, 3 * steps + 16, words)
-    decoding = ids is None
-    if decoding:
-        ids = np.zeros((n, steps), np.int64)
-    lane = np.arange(n)
-    slots, six, wide, byte_row = lane * SLOTS, lane * 16, lane * 32, lane * 256
-    one, two = np.zeros(n * SLOTS, np.int64), np.zeros(n * SLOTS, np.int64)  # id << 4 | confidence
-    seen = np.zeros(n * SLOTS, np.int8)
-    by_two, by_one, by_zero = (np.full(n * k, 2048, np.int64) for k in (16, 32, 16))
-    weights = [np.full(n, 1 << 14, np.int64) for _ in range(3)]
-    count = np.ones((2, n * 256), np.int64)
-    low, freq, coarse = np.zeros((2, n * 256), np.int64), np.zeros((2, n * 256), np.int64), np.zeros((2, n, 16), np.int64)
-    prev, prev2, rebuild, full = np.zeros(n, np.int64), np.zeros(n, np.int64), 0, 1 << BITS
-    sixteen = np.arange(16)
-
-    for t in range(steps):
-        a = int(np.searchsorted(-lengths, -t, "left"))  # blocks that still have ids
-        if t == rebuild:  # frequencies of the two bytes as slots; each keeps one at least
-            c = count.reshape(2, n, 256)[:, :a]
-            f = c * ((1 << BYTE_BITS) - 256) // c.sum(axis=2, keepdims=True) + 1
-            ends = np.cumsum(f, axis=2)
-            f[:, :, 255] += (1 << BYTE_BITS) - ends[:, :, 255]
-            freq.reshape(2, n, 256)[:, :a] = f
-            low.reshape(2, n, 256)[:, :a, 1:] = ends[:, :, :-1]
-            coarse[:, :a] = low.reshape(2, n, 256)[:, :a, ::16]
-            rebuild = max(t + 8, min(2 * t, t + REBUILD))
-        base = slots[:a]
-        at1 = base + ((prev[:a] * 2654435761 & 0xFFFFFFFF) >> 20)
-        at2 = base + ((prev[:a] * 2246822519 + prev2[:a] * 3266489917 & 0xFFFFFFFF) >> 20)
-        e1, e2 = one[at1], two[at2]
-        id1, c1, id2, c2 = e1 >> 4, e1 & 15, e2 >> 4, e2 & 15
-        lead = np.where(c2 > 0, id2, id1)
-        has = (c1 | c2) > 0
-        s2, s1, s0 = six[:a] + c2, wide[:a] + c1 + 16 * (id1 != lead), six[:a] + seen[base + ((lead * 2654435761 & 0xFFFFFFFF) >> 20)]
-        opinions = [(by_two, s2, by_two[s2]), (by_one, s1, by_one[s1]), (by_zero, s0, by_zero[s0])]
-        xs = [stretch[q] for _, _, q in opinions]
-        p = squash[np.minimum(np.maximum(sum(w[:a] * x for w, x in zip(weights, xs)) >> 16, -2047), 2047) + 2047]
-        now = None if decoding else ids[:a, t]
-        hit = has & (coder.bit_ahead(a, p) if decoding else now == lead)
-        miss = has & ~hit
-        coder.step(a, p * miss, np.where(has, np.where(hit, p, full - p), full), BITS)
-        target = hit * full
-        error = (target - p) * 6 * has
-        for w, x in zip(weights, xs):
-            w[:a] += (x * error + (1 << 15)) >> 16
-        for kept, s, q in opinions:
-            kept[s] = q + (((target - q) * has) >> 5)
-        raw = ~hit
-        byte = [None, None]
-        for k in (0, 1):
-            if decoding:
-                v = coder.slot(a, BYTE_BITS)[:, None]
-                block = (coarse[k, :a] <= v).sum(axis=1) * 16 + byte_row[:a] - 16
-                at = block + (low[k][block[:, None] + sixteen] <= v).sum(axis=1) - 1
-                byte[k] = at & 255
-            else:
-                byte[k] = (now >> 8, now & 255)[k]
-                at = byte_row[:a] + byte[k]
-            coder.step(a, low[k][at] * raw, np.where(raw, freq[k][at], 1 << BYTE_BITS), BYTE_BITS)
-            count[k][byte_row[:a] + byte[k]] += raw
-        if decoding:
-            now = np.where(raw, byte[0] << 8 | byte[1], lead)
-            ids[:a, t] = now
-        for kept, at, e, known, conf in ((one, at1, e1, id1, c1), (two, at2, e2, id2, c2)):
-            same = (known == now) & (conf > 0)
-            kept[at] = np.where(same, e + (conf < 15), np.where(conf > 1, (known << 4) | (conf >> 1), (now << 4) | 1))
-        at0 = base + ((now * 2654435761 & 0xFFFFFFFF) >> 20)
-        met = seen[at0]
-        seen[at0] = met + (met < 15)
-        prev2[:a], prev[:a] = prev[:a], now
-    if decoding:
-        return ids
-    coder.finish(range(n))
-    return coder.words, coder.at
-
-
-def encode_blocks(blocks: list) -> list[bytes]:
-    """Payload of each block, a non-empty array of ids below 65,536."""
-    import numpy as np
-
-    out: list = [None] * len(blocks)
-    order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    for s in range(0, len(order), LANES):
-        some = order[s : s + LANES]
-        lengths = np.array([len(blocks[i]) for i in some])
-        ids = np.zeros((len(some), lengths[0]), np.int64)
-        for k, i in enumerate(some):
-            ids[k, : lengths[k]] = blocks[i]
-        if ids.min() < 0 or ids.max() >= 1 << 16 or not lengths[-1]:
-            raise ValueError("a block holds at least one id, and ids from 0 to 65535")
-        words, used = _code(lengths, ids=ids)
-        for k, i in enumerate(some):
-            plain = ids[k, : lengths[k]].astype("<u4").tobytes()
-            out[i] = MAGIC + struct.pack("<II", int(lengths[k]), zlib.crc32(plain)) + words[k, : used[k]].astype("<u2").tobytes()
-    return out
-
-
-def decode_blocks(payloads: list[bytes]) -> list:
-    """The ids of each block; a payload that is cut or changed is an error."""
-    import numpy as np
-
-    out: list = [None] * len(payloads)
-    head = [(p[:4], *struct.unpack_from("<II", p, 4)) if len(p) >= 12 else (b"", 0, 0) for p in payloads]
-    if any(h[0] != MAGIC or not h[1] for h in head):
-        raise ValueError("not a block of token ids")
-    order = sorted(range(len(payloads)), key=lambda i: -head[i][1])
-    for s in range(0, len(order), LANES):
-        some = order[s : s + LANES]
-        lengths = np.array([head[i][1] for i in some])
-        words = np.zeros((len(some), max((len(payloads[i]) - 12) // 2 for i in some) + 3 * 4 + 64), np.int64)
-        for k, i in enumerate(some):
-            got = np.frombuffer(payloads[i], "<u2", offset=12, count=(len(payloads[i]) - 12) // 2)
-            words[k, : len(got)] = got
-        try:
-            ids = _code(lengths, words=words)
-        except IndexError:
-            raise ValueError("a block of token ids is damaged") from None
-        for k, i in enumerate(some):
-            plain = ids[k, : lengths[k]].astype("<u4")
-            if zlib.crc32(plain.tobytes()) != head[i][2]:
-                raise ValueError("checksum of a block of token ids")
-            out[i] = plain
-    return out
-
-
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+from .common import cached, cut, scratch, shared_dir, table
+
+VOCABULARY, END, BLOCK, LIMIT, PIECES, AT_ONCE = "word_bpe_49k.json", 2, 1 << 15, 1 << 16, 1 << 19, 1 << 24
+FUNCTIONS = {"Encode": "binary", "Decode": "array<binary>", "Join": "binary"}
+_PIECES = "array<struct<start:bigint,doc_id:bigint,length:bigint,at:bigint,n:int>>"
+
+
+def coder(spark: SparkSession) -> dict[str, str]:
+    """SQL names of the coder's functions, made known to the session: ids -> payload, (payload, numbers) -> pieces, pieces -> ids."""
+    source = Path(__file__).with_name("TokenCoder.java").read_text()
+    mark = hashlib.sha256(source.encode()).hexdigest()[:12]
+    names = {k: f"lorebase_{k.lower()}_{mark}" for k in FUNCTIONS}
+    if all(spark.catalog.functionExists(n) for n in names.values()):
+        return names
+    jvm = spark._jvm
+    compiler = jvm.org.codehaus.janino.SimpleCompiler()
+    compiler.setParentClassLoader(jvm.java.lang.Thread.currentThread().getContextClassLoader())
+    compiler.cook(source)
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for name, code in compiler.getBytecodes().items():
+            z.writestr(name.replace(".", "/") + ".class", bytes(code))
+    path = f"{shared_dir(spark)}/lorebase/coder-{mark}.jar"
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(where, True)
+    out.write(packed.getvalue())
+    out.close()
+    spark.sql(f"ADD JAR '{path}'")
+    for k, kind in FUNCTIONS.items():
+        made = compiler.getClassLoader().loadClass(f"lorebase.TokenCoder${k}").newInstance()
+        spark._jsparkSession.udf().register(names[k], made, jvm.org.apache.spark.sql.types.DataType.fromDDL(kind))
+    return names
+
+
+_WORD = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
+_PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
+_PLAIN = re.compile(r"[a-z0-9ß-öø-ÿ!-&(-/:;=-@\[-`{-~]+")
+_ODD_SPACE = "[\x1c-\x1f]"
 
 
 class ChunkEncoder:
     """The tokenizers library's encoding, each distinct stretch between white space once.
 
-    White space is dropped by this kind of vocabulary and nothing is joined across it. A stretch of plain letters goes
-    to the library's model directly, as its normaliser (composed form, lower case) and splitter would hand it over.
+    White space is dropped by this kind of vocabulary and nothing is joined across it. A stretch of plain letters, digits
+    and marks is cut as the library's splitter cuts it, and its pieces go to the library's model directly, as its
+    normaliser (composed form, lower case) would hand them over. A worker keeps ``PIECES`` of them at most.
     """
 
     def __init__(self, path: str):
@@ -254,75 +85,108 @@ class ChunkEncoder:
         spec = json.load(open(path, encoding="utf-8"))
         kinds = [x.get("type") for x in (spec["normalizer"] or {}).get("normalizers", [])]
         self.by_chunk = kinds == ["NFC", "Replace", "Lowercase"] and spec["pre_tokenizer"].get("pretokenizers", [{}])[0].get("behavior") == "Removed"
+        self.by_chunk &= all(t["content"].startswith("<") for t in spec["added_tokens"])  # no piece below holds that mark
         self.letters = {b: c for c, b in byte_letters().items()}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        import numpy as np
-
-        pack = lambda ids: np.array(ids, "<u4").tobytes()
-        whole = [not self.by_chunk or bool(_ODD_SPACE.search(t)) for t in texts]
-        split = [[] if w else t.split() for t, w in zip(texts, whole)]
-        known, rest, pieces, model = {}, [], {}, self.tokenizer.model
-
-        def piece(s: str) -> bytes:
-            if s not in pieces:
-                pieces[s] = pack([t.id for t in model.tokenize(s.encode().decode("latin-1").translate(self.letters))]) if s else b""
-            return pieces[s]
-
-        for w in {w for ws in split for w in ws}:
-            if m := _PLAIN.fullmatch(w):
-                known[w] = piece(m[1].lower()) + piece(m[2])
-            else:
-                rest.append(w)
+        self.pieces: dict[str, bytes] = {}
+
+    def piece(self, s: str) -> bytes:
+        if len(self.pieces) >= PIECES:
+            self.pieces.clear()
+        written = s if s.isascii() else s.encode().decode("latin-1").translate(self.letters)
+        got = self.pieces[s] = array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
+        return got
+
+    def distinct(self, words: list[str]) -> list[bytes]:
+        """Ids of each stretch as 32-bit integers."""
+        out: list = [b""] * len(words)
+        rest, pieces, piece, word = [], self.pieces, self.piece, _WORD.fullmatch
+        for i, w in enumerate(words):
+            low = w.lower()
+            if (got := pieces.get(low)) is not None:
+                out[i] = got
+            elif m := word(low):
+                a, b = m.groups()
+                got = pieces.get(a) or piece(a)
+                out[i] = got + (pieces.get(b) or piece(b)) if b else got
+            elif _PLAIN.fullmatch(low):
+                out[i] = b"".join([pieces.get(p) or piece(p) for p in _PARTS.findall(low)])
+            elif w:
+                rest.append(i)
         for s in range(0, len(rest), 4096):
             some = rest[s : s + 4096]
-            known |= {w: pack(e.ids) for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False))}
-        direct = iter(self.tokenizer.encode_batch([t for t, w in zip(texts, whole) if w], add_special_tokens=False))
-        return [pack(next(direct).ids) if w else b"".join(map(known.__getitem__, ws)) for ws, w in zip(split, whole)]
+            for i, e in zip(some, self.tokenizer.encode_batch([words[i] for i in some], add_special_tokens=False)):
+                out[i] = array("I", e.ids).tobytes()
+        return out
 
+    def encode(self, texts):
+        """(ids of all ``texts``, an Arrow array of strings, and the number of ids of each)."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        odd = np.ones(len(texts), bool) if not self.by_chunk else pc.match_substring_regex(texts, _ODD_SPACE).to_numpy(zero_copy_only=False)
+        split = pc.utf8_split_whitespace(pc.replace_with_mask(texts, pa.array(odd), pa.scalar("", pa.large_string())) if odd.any() else texts)
+        words, ends = split.flatten().dictionary_encode(), np.diff(split.offsets.to_numpy()).cumsum()
+        known = self.distinct(words.dictionary.to_pylist())
+        flat, sizes = np.frombuffer(b"".join(known), np.uint32), np.array([len(k) // 4 for k in known], np.int64)
+        which = words.indices.to_numpy()
+        n = sizes[which]
+        done = np.r_[0, n.cumsum()]
+        ids = flat[np.repeat((sizes.cumsum() - sizes)[which] - done[:-1], n) + np.arange(done[-1])]
+        counts = np.diff(np.r_[0, done[ends]])
+        if odd.any():  # by the library itself, put in where they belong
+            at = np.flatnonzero(odd)
+            more = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts.take(pa.array(at)).to_pylist(), add_special_tokens=False)]
+            kept = np.split(ids, counts.cumsum()[:-1])
+            for i, m in zip(at, more):
+                kept[i], counts[i] = m, len(m)
+            ids = np.concatenate(kept)
+        return ids, counts
+
+
+def _blocks(path: str, end: int):
+    """Rows (part, block, n_ids, ids, pieces) of a partition of (doc_id, text)."""
 
-def _write(path: str, end: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
         own, part = cached(("chunks", path), lambda: ChunkEncoder(path)), TaskContext.get().partitionId()
-        ids, starts, held, block = [], [], 0, 0  # ids not yet written; (place among them, doc_id, length)
-        names = ["part", "block", "n_ids", "payload", "doc_ids", "doc_lengths"]
-
-        def out(last: bool):
-            nonlocal ids, starts, held, block
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-            whole = len(flat) if last else len(flat) // BLOCK * BLOCK
-            blocks = [flat[s : min(s + BLOCK, whole)] for s in range(0, whole, BLOCK)]
-            ids, held = [flat[whole:]], len(flat) - whole
-            docs: list = [[] for _ in blocks]
-            for at, i, n in starts:
-                if at < whole:
-                    docs[at // BLOCK].append((i, n))
-            starts = [(at - whole, i, n) for at, i, n in starts if at >= whole]
-            if blocks:
-                columns = [
-                    pa.array([part] * len(blocks), pa.int64()), pa.array(range(block, block + len(blocks)), pa.int64()), pa.array(list(map(len, blocks)), pa.int64()),
-                    pa.array(encode_blocks(blocks), pa.binary()), pa.array([[i for i, _ in d] for d in docs], pa.list_(pa.int64())), pa.array([[n for _, n in d] for d in docs], pa.list_(pa.int64())),
-                ]
-                block += len(blocks)
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-        close = struct.pack("<I", end)
+        left, pieces, held, block, start = np.zeros(0, np.uint32), [], 0, 0, 0  # of the block that is not yet closed
+        fields = [("start", pa.int64()), ("doc_id", pa.int64()), ("length", pa.int64()), ("at", pa.int64()), ("n", pa.int32())]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct(fields))]
+
+        def rows(ready):
+            nonlocal block
+            for s in range(0, len(ready), 16):
+                some = ready[s : s + 16]
+                lists = [[dict(zip((f for f, _ in fields), p)) for p in ps] for _, ps in some]
+                columns = [[part] * len(some), list(range(block, block + len(some))), [len(i) for i, _ in some], [i.tobytes() for i, _ in some], lists]
+                block += len(some)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "block", "n_ids", "ids", "pieces"])
+
         for b in batches:
             texts, docs = b.column("text"), b.column("doc_id").to_pylist()
-            for s, e in slices(lengths_of(texts)):
-                for i, found in zip(docs[s:e], own.encode([t or "" for t in texts.slice(s, e - s).to_pylist()])):
-                    got = np.frombuffer(found + close, "<u4")
-                    starts.append((held, i, len(got)))
-                    ids.append(got)
-                    held += len(got)
-                    if held >= LANES * BLOCK:
-                        yield from out(False)
-        yield from out(True)
+            for s, e in slices(lengths_of(texts), AT_ONCE):
+                ids, counts = own.encode(texts.slice(s, e - s))
+                flat = np.r_[left, np.insert(ids, counts.cumsum(), end).astype(np.uint32)]
+                ready, begin = [], 0
+                for i, n in zip(docs[s:e], (counts + 1).tolist()):
+                    at = 0
+                    while at < n:
+                        take = min(n - at, LIMIT - held)
+                        pieces.append((start, i, n, at, take))
+                        at, held = at + take, held + take
+                        if held == LIMIT or at == n and held >= BLOCK:
+                            ready.append((flat[begin : begin + held], pieces))
+                            begin, pieces, held = begin + held, [], 0
+                    start += n
+                left = flat[begin:].copy()
+                yield from rows(ready)
+        if pieces:
+            yield from rows([(left, pieces)])
 
     return run
 
@@ -330,65 +194,40 @@ def _write(path: str, end: int):
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END) -> None:
     """Write the ids of ``docs`` (doc_id, text), ``end`` after each document, in ascending order of doc_id.
 
-    Null ids come first, rows of one id in the order of their texts, null and empty texts are ``end`` alone. A text of
-    any length is cut into blocks. An empty table writes a file table without blocks.
+    Null ids come first, rows of one id in the order of a hash of their texts and then of the texts; null and empty
+    texts are ``end`` alone. Rows of one id are spread over tasks like any others. A text of any length is cut into
+    blocks. Other columns are ignored. An empty table writes a file table without blocks.
     """
-    tokenizer = tokenizer or vocabulary(VOCABULARY)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    made = rows.mapInArrow(_write(tokenizer, end), "part long, block long, n_ids long, payload binary, doc_ids array<long>, doc_lengths array<long>")
-    made.write.option("compression", "none").parquet(path)
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("p", F.spark_partition_id())
+    rows = rows.repartitionByRange("doc_id", "h", "p").sortWithinPartitions("doc_id", "h", "text")
+    made = rows.select("doc_id", "text").mapInArrow(_blocks(tokenizer or vocabulary(VOCABULARY), end), f"part long, block long, n_ids long, ids binary, pieces {_PIECES}")
+    coded = made.select("part", "block", "n_ids", F.call_function(coder(spark)["Encode"], "ids").alias("payload"), "pieces")
+    coded.write.option("compression", "none").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids): ids of each document as little-endian unsigned 32-bit integers, its end id included, and
-    the number of ids of all documents before it."""
-
-    def groups(batches):
-        """Up to ``LANES`` consecutive rows of one part."""
-        rows: list = []
-        for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("part", "doc_ids", "doc_lengths", "payload"))):
-                if rows and (row[0] != rows[0][0] or len(rows) == LANES):
-                    yield rows
-                    rows = []
-                rows.append(row)
-        if rows:
-            yield rows
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        part, held, docs, at = None, [], [], 0  # docs: (doc_id, length) still to be cut from ``held``
-        kinds = [("part", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())]
-        for rows in groups(batches):
-            if rows[0][0] != part:
-                part, held, docs, at = rows[0][0], [], [], 0
-            held += decode_blocks([r[3] for r in rows])
-            docs += [d for r in rows for d in zip(r[1], r[2])]
-            if sum(map(len, held)) < docs[0][1]:
-                continue  # the first document goes on
-            flat, done, s = np.concatenate(held), [], 0
-            for i, n in docs:
-                if s + n > len(flat):
-                    break
-                done.append((part, i, at, flat[s : s + n].tobytes()))
-                s, at = s + n, at + n
-            docs, held = docs[len(done) :], [flat[s:]]
-            for k in range(0, len(done), 5000):
-                columns = zip(*done[k : k + 5000])
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, kinds)], [n for n, _ in kinds])
-
-    blocks = spark.read.parquet(path)
+    the number of ids of all documents before it. A payload that is cut or changed is an error."""
+    own, blocks = coder(spark), spark.read.parquet(path)
     sizes = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = sizes.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     before = cut(before)  # a row a part; written, its known size lets Spark broadcast it
-    ordered = blocks.select("part", "block", "doc_ids", "doc_lengths", "payload").repartition("part").sortWithinPartitions("part", "block")
-    found = ordered.mapInArrow(run, "part long, doc_id long, start long, ids binary")
+
+    def pieces(some: DataFrame) -> DataFrame:
+        # the outer form keeps Spark from testing the decoded array for emptiness first, which would decode it twice
+        rows = F.explode_outer(F.arrays_zip(F.col("pieces"), F.call_function(own["Decode"], "payload", "pieces.n").alias("ids"))).alias("x")
+        return some.select("part", rows).select("part", "x.pieces.*", "x.ids")
+
+    whole = pieces(blocks.where("exists(pieces, p -> p.n = p.length)")).where("n = length").select("part", "start", "doc_id", "ids")
+    long = pieces(blocks.where("exists(pieces, p -> p.n < p.length)")).where("n < length").groupBy("part", "start", "doc_id")
+    long = long.agg(F.call_function(own["Join"], F.sort_array(F.collect_list(F.struct("at", "ids")))["ids"]).alias("ids"))
+    found = whole.unionByName(long)  # the pieces of one document: as many as its length takes
     return found.join(before, "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "ids")
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/lorebase/tokens-{uuid.uuid4().hex}"
+    path = scratch(spark, "tokens")
     write(table(spark, sf_dir, "documents"), path)
     return read(spark, path).select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

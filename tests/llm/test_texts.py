@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -53,17 +54,35 @@ def test_invalid_bytes_decode_to_replacements():
     assert e.decode_batch(lone, np.array([2])) == ["�a"]
 
 
-def test_coder_round_trip():
+def test_coder_round_trip(spark):
     rng = np.random.default_rng(1)
-    blocks = [rng.integers(0, 65536, n) for n in (1, 2, 77, 4096)] + [np.zeros(4096, int), np.arange(3000) % 7, np.full(5, 65535), rng.zipf(1.4, 4096) % 50000]
-    coded = token_store.encode_blocks(blocks)
-    assert all((a == b).all() for a, b in zip(blocks, token_store.decode_blocks(coded)))
-    assert len(coded[4]) < 200 and len(coded[5]) < 300
-    for damage in (coded[3][:-20], coded[3][:40] + bytes([coded[3][40] ^ 1]) + coded[3][41:], b"LBT0" + coded[3][4:], b""):
-        with pytest.raises(ValueError):
-            token_store.decode_blocks([damage])
-    with pytest.raises(ValueError):
-        token_store.encode_blocks([np.array([70000])])
+    blocks = [rng.integers(0, 65536, n) for n in (1, 2, 77, 4096, 65536)] + [np.zeros(4096, int), np.arange(3000) % 7, np.full(5, 65535), rng.zipf(1.4, 40_000) % 50000, np.arange(65536)]
+    own = token_store.coder(spark)
+    pack = lambda x: bytearray(np.asarray(x).astype("<u4").tobytes())
+    df = spark.createDataFrame([(k, pack(b)) for k, b in enumerate(blocks)], "k int, ids binary").withColumn("payload", F.call_function(own["Encode"], "ids"))
+    rows = df.withColumn("back", F.call_function(own["Decode"], "payload", F.array((F.length("ids") / 4).cast("int")))).orderBy("k").collect()
+    assert all(r["back"] == [r["ids"]] for r in rows)
+    assert len(rows[5]["payload"]) < 60 and len(rows[6]["payload"]) < 200
+    coded = bytes(rows[3]["payload"])
+    for damage in (coded[:-200], coded[:40] + bytes([coded[40] ^ 1]) + coded[41:], b"LBT0" + coded[4:], b""):
+        with pytest.raises(Exception, match="block of token ids"):
+            spark.createDataFrame([(bytearray(damage),)], "p binary").select(F.call_function(own["Decode"], "p", F.array(F.lit(4096)))).collect()
+    for bad in (pack([70000]), bytearray(), pack(np.zeros(65537))):
+        with pytest.raises(Exception, match="a block holds"):
+            spark.createDataFrame([(bad,)], "p binary").select(F.call_function(own["Encode"], "p")).collect()
+
+
+def test_coder_needs_fewer_bytes_than_zlib(spark, data, tmp_path):
+    path = f"file://{tmp_path}/tokens"
+    token_store.write(spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet").coalesce(1), path)
+    blocks = spark.read.parquet(path)
+    ids = blocks.select(F.explode(F.call_function(token_store.coder(spark)["Decode"], "payload", F.array(F.col("n_ids").cast("int")))).alias("x")).collect()
+    coded = blocks.agg(F.sum(F.length("payload"))).first()[0]
+    plain = [np.frombuffer(r["x"], "<u4").astype("<u2") for r in ids]
+    assert coded < 0.9 * sum(len(zlib.compress(b.tobytes(), 6)) for b in plain)
+    counts = np.bincount(np.concatenate(plain))
+    share = counts[counts > 0] / counts.sum()
+    assert coded < -(share * np.log2(share)).sum() / 8 * counts.sum()  # less than a static order-0 code with a free table
 
 
 def test_token_store_equals_the_library(spark, tmp_path):
@@ -75,7 +94,8 @@ def test_token_store_equals_the_library(spark, tmp_path):
     path = f"file://{tmp_path}/tokens"
     token_store.write(df.repartition(5), path)
     got = sorted(((r["start"], r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in token_store.read(spark, path).collect()), key=lambda r: r[0])
-    order = sorted([(-1, "none"), (3, "again")] + [(i, t or "") for i, t in enumerate(texts)])
+    hashed = {(r["doc_id"], r["text"]): r["h"] for r in df.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h")).collect()}
+    order = sorted([(-1, "none"), (3, "again")] + [(i, t or "") for i, t in enumerate(texts)], key=lambda r: (r[0], hashed[r], r[1]))
     want, at = [], 0
     for i, t in order:
         ids = [*library.encode(t, add_special_tokens=False).ids, 2]
@@ -86,6 +106,41 @@ def test_token_store_equals_the_library(spark, tmp_path):
     assert token_store.read(spark, path + "-empty").count() == 0
 
 
+def test_token_store_cuts_long_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "BLOCK", 40)
+    monkeypatch.setattr(token_store, "LIMIT", 64)
+    texts = ["w " * n for n in (0, 1, 39, 40, 62, 63, 64, 65, 500, 3, 127, 128, 39)]
+    df = docs(spark, texts)
+    token_store.write(df, f"file://{tmp_path}/t")
+    sizes = [r["n_ids"] for r in spark.read.parquet(f"file://{tmp_path}/t").collect()]
+    assert max(sizes) <= 64 and len(sizes) > 15
+    got = sorted((r["start"], r["doc_id"], len(r["ids"]) // 4) for r in token_store.read(spark, f"file://{tmp_path}/t").collect())
+    lengths = [len(t) // 2 + 1 for t in texts]
+    assert got == [(sum(lengths[:k]), k, n) for k, n in enumerate(lengths)]
+
+
+def test_whitespace_is_the_same_in_arrow_and_python():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    cut_up = [len(x) > 1 for x in pc.utf8_split_whitespace(pa.array([f"a{c}b" for c in every])).to_pylist()]
+    assert [c for c, k in zip(every, cut_up) if k] == [c for c in every if c.isspace()]
+
+
+def test_op3_query(spark, data):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.vocabulary(token_store.VOCABULARY))
+    texts = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect())
+    want, at = [], 0
+    for (i, _), e in zip(texts, library.encode_batch([t for _, t in texts], add_special_tokens=False)):
+        want.append((i, at, len(e.ids) + 1, zlib.crc32(np.array([*e.ids, 2], "<u4").tobytes())))
+        at += len(e.ids) + 1
+    got = registry.QUERIES["op3_token_store"](spark, data)
+    assert sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got.collect()) == want
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
