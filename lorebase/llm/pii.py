@@ -21,6 +21,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import lengths_of, slices
 from .common import table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -56,7 +57,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             end = max(end, at + 1)  # a local part ends at its own @, so nothing before this one can match later
         at = text.find("@", max(at + 1, end))
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split("."))):
             out.append(("ip", m.start(), m.end()))
     for m in _CHAIN.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(digits := _NOT_DIGIT.sub("", m[0])) <= 19 and luhn(digits):
@@ -310,7 +311,12 @@ def redact(text: str, found: list[tuple[str, int, int]]) -> str:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, spans) of each row of ``docs``: arrays of (kind, start, end). Repeated rows are rows each."""
+    """(doc_id, base, spans) of each row of ``docs``: arrays of (kind, start, end) by start, then kind, then end.
+
+    A row with null or empty text has no spans, a null id stays null, repeated rows are rows each, texts of any length
+    are read whole, some million characters at a time unless one text is longer. Other columns are ignored, whatever
+    their names; an empty table gives an empty result. Added spans that score alike are taken by start, then kind.
+    """
     model = train()
     kind = "array<struct<kind:string,start:int,stop:int>>"
 
@@ -319,22 +325,30 @@ def detect(docs: DataFrame) -> DataFrame:
 
         kinds = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
         for b in batches:
-            both = spans(b.column("text").to_pylist(), model)
-            cols = [pa.array([[dict(zip(("kind", "start", "stop"), s)) for s in x[i]] for x in both], kinds) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "base", "spans"])
+            texts = b.column("text")
+            for s, e in slices(lengths_of(texts)):
+                both = spans(texts.slice(s, e - s).to_pylist(), model)
+                cols = [pa.array([[dict(zip(("kind", "start", "stop"), s)) for s in x[i]] for x in both], kinds) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(s, e - s), *cols], ["doc_id", "base", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, base {kind}, spans {kind}")
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:
-    """``docs``, all columns, with personal data in ``text`` replaced (null stays null) and ``n_chars``, if there, adjusted."""
+    """``docs``, all columns and rows, with personal data in ``text`` replaced and ``n_chars``, if there, adjusted.
+
+    Null texts stay null, empty ones empty; repeated rows change alike; an empty table gives an empty result.
+    """
     model = train()
 
     @F.pandas_udf("string")
     def clean(texts):
         import pandas as pd
 
-        return pd.Series([None if t is None else redact(t, found[1]) for t, found in zip(texts, spans(list(texts), model))], dtype=object)
+        rows, out = list(texts), []
+        for s, e in slices([len(t or "") for t in rows]):
+            out += [None if t is None else redact(t, found[1]) for t, found in zip(rows[s:e], spans(rows[s:e], model))]
+        return pd.Series(out, dtype=object)
 
     out = docs.withColumn("text", clean("text"))
     if "n_chars" in docs.columns:

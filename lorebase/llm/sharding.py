@@ -13,7 +13,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import others, table
 
 N_SHARDS, TABLE_SIZE, SEED = 16, 4099, "lorebase"
 
@@ -49,14 +49,14 @@ def table_frame(spark: SparkSession, owner: list[int]) -> DataFrame:
 
 
 def place(df: DataFrame, key: str, shards: list[str] | None = None, size: int = TABLE_SIZE, seed: str = SEED) -> DataFrame:
-    """``df`` with columns ``slot`` and ``shard`` (columns of those names in ``df`` are replaced).
+    """``df`` with columns ``slot`` and ``shard`` (columns of those names, in any case, in ``df`` are replaced).
 
     A null key is placed as the text ``null``; repeated keys go to the same shard; every row is returned, an empty
     table gives an empty one.
     """
     shards = shards or [f"shard-{i:04d}" for i in range(N_SHARDS)]
     slot = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:row:"), F.coalesce(F.col(key).cast("string"), F.lit("null")))), 1, 13), 16, 10).cast("long") % size
-    keep = [c for c in df.columns if c not in ("slot", "shard")]
+    keep = others(df, "slot", "shard")
     lookup = table_frame(df.sparkSession, lookup_table(shards, size, seed))
     return df.select(*keep, slot.alias("slot")).join(F.broadcast(lookup), "slot").select(*keep, "slot", "shard")
 

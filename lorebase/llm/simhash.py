@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import block_pairs, connected_components, cut, smallest_reachable, table, whole_groups
+from .bpe import lengths_of, slices
+from .common import block_pairs, connected_components, cut, private, smallest_reachable, table, whole_groups
 
 WORDS, RADIUS, SEED, SHARD_LIMIT, FRONTIER = 3, 3, 42, 8192, 1 << 20
 
@@ -46,8 +47,9 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataF
         import pyarrow as pa
 
         for b in batches:
-            fp = np.array([fingerprint(t, words, seed) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            texts = b.column("text")
+            fp = [fingerprint(t, words, seed) for s, e in slices(lengths_of(texts)) for t in texts.slice(s, e - s).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(fp, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
@@ -152,8 +154,9 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Of rows that repeat the kept id one stays.
     """
-    kept = components(docs, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    with_id = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    (mine,) = private(docs.columns, "kept")
+    kept = components(docs, radius).where("doc_id = component_id").select(F.col("doc_id").alias(mine)).distinct()
+    with_id = docs.where("doc_id IS NOT NULL").join(kept, F.col("doc_id") == F.col(mine), "left_semi").dropDuplicates(["doc_id"])
     return with_id.unionByName(docs.where("doc_id IS NULL"))
 
 
