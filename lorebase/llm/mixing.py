@@ -5,6 +5,9 @@ document's count inverts the Poisson distribution of that mean at a uniform numb
 number of k with P(X <= k) <= u. Documents are exploded by their count and dealt out by a hash of (id, copy), then
 sorted by it within each partition: a global shuffle that any rerun repeats exactly.
 
+The distribution of a source is a running sum over rows (source, k), from twelve deviations below the mean, or 0, to
+twelve above: what is left out on either side is below 1e-30. So a rate of millions takes some ten thousand rows.
+
 Statistics combine on the map side to a row a source, written as a small table. While that is below Spark's broadcast
 threshold the documents meet it without a shuffle; beyond, a sort-merge join with one row a source on its side lets
 adaptive execution split a source with a third of all rows.
@@ -13,9 +16,10 @@ adaptive execution split a source with a third of all rows.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, others, private, table
 
 SEED, TEMPERATURE = "lorebase-mix", 0.5
 
@@ -26,17 +30,23 @@ def uniform(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """P(X <= k) for k from 0 to twelve deviations and twenty more beyond the mean: what is above is below 1e-30."""
-    steps = F.sequence(F.lit(1), F.ceil(rate + F.sqrt(rate) * 12 + 20).cast("int"))
-    start = F.struct((-rate).alias("log"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("all"))
-
-    def step(acc: Column, k: Column) -> Column:
-        log = acc["log"] + F.log(rate / k)
-        total = acc["sum"] + F.exp(log)
-        return F.struct(log.alias("log"), total.alias("sum"), F.concat(acc["all"], F.array(total)).alias("all"))
+def poisson_cdfs(rated: DataFrame) -> DataFrame:
+    """(_source, _low, _cdf) of rows (_source, _rate): P(X <= _low), P(X <= _low + 1), ... as an array.
 
-    return F.when(rate > 0, F.aggregate(steps, start, step, lambda acc: acc["all"])).otherwise(F.array(F.lit(1.0)))
+    Rates of 0 and null give the distribution of 0. Starts above 0 take the probability of ``_low`` from Stirling's
+    series, which is exact to double precision there.
+    """
+    rate, k, low = F.col("_rate"), F.col("k"), F.col("_low")
+    reach = F.sqrt(rate) * 12 + 20
+    rows = rated.withColumn("_rate", F.coalesce(rate, F.lit(0.0))).withColumn("_low", F.when(rate > 2000, F.floor(rate - reach)).otherwise(0).cast("long"))
+    rows = rows.withColumn("k", F.explode(F.sequence(low, F.when(rate > 0, F.ceil(rate + reach)).otherwise(0).cast("long"))))
+    off = (k - rate) / rate  # log P(X = k) without the difference of large logarithms
+    first = -F.log(2 * F.pi() * k) / 2 - 1 / (12 * k) + 1 / (360 * k * k * k) - (k * F.log1p(off) - (k - rate))
+    log = F.when(k == 0, -rate).when(k == low, first).otherwise(F.log(rate / k))
+    upto = W.partitionBy("_source").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("log", F.sum(log).over(upto)).withColumn("sum", F.sum(F.exp("log")).over(upto))
+    made = rows.groupBy("_source", "_low").agg(F.array_sort(F.collect_list(F.struct("k", "sum"))).alias("x"))
+    return made.select("_source", "_low", F.col("x.sum").alias("_cdf"))
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE) -> DataFrame:
@@ -61,17 +71,19 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = TEMPERATURE, seed: str = SEED) -> DataFrame:
     """The mixture: the columns of ``docs``, then ``mix_copy`` (from 1) and ``mix_key`` (the shuffle's sort key).
 
-    Columns of ``docs`` by these two names are replaced. A null source is the source ``""``; a null id hashes as
+    Columns of ``docs`` by these two names, in any case, are replaced. A null source is the source ``""``; a null id hashes as
     ``null``; repeated rows get equal counts; an empty table gives an empty mixture.
     """
-    keep = [c for c in docs.columns if c not in ("mix_copy", "mix_key")]
+    keep = others(docs, "mix_copy", "mix_key")
     docs = docs.select(*keep)
+    from_, low, cdf, number, count = private(docs.columns, "source", "low", "cdf", "u", "n")
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     # written first: its size is then known, and only a table below the broadcast threshold is broadcast
-    table_ = cut(rates(docs, weights, temperature).select("_source", poisson_cdf(F.col("_rate")).alias("_cdf")).coalesce(1))
-    counted = docs.withColumn("_source", F.coalesce(F.col("source").cast("string"), F.lit(""))).join(table_, "_source")
-    counted = counted.withColumn("_u", uniform(seed, "count", doc)).withColumn("_n", F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))))
-    copies = counted.where("_n > 0").select(*keep, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("mix_copy"))
+    table_ = cut(poisson_cdfs(rates(docs, weights, temperature)).coalesce(1)).toDF(from_, low, cdf)
+    counted = docs.withColumn(from_, F.coalesce(F.col("source").cast("string"), F.lit(""))).join(table_, from_)
+    counted = counted.withColumn(number, uniform(seed, "count", doc))
+    counted = counted.withColumn(count, (F.col(low) + F.size(F.filter(cdf, lambda c: c <= F.col(number)))).cast("int"))
+    copies = counted.where(F.col(count) > 0).select(*keep, F.explode(F.sequence(F.lit(1), F.col(count))).alias("mix_copy"))
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), doc, F.col("mix_copy"))))
     return keyed.repartition("mix_key").sortWithinPartitions("mix_key")
 

@@ -1,12 +1,17 @@
 """Operator 7: exact top-k inner products by pivot-table elimination.
 
-The distances of every vector to a set of pivots are computed once and travel with it. By the triangle inequality
-max over pivots of |d(q, p) - d(x, p)| is a lower bound of d(q, x), so (|q|^2 + |x|^2 - bound^2) / 2 is an upper bound
-of <q, x>. Candidates of a query are evaluated in the order of these bounds, in instalments, until no bound is left
-that reaches the k-th best exact score.
+The distances of every vector to many pivots are computed once and travel with it. They place a vector in the space that
+the pivots span, but for its distance from it, which is known. So for a query q and a row x they give the greatest lower
+bound of d(q, x) that distances to these pivots allow: that of two points on the same side of that space. It is never
+below |d(q, p) - d(x, p)| for any pivot p, and it is an upper bound of <q, x> = (|q|^2 + |x|^2 - d^2) / 2. A query's
+candidates are evaluated in the order of these bounds until no bound is left that reaches the k-th best exact score.
+Pivots are taken from a bounded pool, each the farthest from the space of those before it, until the pool keeps less than
+``REST`` of its squared length outside.
 
-The query set meets all rows in blocks: a task holds one block of queries and one of candidates, both of a fixed
-number of rows, and returns at most k rows a query; a window over those ranks them.
+A query starts from the k-th best score among the pool, which are rows themselves. Each row's home is its nearest pivot;
+<q, p> + |q| * radius bounds the scores of a home, and homes that cannot reach a query's first score never meet it. Small
+homes are packed into groups, large ones cut; a task holds one block of queries and streams the rows of one group past
+it, so it returns at most k rows a query. A window over those ranks them.
 """
 
 from __future__ import annotations
@@ -17,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, table, whole_groups
+from .common import cut, table
 
-K, SCALE, PIVOTS, POOL, QUERY_BLOCK, ROW_BLOCK, TILE, FIRST = 20, 64, 24, 512, 8192, 4096, 256, 64
+K, SCALE, PIVOTS, REST, POOL, QUERY_BLOCK, GROUP_ROWS, TILE, FIRST, SLACK = 20, 64, 512, 0.06, 1024, 8192, (8192, 1 << 18), 256, 64, 2e-5
 
 
 def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -29,132 +34,280 @@ def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("x"))
 
 
-def choose_pivots(pool: list[list[int]], n: int = PIVOTS) -> dict[int, list[list[int]]]:
-    """Pivots by dimension, each as far as possible from those before it, out of a bounded pool."""
+class Pivots:
+    """Pivots of one dimension, from a pool of vectors of it."""
+
+    def __init__(self, pool, most: int = PIVOTS, rest: float = REST):
+        import numpy as np
+
+        x = np.array(pool, np.float64)
+        left, chosen, axes = x.copy(), [], np.zeros((0, x.shape[1]))
+        length = (x**2).sum(axis=1)
+        while len(chosen) < min(most, len(x)):
+            far = (left**2).sum(axis=1)
+            # as a share of each vector's own length, so that one far outlier does not hide all others
+            share = far / np.maximum(length, 1e-300)
+            if chosen and share.mean() < rest or far.max() <= 1e-9 * length.max():
+                break
+            k = int(np.where(far > 1e-6 * length, far, 0).argmax()) if not chosen else int(np.where(share > 1e-6, far, 0).argmax())
+            axis = left[k] - axes.T @ (axes @ left[k])
+            norm = np.linalg.norm(axis)
+            if norm <= 1e-6 * math.sqrt(max(length[k], 1e-300)):
+                break
+            axes = np.r_[axes, axis[None] / norm]
+            chosen.append(k)
+            left -= (left @ axes[-1])[:, None] * axes[-1]
+        self.at = x[chosen] if chosen else np.zeros((1, x.shape[1]))
+        self.norm = np.sqrt((self.at**2).sum(axis=1))
+        unit = self.at / np.maximum(self.norm, 1e-300)[:, None]
+        self.to_axes = np.linalg.inv(np.linalg.cholesky(unit @ unit.T)).T if chosen else np.zeros((1, 1))
+
+    def distances(self, x):
+        """Squared distances to every pivot."""
+        import numpy as np
+
+        return np.maximum((x * x).sum(axis=1)[:, None] + (self.norm**2)[None] - 2 * x @ self.at.T, 0)
+
+    def place(self, far, length):
+        """Coordinates in the space of the pivots, and the distance from it as the last one, from squared distances and lengths."""
+        import numpy as np
+
+        y = (length[:, None] + (self.norm**2)[None] - far) / 2 / np.maximum(self.norm, 1e-300) @ self.to_axes
+        out = np.sqrt(np.maximum(length - (y * y).sum(axis=1), 0) + 1e-6 * length)  # room for rounding: never too near
+        return np.c_[y, out].astype(np.float32)
+
+
+def _rows(column, ids):
+    """Vectors of an Arrow list column by dimension: (dimension, places, matrix of integers)."""
     import numpy as np
 
-    out = {}
-    for dim in sorted({len(x) for x in pool if x}):
-        x = np.array([v for v in pool if len(v) == dim], np.float64)
-        chosen, far = [0], ((x - x[0]) ** 2).sum(axis=1)
-        while len(chosen) < n and far.max() > 0:
-            chosen.append(int(far.argmax()))
-            far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
-        out[dim] = x[chosen].astype(np.int64).tolist()
-    return out
+    flat, offsets = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
+    dims = np.diff(offsets)
+    for dim in np.unique(dims):
+        at = np.flatnonzero(dims == dim)
+        if dim:
+            yield int(dim), at, flat[offsets[at][:, None] + np.arange(dim)].astype(np.int64)
+
 
+def _prepare(pivots: dict[int, Pivots], plan=None, pool=None, k: int = K):
+    """Batches (vec_id, x) to (vec_id, dim, x, far, home, near), or for queries to (vec_id, dim, x, far, first, groups)."""
 
-def _with_distances(pivots: dict[int, list[list[int]]]):
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            x, far = b.column("x").to_pylist(), []
-            for dim in {len(v) for v in x}:
-                at = [i for i, v in enumerate(x) if len(v) == dim]
-                v = np.array([x[i] for i in at], np.float64).reshape(len(at), dim)
-                chosen = pivots.get(dim, [[0] * dim])
-                p = np.array(chosen, np.float64).reshape(len(chosen), dim)
-                d = np.sqrt(np.maximum((v * v).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None] - 2 * v @ p.T, 0))
-                far += list(zip(at, d.astype(np.float32)))
-            far = [d.tobytes() for _, d in sorted(far, key=lambda y: y[0])]
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([np.array(v, np.int64).tobytes() for v in x], pa.binary()), pa.array(far, pa.binary())], ["vec_id", "x", "far"])
+            ids = b.column("vec_id").to_numpy()
+            for dim, at, x in _rows(b.column("x"), ids):
+                own = pivots.get(dim)
+                wide = x.astype(np.float64)
+                far = own.distances(wide) if own else np.zeros((len(at), 0))
+                columns = [pa.array(ids[at]), pa.array(np.full(len(at), dim, np.int32)), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([d.tobytes() for d in far], pa.binary())]
+                if plan is None:
+                    home = far.argmin(axis=1) if own else np.full(len(at), -1)
+                    near = np.sqrt(far[np.arange(len(at)), home]) if own else np.zeros(len(at))
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(home.astype(np.int32)), pa.array(near)], ["vec_id", "dim", "x", "far", "home", "near"])
+                    continue
+                first, groups = np.full(len(at), -np.inf), [plan["others"]] * len(at)
+                if own:
+                    pool_ids, pool_x = pool[dim]
+                    score = wide @ pool_x.T.astype(np.float64)
+                    room = 1e-9 * np.sqrt((wide**2).sum(axis=1))[:, None] * np.sqrt((pool_x.astype(np.float64) ** 2).sum(axis=1))[None]
+                    score = np.where(ids[at][:, None] == pool_ids[None], -np.inf, score - room)
+                    if len(pool_ids) > k:
+                        first = np.partition(score, len(pool_ids) - k, axis=1)[:, len(pool_ids) - k]
+                    homes, radius, of = plan["homes"][dim]
+                    length = np.sqrt((wide**2).sum(axis=1))
+                    reach = wide @ own.at[homes].T + length[:, None] * (radius * (1 + 1e-6))[None] + 1e-6 * length[:, None] * (own.norm[homes] + 1)[None] + 1
+                    met = reach >= first[:, None]
+                    groups = [sorted({g for h in np.flatnonzero(m) for g in of[h]}) for m in met]
+                columns += [pa.array(first), pa.array(groups, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["vec_id", "dim", "x", "far", "first", "groups"])
 
     return run
 
 
-def best(q, q_id, q_far, x, x_id, x_far, k: int):
-    """Exact top ``k`` (query row, candidate row, score) of a block: scores descending, ties to the smaller id."""
-    import numpy as np
+class Block:
+    """Queries of one dimension with their best rows so far. ``evaluated`` and ``seen`` count exact scores and pairs."""
 
-    kind = np.float32 if np.abs(q).max() * np.abs(x).max() * q.shape[1] < 2**24 else np.float64  # exact in either
-    qf, xf, nq, nx = q.astype(kind), x.astype(kind), (q.astype(np.float64) ** 2).sum(axis=1), (x.astype(np.float64) ** 2).sum(axis=1)
-    exact = (lambda a, b: np.einsum("ij,ij->i", qf[a], xf[b]).astype(np.float64)) if np.abs(q).max() * np.abs(x).max() * q.shape[1] < 2**53 else (lambda a, b: (q[a] * x[b]).sum(axis=1))
-    fits = np.abs(q).max() * np.abs(x).max() * q.shape[1] < 2**53
-    for s in range(0, len(q), TILE):
-        e = min(s + TILE, len(q))
-        low = np.zeros((e - s, len(x)), np.float32)
-        for p in range(q_far.shape[1]):
-            np.maximum(low, np.abs(q_far[s:e, p, None] - x_far[None, :, p]), out=low)
-        norms = nq[s:e, None] + nx[None]
-        bound = (norms - np.maximum(low.astype(np.float64) * (1 - 1e-5) - 1e-3, 0) ** 2) / 2 + 1e-6 * norms + 1  # room for rounding
-        bound[q_id[s:e, None] == x_id[None]] = -np.inf
-        score = np.full(bound.shape, -np.inf)
-        done, size = bound == -np.inf, FIRST
-        while True:
-            ready = (~done).sum(axis=1)
-            if not ready.any():
-                break
-            worst = np.partition(score, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(e - s, -np.inf)
-            open_ = ~done & (bound >= worst[:, None])  # in bound order, all others come after the exact stop
-            if not open_.any():
-                break
-            if size < len(x) and size * 4 < open_.sum() / (e - s):
-                ranked = np.where(open_, bound, -np.inf)
-                cut_ = np.partition(ranked, len(x) - size, axis=1)[:, len(x) - size]
-                open_ &= ranked >= cut_[:, None]
-            if fits and open_.mean() > 0.05:
-                score = np.where(open_, (qf[s:e] @ xf.T).astype(np.float64), score)
-            else:
+    def __init__(self, ids, x, y, length, first, k: int):
+        import numpy as np
+
+        self.ids, self.x, self.y, self.length, self.first, self.k = ids, x, y, np.sqrt(length), first, k
+        self.score, self.row = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.evaluated = self.seen = 0
+
+    def _keep(self, s: int, i, ids, v) -> None:
+        """Take exact scores ``v`` of rows ``ids`` for the queries ``s + i``."""
+        import numpy as np
+
+        some = np.unique(i)
+        a = np.r_[np.repeat(np.arange(len(some)), self.k), np.searchsorted(some, i)]
+        score, row = np.r_[self.score[s + some].ravel(), v], np.r_[self.row[s + some].ravel(), ids]
+        order = np.lexsort((row, -score, a))
+        place = np.arange(len(a)) - np.searchsorted(a[order], a[order])
+        order = order[place < self.k]
+        self.score[s + some], self.row[s + some] = score[order].reshape(-1, self.k), row[order].reshape(-1, self.k)
+
+    def meet(self, ids, x, y, length) -> None:
+        import numpy as np
+
+        most = float(np.abs(self.x).max()) * float(np.abs(x).max()) * x.shape[1]
+        if most < 2**53:  # then exact in double precision
+            mine, theirs = self.x.astype(np.float64), x.astype(np.float64)
+        else:
+            mine, theirs = self.x, x
+        norms = np.sqrt(length)
+        for s in range(0, len(self.ids), TILE):
+            e = min(s + TILE, len(self.ids))
+            bound = self.y[s:e] @ y.T
+            bound += (SLACK * self.length[s:e, None] * norms[None] + 1).astype(np.float32)
+            bound[self.ids[s:e, None] == ids[None]] = -np.inf
+            self.seen += bound.size
+            size = FIRST
+            while True:
+                reach = np.maximum(self.first[s:e], self.score[s:e, -1])  # in bound order, all others come after the exact stop
+                open_ = (bound >= reach[:, None]) & (bound > -np.inf)
+                n = open_.sum(axis=1)
+                if not n.any():
+                    break
+                if size * 4 < n.max() and size < len(ids):
+                    ranked = np.where(open_, bound, -np.inf)
+                    open_ &= ranked >= np.partition(ranked, len(ids) - size, axis=1)[:, len(ids) - size][:, None]
                 a, b = np.nonzero(open_)
+                self.evaluated += len(a)
                 for c in range(0, len(a), 1 << 17):
                     i, j = a[c : c + (1 << 17)], b[c : c + (1 << 17)]
-                    score[i, j] = exact(i + s, j)
-            done |= open_
-            size *= 16
-        worst = np.partition(score, len(x) - k, axis=1)[:, len(x) - k] if len(x) > k else np.full(e - s, -np.inf)
-        a, b = np.nonzero((score >= worst[:, None]) & (score > -np.inf))
-        v = score[a, b]
-        order = np.lexsort((x_id[b], -v, a))
-        a, b, v = a[order], b[order], v[order]
-        place = np.arange(len(a)) - np.searchsorted(a, a)
-        top = place < k
-        yield a[top] + s, b[top], v[top].astype(np.int64)
-
-
-def _search(k: int):
+                    v = np.einsum("ij,ij->i", mine[i + s], theirs[j]).astype(np.float64)
+                    self._keep(s, i, ids[j], v)
+                bound[open_] = -np.inf
+                size *= 16
+
+    def best(self):
+        """(query ids, row ids, scores) of all that were kept."""
+        import numpy as np
+
+        i, j = np.nonzero(self.score > -np.inf)
+        row = self.row[i, j]
+        return self.ids[i], row, self.score[i, j].astype(np.int64)
+
+
+def _search(pivots: dict[int, Pivots], k: int):
+    """Rows of a group, its queries first, in batches that may begin and end anywhere."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        for part in whole_groups(batches, least=1):
-            g, is_query, ids = (part.column(c).to_numpy() for c in ("g", "is_query", "vec_id"))
-            xs, fars = part.column("x").to_pylist(), part.column("far").to_pylist()
-            dims = np.array([len(v) // 8 for v in xs])
-            for key in np.unique(g):
-                for dim in np.unique(dims[g == key]):
-                    if not dim:
-                        continue
-                    rows = [np.flatnonzero((g == key) & (dims == dim) & (is_query == f)) for f in (True, False)]
-                    if not (len(rows[0]) and len(rows[1])):
-                        continue
-                    x = [np.frombuffer(b"".join(xs[i] for i in r), np.int64).reshape(-1, dim) for r in rows]
-                    far = [np.frombuffer(b"".join(fars[i] for i in r), np.float32).reshape(len(r), -1) for r in rows]
-                    for a, b, v in best(x[0], ids[rows[0]], far[0], x[1], ids[rows[1]], far[1], k):
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[rows[0]][a]), pa.array(ids[rows[1]][b]), pa.array(v)], ["query_id", "vec_id", "score"])
+        group, waiting, blocks = None, [], {}
+
+        def flush():
+            for block in blocks.values():
+                q, x, v = block.best()
+                for s in range(0, len(q), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[s : s + 50_000]) for c in (q, x, v)], ["query_id", "vec_id", "score"])
+
+        def unpack(part):
+            dims = part.column("dim").to_numpy()
+            for dim in np.unique(dims).tolist():
+                some = part.take(pa.array(np.flatnonzero(dims == dim)))
+                n, own = some.num_rows, pivots.get(dim)
+                x = np.frombuffer(b"".join(some.column("x").to_pylist()), np.int64).reshape(n, dim)
+                length = (x.astype(np.float64) ** 2).sum(axis=1)
+                if own:
+                    y = own.place(np.frombuffer(b"".join(some.column("far").to_pylist()), np.float64).reshape(n, -1), length)
+                else:  # no pivots: lengths alone bound
+                    y = np.sqrt(length)[:, None].astype(np.float32)
+                yield dim, some, x, y, length
+
+        def meet(part):
+            for dim, some, x, y, length in unpack(part):
+                if dim in blocks:
+                    blocks[dim].meet(some.column("vec_id").to_numpy(), x, y, length)
+
+        for batch in batches:
+            g = batch.column("g").to_numpy()
+            edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True]) if len(g) else []
+            for s, e in zip(edge[:-1], edge[1:]):
+                part = batch.slice(s, e - s)
+                if g[s] != group:
+                    yield from flush()
+                    group, waiting, blocks = g[s], [], {}
+                asks = part.column("is_query").to_numpy(zero_copy_only=False)
+                n = int(asks.sum())
+                if n:
+                    waiting.append(part.slice(0, n))
+                if n < len(asks):
+                    if waiting:
+                        for dim, some, x, y, length in unpack(pa.Table.from_batches(waiting).combine_chunks()):
+                            blocks[dim] = Block(some.column("vec_id").to_numpy(), x, y, length, some.column("first").to_numpy(), k)
+                        waiting = []
+                    for c in range(n, len(asks), 8192):
+                        meet(part.slice(c, min(8192, len(asks) - c)))
+        yield from flush()
 
     return run
 
 
+def _plan(homes: list, n_blocks: int, parallelism: int) -> tuple[dict, dict, int]:
+    """Groups of about equal numbers of rows: ({(dim, home): (first group, number)}, what queries need, number of groups)."""
+    import numpy as np
+
+    total = sum(n for _, _, n, _ in homes)
+    limit = min(max(math.ceil(total * n_blocks / (4 * parallelism)), GROUP_ROWS[0]), GROUP_ROWS[1])
+    of, at, room = {}, -1, 0
+    for dim, home, n, _ in sorted(homes, key=lambda h: (h[0], h[1])):
+        if n > limit // 2:  # groups of its own
+            count = math.ceil(n / limit)
+            of[dim, home], at, room = (at + 1, count), at + count, 0
+        else:
+            if n > room:
+                at, room = at + 1, limit
+            of[dim, home] = (at, 1)
+            room -= n
+    reach = {}
+    for dim in {h[0] for h in homes}:
+        own = sorted((h, r) for d, h, _, r in homes if d == dim)
+        reach[dim] = (np.array([h for h, _ in own]), np.array([r for _, r in own]), [list(range(of[dim, h][0], sum(of[dim, h]))) for h, _ in own])
+    others = list(range(of[-1, -1][0], sum(of[-1, -1]))) if (-1, -1) in of else []
+    return of, {"homes": reach, "others": others}, at + 1
+
+
 def top_k(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best ``rows`` of each of ``queries``, both (vec_id, x array<long>).
 
     A query's own id is no candidate; vectors meet those of equal dimension; vectors of no components score nothing.
     Ties go to the smaller id; a repeated query id is one query per row and ranks its rows together; a candidate id
-    that repeats is a row each time. Fewer rows than ``k`` are all returned; empty tables give an empty result.
+    that repeats is a row each time. Fewer rows than ``k`` are all returned; empty tables give an empty result. Other
+    columns are ignored. A dimension that the pool of ``POOL`` rows lacks has no pivots, and lengths alone bound there.
     """
+    import numpy as np
+
     spark = rows.sparkSession
-    pool = [r["x"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(POOL).select("x").collect()]
-    add = _with_distances(choose_pivots(pool))
-    kind = "vec_id long, x binary, far binary"
-    q, x = cut(queries.mapInArrow(add, kind)), cut(rows.mapInArrow(add, kind))
-    n_q, n_x = (max(1, math.ceil(f.count() / size)) for f, size in ((q, QUERY_BLOCK), (x, ROW_BLOCK)))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
-    q = q.withColumn("qb", block(n_q)).withColumn("xb", F.explode(F.sequence(F.lit(0), F.lit(n_x - 1)).cast("array<long>"))).withColumn("is_query", F.lit(True))
-    x = x.withColumn("xb", block(n_x)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<long>"))).withColumn("is_query", F.lit(False))
-    met = q.unionByName(x).withColumn("g", F.xxhash64("qb", "xb")).select("g", "is_query", "vec_id", "x", "far")
-    found = met.repartition(max(n_q * n_x, 1), "g").sortWithinPartitions("g").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    picked = rows.where(F.size("x") > 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(POOL).select("vec_id", "x").collect()
+    pool = {}
+    for dim in {len(r["x"]) for r in picked}:
+        own = [r for r in picked if len(r["x"]) == dim]
+        pool[dim] = (np.array([r["vec_id"] for r in own]), np.array([r["x"] for r in own], np.int64))
+    pivots = {dim: Pivots(x) for dim, (_, x) in pool.items()}
+    x = cut(rows.select("vec_id", "x").mapInArrow(_prepare(pivots), "vec_id long, dim int, x binary, far binary, home int, near double"))
+    bounded = F.when(F.col("home") < 0, -1).otherwise(F.col("dim"))  # so rows of dimensions that the pool lacks are one home
+    homes = [tuple(r) for r in x.groupBy(bounded.alias("d"), "home").agg(F.count(F.lit(1)), F.max("near")).collect()]  # a row a pivot at most
+    n_queries = queries.count()
+    n_blocks = max(1, math.ceil(n_queries / QUERY_BLOCK))
+    of, plan, n_groups = _plan(homes, n_blocks, spark.sparkContext.defaultParallelism)
+    asked = queries.select("vec_id", "x").mapInArrow(_prepare(pivots, plan, pool, k), "vec_id long, dim int, x binary, far binary, first double, groups array<int>")
+    asked = cut(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))))
+    number = F.col("block") * max(n_groups, 1) + F.col("group")
+    q = asked.withColumn("group", F.explode("groups")).select(number.alias("g"), F.lit(True).alias("is_query"), "vec_id", "dim", "x", "far", "first")
+    dealt = spark.createDataFrame([(d, h, a, c) for (d, h), (a, c) in of.items()], "d int, home int, start int, n int")  # a row a pivot at most
+    x = x.withColumn("d", bounded.cast("int")).join(F.broadcast(dealt), ["d", "home"])
+    x = x.withColumn("group", (F.col("start") + F.pmod(F.xxhash64("vec_id"), F.col("n"))).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    met = cut(q.select("g").distinct())
+    x = x.withColumn("g", number).join(met, "g", "left_semi").select("g", F.lit(False).alias("is_query"), "vec_id", "dim", "x", "far", F.lit(0.0).alias("first"))
+    tasks = max(1, min(n_blocks * n_groups, max(200, 4 * spark.sparkContext.defaultParallelism)))
+    both = q.unionByName(x).repartition(tasks, "g").sortWithinPartitions("g", F.desc("is_query"))
+    found = both.mapInArrow(_search(pivots, k), "query_id long, vec_id long, score long")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 

@@ -1,13 +1,15 @@
 """Operator 6: toxicity by weak supervision.
 
-Voters look at a text: lexicon voters, each a word or a word beginning found in it, phrase and style patterns, and one
-that votes clean where no lexicon voter speaks. Lexicon voters come from a short seed list and from the labelled rows of
-the training folds: greedily the word or beginning that covers most toxic rows not yet covered, precise and supported
-by rows that are no copies of one another.
+Voters look at a text. Lexicon voters are words, beginnings of words (``abcd*``), and stems: beginnings that two
+different words of a text share, one word in ``DENSE`` or more (``abcd**``). Pattern voters look for phrases and style.
+One votes clean where no lexicon voter speaks. Lexicon voters come from a short seed list and from the labelled rows of
+the training folds: greedily the one that covers most toxic rows not yet covered, among those whose precision has a
+confidence bound above one half, so that a small language needs few rows; copies of one another count as one row.
 
-A generative model of the votes (class prior, each voter's rates in either class, and correlations of voters within a
-class) is fitted by expectation-maximisation without labels; correlated voters share their weight. A logistic
-regression on the votes is trained on its posterior labels. Only texts enter a score.
+A generative model of the votes (class prior, how often each voter speaks in either class, and, for each voter, how that
+depends on the one voter it is most correlated with within the classes: a tree of pairwise terms) is fitted by
+expectation-maximisation without labels. A logistic regression on the votes is trained on its posterior labels. Only
+texts enter a score.
 
 Training uses a bounded sample, ``SAMPLE`` labelled rows of the training folds by the order of a hash of their id; every
 text of the table is scored, whole. The model is some kilobytes, whatever the data.
@@ -23,22 +25,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import cut, release, table
+from .common import cut, others, private, release, table
 
-SAMPLE, VOTERS, SUPPORT, PRECISION, THRESHOLD, ROUNDS = 20_000, 96, 5.0, 0.95, 0.7, 50
+SAMPLE, GAIN, SURE, PRECISION, TRUST, THRESHOLD, ROUNDS, DENSE = 20_000, 3.0, 2.0, 0.9, 0.5, 0.7, 50, 200
 #: Words and phrases that start the lexicon.
 SEEDS = ["idiot", "moron", "stupid", "dumb", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "imbecile", "vermin"]
 PHRASES = ["shut up", "go to hell", "hate you", "kill you", "kill yourself", "get lost", "you people"]
+#: Pattern voters: a text that any match needs, in lower case, and the pattern.
+PATTERNS = [
+    *[(p, re.compile(rf"\b{p}\b")) for p in PHRASES],
+    ("you", re.compile(rf"\byou(?:'re| are)? (?:all )?(?:an? |such an? )?(?:\w+ )?(?:{'|'.join(SEEDS)})")),
+    ("ll ", re.compile(r"\b(?:i|we)(?:'ll| will) (?:kill|hurt|beat|destroy|find)\b")),
+    ("**", re.compile(r"\b[a-z]\*{2,}[a-z]")),
+    ("nobody", re.compile(r"\bnobody (?:likes|wants|needs) you\b")),
+]
+N_PATTERNS = len(PATTERNS) + 3  # and shouting, exclamation, clean
 _LETTERS = re.compile(r"[^\W\d_]+")
+_LENGTHS = (4, 5, 6, 7, 8)
+
+
+def beginnings(word: str) -> list[str]:
+    return [word[:k] for k in _LENGTHS if len(word) >= k]
 
 
 def grams(word: str) -> list[str]:
-    """A word, and its beginnings of four to six letters, which end in ``*``."""
-    return [word, *[word[:k] + "*" for k in (4, 5, 6) if len(word) >= k]]
+    """A word, and its beginnings, which end in ``*``."""
+    return [word, *[b + "*" for b in beginnings(word)]]
+
+
+def dense(occurrences: int, different: int, words: int) -> bool:
+    return different >= 2 and occurrences * DENSE >= words
 
 
 def text_grams(text: str) -> set[str]:
-    return {g for w in {x for c in set(text.split()) for x in _LETTERS.findall(c.lower())} if len(w) > 2 for g in grams(w)}
+    """All that lexicon voters can look for in a text."""
+    chunks = text.split()
+    count: Counter = Counter()
+    for c, n in Counter(chunks).items():
+        for w in _LETTERS.findall(c.lower()):
+            if len(w) > 2:
+                count[w] += n
+    stems: dict[str, list[int]] = {}
+    for w, n in count.items():
+        for b in beginnings(w):
+            s = stems.setdefault(b, [0, 0])
+            s[0] += n
+            s[1] += 1
+    return {g for w in count for g in grams(w)} | {b + "**" for b, (n, k) in stems.items() if dense(n, k, len(chunks))}
 
 
 def copy_key(text: str) -> int:
@@ -47,53 +80,105 @@ def copy_key(text: str) -> int:
 
 
 def votes(texts: list[str | None], lexicon: list[str]):
-    """Votes of all voters on each text, 0 or 1: the lexicon, phrases, shouting, exclamation, and clean."""
+    """Votes of all voters on each text, 0 or 1: the lexicon, patterns, shouting, exclamation, and clean."""
     import numpy as np
 
     place = {g: i for i, g in enumerate(lexicon)}
-    split = [set((t or "").split()) for t in texts]
+    stems = {g[:-2]: i for g, i in place.items() if g.endswith("**")}
+    split = [(t or "").split() for t in texts]
+    sets = [set(s) for s in split]
     speak: dict[str, list[int]] = {}
-    for chunk in set().union(*split) if split else ():
-        found = {place[g] for w in _LETTERS.findall(chunk.lower()) for g in grams(w) if g in place}
+    stemmed: dict[str, list[tuple[str, str]]] = {}  # (stem, word) pairs of a chunk
+    for chunk in set().union(*sets) if sets else ():
+        words = [w for w in _LETTERS.findall(chunk.lower()) if len(w) > 2]
+        found = {place[g] for w in words for g in grams(w) if g in place}
         if found:
             speak[chunk] = list(found)
-    out = np.zeros((len(texts), len(lexicon) + 4), np.float32)
-    known = speak.keys()
-    for k, (t, own) in enumerate(zip(texts, split)):
+        if stems and (pairs := [(b, w) for w in words for b in beginnings(w) if b in stems]):
+            stemmed[chunk] = pairs
+    out = np.zeros((len(texts), len(lexicon) + N_PATTERNS), np.float32)
+    known, rooted, n = speak.keys(), stemmed.keys(), len(lexicon)
+    for k, (t, own) in enumerate(zip(texts, sets)):
         t = t or ""
         for chunk in known & own:
             out[k, speak[chunk]] = 1
+        if len(some := rooted & own) > 1 or some and any(len(stemmed[c]) > 1 for c in some):
+            count = Counter(c for c in split[k] if c in some)
+            occurrences: Counter = Counter()
+            for c, m in count.items():
+                for b, _ in stemmed[c]:
+                    occurrences[b] += m
+            different = Counter(b for b, _ in {p for c in some for p in stemmed[c]})
+            for b, m in occurrences.items():
+                if dense(m, different[b], len(split[k])):
+                    out[k, stems[b]] = 1
         low = t.lower()
-        out[k, -4] = any(p in low for p in PHRASES)
+        for j, (needs, pattern) in enumerate(PATTERNS):
+            if needs in low and pattern.search(low):
+                out[k, n + j] = 1
         out[k, -3] = t.isupper() and len(t) >= 20
         out[k, -2] = "!!" in t
-        out[k, -1] = not out[k, : len(lexicon)].any()
+        out[k, -1] = not out[k, :n].any()
     return out
 
 
+def pairs_tree(v, q, least: float = 0.01):
+    """For each voter the voter it depends on, or itself: a spanning forest of the greatest correlations within classes.
+
+    Voters that shun one another need no term, since the silent ones abstain; so does the last, which votes clean.
+    """
+    import numpy as np
+
+    same = np.zeros((v.shape[1], v.shape[1]))
+    for w in (q, 1 - q):
+        total = w.sum() + 1e-9
+        mean = (v * w[:, None]).sum(0) / total
+        cov = (v * w[:, None]).T @ v / total - np.outer(mean, mean)
+        deviation = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+        same += np.maximum(cov / np.outer(deviation, deviation), 0) ** 2 * total / len(v)
+    same[-1] = same[:, -1] = 0
+    parent, best = np.arange(v.shape[1]), np.full(v.shape[1], least)
+    left = list(range(v.shape[1]))
+    while left:  # Prim's algorithm; a voter that correlates with none that is in starts a tree of its own
+        j = max(left, key=lambda k: (best[k] if parent[k] != k else 0, -k))
+        left.remove(j)
+        for k in left:
+            if same[j, k] > best[k]:
+                parent[k], best[k] = j, same[j, k]
+    return parent
+
+
 def label_model(v, prior: float, rounds: int = ROUNDS):
-    """Posterior of the toxic class for each row of votes ``v``.
+    """(posterior of the toxic class for each row of votes ``v``, rates at which voters speak in it, and in the other).
 
-    Starts from the opinion that any lexicon voter is right; each round re-estimates the rates of each voter in either
-    class and the correlations of voters within the classes.
+    Starts from the opinion that any lexicon voter is right, which also is a prior of the rates worth ``TRUST`` of the
+    rows: votes alone cannot tell a voter that speaks where no other does from the clean class. Each round re-estimates
+    the tree of dependent voters, how often each voter speaks in either class, and how often where the voter it depends
+    on does or does not.
     """
     import numpy as np
 
-    q = np.where(v[:, :-4].any(axis=1), 0.9, 0.05)
+    q = first = np.where(v[:, :-N_PATTERNS].any(axis=1), 0.9, prior / 10)
+    rates = [np.zeros(v.shape[1])] * 2
     for _ in range(rounds):
-        rate1, rate0 = ((v * q[:, None]).sum(0) + 0.1) / (q.sum() + 1), ((v * (1 - q[:, None])).sum(0) + 0.1) / ((1 - q).sum() + 1)
-        left = v - q[:, None] * rate1 - (1 - q[:, None]) * rate0
-        norm = np.sqrt((left**2).sum(0)) + 1e-6
-        same = np.abs((left / norm).T @ (left / norm))
-        np.fill_diagonal(same, 0)
-        shared = 1 + v @ np.where(same > 0.1, same, 0)  # what a voter shares with those that speak on the same text
-        logit = np.log(prior / (1 - prior)) + (v * np.log(rate1 / rate0) / shared).sum(1)  # a silent voter abstains
+        seen = TRUST * first + (1 - TRUST) * q
+        parent, logit = pairs_tree(v, seen), np.log(prior / (1 - prior))
+        tells = v[:, parent]
+        alone, logs = parent == np.arange(v.shape[1]), []
+        rates = []
+        for w in (seen, 1 - seen):
+            w = w[:, None]
+            rate = ((v * w).sum(0) + 0.1) / (w.sum() + 1)
+            given = [((v * on * w).sum(0) + 2 * rate) / ((on * w).sum(0) + 2) for on in (1 - tells, tells)]
+            logs.append(np.where(alone, np.log(rate), np.where(tells > 0, np.log(given[1]), np.log(given[0]))))
+            rates.append(rate)
+        logit = logit + (v * (logs[0] - logs[1])).sum(1)  # a silent voter abstains
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         done = np.abs(new - q).max() < 1e-6
         q = new
         if done:
             break
-    return q
+    return q, rates[0], rates[1]
 
 
 def logistic(x, q, ridge: float = 0.05, rounds: int = 60):
@@ -131,7 +216,14 @@ def _presence(wanted: list[str]):
     return run
 
 
-def induce(sample: DataFrame, size: int = VOTERS) -> list[str]:
+def precise(n: float, against: int) -> bool:
+    """Whether ``n`` toxic rows against some clean ones show a voter to be right: by rate, and by Wilson's lower bound."""
+    total, z = n + against, SURE
+    bound = (n + z * z / 2 - z * (n * against / total + z * z / 4) ** 0.5) / (total + z * z)
+    return n >= PRECISION * total and bound >= 0.5
+
+
+def induce(sample: DataFrame) -> list[str]:
     """Grams of the labelled sample (text, toxic) that speak for toxicity.
 
     A row weighs one divided by the number of sample rows of its class that share its copy key.
@@ -148,32 +240,31 @@ def induce(sample: DataFrame, size: int = VOTERS) -> list[str]:
     found = cut(toxic.mapInArrow(all_grams, "key long, grams array<string>"))
     weights = found.groupBy("key").agg((F.lit(1.0) / F.count(F.lit(1))).alias("w"))
     weighed = found.join(weights, "key").select("w", F.explode("grams").alias("gram"))
-    counts = {r["gram"]: r["n"] for r in weighed.groupBy("gram").agg(F.sum("w").alias("n")).where(F.col("n") >= SUPPORT).collect()}  # bounded by the sample
-    counts |= {g: max(SUPPORT, counts.get(g, 0)) for g in SEEDS}
+    counts = {r["gram"]: r["n"] for r in weighed.groupBy("gram").agg(F.sum("w").alias("n")).collect() if precise(r["n"], 0)}  # bounded by the sample
     against = clean.mapInArrow(_presence(sorted(counts)), "key long, grams array<string>").select(F.explode("grams").alias("gram")).groupBy("gram").count().collect()
     against = {r["gram"]: r["count"] for r in against}
-    good = {g for g, n in counts.items() if n / (n + against.get(g, 0)) >= PRECISION}
+    good = {g for g, n in counts.items() if precise(n, against.get(g, 0))}
     release(found)
-    rows = toxic.mapInArrow(_presence(sorted(good)), "key long, grams array<string>").collect()  # of the sample's toxic rows
+    rows = toxic.mapInArrow(_presence(sorted(good | set(SEEDS))), "key long, grams array<string>").collect()  # of the sample's toxic rows
     shared = Counter(r["key"] for r in rows)
-    cover = {}
+    cover: dict[str, set[int]] = {}
     for i, r in enumerate(rows):
         for g in r["grams"]:
-            if g.rstrip("*") in SEEDS or any(w.startswith(g[:-1]) for w in SEEDS if g[-1] == "*"):
+            if g.rstrip("*") in SEEDS or any(w.startswith(g.rstrip("*")) for w in SEEDS if g[-1] == "*"):
                 continue
             cover.setdefault(g, set()).add(i)
     weight, out = [1 / shared[r["key"]] for r in rows], []
     left = {i for i, r in enumerate(rows) if not any(g in SEEDS for g in r["grams"])}
-    while cover and len(out) < size:
+    while cover:
         gain, _, g = max((sum(weight[i] for i in own & left), len(g), g) for g, own in cover.items())
-        if gain < SUPPORT - 1:
+        if gain < GAIN:
             break
         out.append(g)
         left -= cover.pop(g)
-    # further words that cover much themselves, but no variants of a chosen one
+    # further grams that cover much themselves, but no variants of a chosen one
     for g in sorted(cover, key=lambda g: (-sum(weight[i] for i in cover[g]), -len(g), g)):
         stem = g.rstrip("*")
-        if len(out) < size and sum(weight[i] for i in cover[g]) >= 0.02 * sum(weight) and not any(stem.startswith(o.rstrip("*")) or o.startswith(stem) for o in out):
+        if sum(weight[i] for i in cover[g]) >= 0.02 * sum(weight) and not any(stem.startswith(o.rstrip("*")) or o.startswith(stem) for o in out):
             out.append(g)
     return out
 
@@ -184,10 +275,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 
     ids = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("_id"), "toxic")
-    rows = cut(docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("text", "toxic"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    rows = cut(rows.groupBy("_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"))  # rows of one id are one example
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not (n.get(0) and n.get(1)):
-        return {"lexicon": list(SEEDS), "weights": [6.0] * len(SEEDS) + [2.0, 0.0, 0.0, -2.0, -2.0]}
+        return {"lexicon": list(SEEDS), "weights": [6.0] * len(SEEDS) + [2.0] * len(PATTERNS) + [0.0, 0.0, -2.0, -2.0]}
     lexicon = list(SEEDS)
     lexicon += [g for g in induce(rows) if g not in lexicon]
 
@@ -200,8 +292,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 
     got = rows.mapInArrow(cast, "toxic int, v binary").collect()  # ``sample`` rows of some hundred bytes
     release(rows)
-    v = np.array([np.frombuffer(r["v"], np.uint8) for r in got], np.float64).reshape(len(got), len(lexicon) + 4)
-    q = label_model(v, min(0.5, max(0.01, n[1] / len(got))))
+    v = np.array([np.frombuffer(r["v"], np.uint8) for r in got], np.float64).reshape(len(got), len(lexicon) + N_PATTERNS)
+    q, _, _ = label_model(v, min(0.5, max(0.01, n[1] / len(got))))
     return {"lexicon": lexicon, "weights": logistic(v, q).tolist()}
 
 
@@ -215,7 +307,7 @@ def score_texts(texts: list[str | None], model: dict):
 
 
 def score(docs: DataFrame, model: dict, out: str = "score") -> DataFrame:
-    """``docs`` with the column ``out`` (a column of that name is replaced): 0 to 1, higher where toxic is likelier.
+    """``docs`` with the column ``out`` (one of that name in any case is replaced): 0 to 1, higher where toxic is likelier.
 
     Null and empty texts get the score of a text that no voter but the clean one speaks on. Repeated rows score alike.
     """
@@ -226,13 +318,14 @@ def score(docs: DataFrame, model: dict, out: str = "score") -> DataFrame:
 
         return pd.Series(score_texts(list(texts), model))
 
-    return docs.withColumn(out, run("text"))
+    return docs.select(*others(docs, out), run("text").alias(out))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows whose score reaches ``threshold``."""
-    scored = score(docs, fit(docs, labels), "_score")
-    return scored.where(F.col("_score") < threshold).select(*docs.columns)
+    """``docs``, all columns, without the rows whose score reaches ``threshold``. Null and empty texts stay."""
+    (mine,) = private(docs.columns, "score")
+    scored = score(docs, fit(docs, labels), mine)
+    return scored.where(F.col(mine) < threshold).drop(mine)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,6 +106,46 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def plain_top(rows, k):
+    """{query: [(rank, vec_id, score)]} by evaluating every pair."""
+    return {q: [(n + 1, i, -s) for n, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in rows if i != q and len(w) == len(v))[:k])] for q, v in rows if q % 20 == 0}
+
+
+def test_top_k_with_outliers_and_clusters(spark, monkeypatch):
+    monkeypatch.setattr(topk, "POOL", 150)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 9)
+    monkeypatch.setattr(topk, "GROUP_ROWS", (40, 60))
+    rng = np.random.default_rng(8)
+    plain = [(i, rng.integers(-40, 40, 12).tolist()) for i in range(480)]
+    clusters = [(i, (rng.integers(-3, 4, 12) + 1000 * np.eye(12, dtype=int)[i % 12]).tolist()) for i in range(480)]
+    for rows in (
+        [*plain, (1001, [int(64 * 2.9e7)] * 12)], [*plain, (1000, [int(64 * 2.9e7)] + [3] * 11), (1003, [-(10**9)] * 12)], clusters,
+        [(i, [1] * 12) for i in range(60)], [(i, [0] * 12) for i in range(50)], [(i, [i, 1]) for i in range(30)], [(0, [5]), (1, [2])], [(0, [5])],
+    ):
+        got = {}
+        for r in topk.top_k(*(spark.createDataFrame(rows, "vec_id long, x array<long>").where(c) for c in ("vec_id % 20 = 0", "true")), 7).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        assert {q: sorted(v) for q, v in got.items()} == {q: v for q, v in plain_top(rows, 7).items() if v}
+
+
+def test_bounds_hold_and_eliminate():
+    rng = np.random.default_rng(9)
+    x = np.floor(64 * rng.standard_normal((4000, 64)) / 8).astype(np.int64)
+    own = topk.Pivots(x[:1024])
+    length = (x.astype(float) ** 2).sum(1)
+    far = own.distances(x.astype(float))
+    y = own.place(far, length)
+    exact = x[:200] @ x.T
+    bound = y[:200] @ y.T + topk.SLACK * np.sqrt(length[:200, None] * length[None]) + 1
+    assert (bound >= exact).all()
+    lower = np.sqrt(np.maximum(length[:200, None] + length[None] - 2 * y[:200].astype(float) @ y.T, 0))
+    assert all((lower >= np.abs(np.sqrt(far[:200, p, None]) - np.sqrt(far[None, :, p])) - 1).all() for p in range(far.shape[1]))  # no pivot alone does better
+    block = topk.Block(np.arange(200), x[:200], y[:200], length[:200], np.full(200, -np.inf), 20)
+    for s in range(0, 4000, 1000):
+        block.meet(np.arange(s, s + 1000), x[s : s + 1000], y[s : s + 1000], length[s : s + 1000])
+    assert block.evaluated < 0.2 * block.seen
+
+
 def plain_fingerprint(text):
     w, word = [], ""
     for c in (text or "") + " ":
