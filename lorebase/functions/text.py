@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from . import values as V
 
-_SPACE = r"[\s\x1c-\x1f]"
+#: White space of every script and the separators \x1c-\x1f, spelled out: a Java class of Unicode properties is many times slower.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Marks of the paragraph split; private-use characters, dropped from the text beforehand.
 _BREAK, _HEAD = "", ""
 
@@ -25,12 +27,12 @@ def hits(s: Column | str, p: str, flags: str = "i") -> Column:
 
 
 def strip(s: Column | str) -> Column:
-    return F.regexp_replace(s, f"(?U)^{_SPACE}+|{_SPACE}+\\z", "")
+    return F.btrim(F.col(s) if isinstance(s, str) else s, F.lit(SPACES))
 
 
 def collapse(s: Column | str) -> Column:
     """White space runs as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(s, f"(?U){_SPACE}+", " "))
+    return F.trim(F.regexp_replace(s, f"{SPACE}+", " "))
 
 
 def nonempty(s: Column) -> Column:
@@ -48,7 +50,8 @@ def lines(text: Column | str) -> Column:
 
 
 def is_heading(line: Column) -> Column:
-    return hits(line, V.HEADING)
+    """Of a stripped line. What no heading begins with, in any case, is seen at its first letter."""
+    return F.rlike(line, F.lit(r"\A[\p{Nd}\u2160-\u2188IVXivx\u0130\u0131\[<〈주핵kK\u212aaArR참국]")) & hits(line, V.HEADING)
 
 
 def paragraphs(stripped: Column | str) -> Column:
@@ -62,7 +65,7 @@ def paragraphs(stripped: Column | str) -> Column:
 
 def sentences(paragraph_rows: Column | str) -> Column:
     """Sentences of the paragraphs that are no headings, longer than 15 characters."""
-    split = lambda p: F.transform(F.split(collapse(p["text"]), r"(?<=[.!?])\s+"), lambda s: F.trim(s))
+    split = lambda p: F.split(collapse(p["text"]), "(?<=[.!?]) ")
     plain = F.filter(paragraph_rows, lambda p: ~p["heading"])
     return F.filter(F.flatten(F.transform(plain, split)), lambda s: F.length(s) > 15)
 
@@ -87,23 +90,32 @@ def folded(text: Column | str) -> Column:
 
 
 def literal(p: str) -> str:
-    """The longest run of letters that any match of a pattern holds; patterns stay simple enough to tell."""
+    """The longest run of letters, or an equals sign, that any match of a pattern holds; patterns stay simple enough to tell."""
     p = re.sub(r"\\[A-Za-z]", " ", re.sub(r"\(\?<?!.*?\)", " ", p))
     while (q := re.sub(r"\([^()]*\)[?*]?|\[[^]]*\][?*]?|\{[^}]*\}", " ", p)) != p:
         p = q
-    return max(re.findall(r"[^\W\d_ ]+", re.sub(r"\w[?*]", " ", p)), key=len, default="").lower()
+    return max(re.findall(r"[^\W\d_ ]+|=", re.sub(r"\w[?*]", " ", p)), key=lambda w: (len(w), w == "="), default="").lower()
 
 
 def may_hit(low: Column | str, patterns: list[str]) -> Column:
     """A cheap test on folded text that is true wherever a pattern matches."""
-    words = {literal(p) for p in patterns}
-    return F.lit(True) if "" in words else reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in sorted(words)])
+    words = {literal(p) or (r"\d" if re.search(r"\\d(?![?*])", p) else "") for p in patterns}
+    if "" in words:
+        return F.lit(True)
+    test = lambda w: F.rlike(low, F.lit(r"\p{Nd}")) if w == r"\d" else F.contains(low, F.lit(w))
+    return reduce(lambda a, b: a | b, [test(w) for w in sorted(words)])
+
+
+def folded_rows(sentence_rows: Column | str) -> Column:
+    return F.transform(sentence_rows, folded)
 
 
 def matches(sentence_rows: Column | str, name: str, low: Column | str | None = None) -> Column:
-    """Sentences of a cue class; ``low``, the folded text they are from, spares texts that cannot have any."""
-    found = F.filter(sentence_rows, lambda s: hits(s, cue(name)))
-    return found if low is None else F.when(may_hit(low, V.CUES[name]), found).otherwise(F.array().cast("array<string>"))
+    """Sentences of a cue class; ``low``, their folded forms, spares the pattern those that cannot have any."""
+    if low is None:
+        return F.filter(sentence_rows, lambda s: hits(s, cue(name)))
+    low = F.col(low) if isinstance(low, str) else low
+    return F.filter(sentence_rows, lambda s, i: may_hit(low[i], V.CUES[name]) & hits(s, cue(name)))
 
 
 def first(rows: Column) -> Column:

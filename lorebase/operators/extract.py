@@ -37,7 +37,8 @@ def doi(text: Column, known: Column) -> Column:
 
 
 def language(text: Column | str) -> Column:
-    korean, latin = F.regexp_count(text, F.lit("[가-힣]")), F.regexp_count(text, F.lit("[A-Za-z]"))
+    only = lambda letters: F.length(F.regexp_replace(text, f"[^{letters}]+", ""))
+    korean, latin = only("가-힣"), only("A-Za-z")
     return F.when(korean > latin * 0.3, "ko").otherwise("en")
 
 
@@ -57,7 +58,7 @@ def keywords(text: Column | str) -> Column:
 
 
 def normal_title(line: Column) -> Column:
-    return F.btrim(F.regexp_replace(line, r"(?U)[\s*]+\d*\s*\z", ""), F.lit(" *"))
+    return F.btrim(F.regexp_replace(line, rf"(?:{T.SPACE}|\*)+\p{{Nd}}*{T.SPACE}*\z", ""), F.lit(" *"))
 
 
 def guess_title(stripped: Column | str, every: Column | str) -> Column:
@@ -162,7 +163,7 @@ def extract(sources: DataFrame) -> DataFrame:
     text, some = F.col("_text"), F.col("_some")
     s = s.withColumns({"_some": T.strip("_text") != "", "_raw": T.raw_lines("_text"), "_lines": T.lines("_text"), "_low": T.folded("_text")})
     s = s.withColumn("_titles", F.transform("_raw", normal_title))
-    s = s.withColumn("_paragraphs", T.paragraphs("_lines")).withColumn("_sentences", T.sentences("_paragraphs"))
+    s = s.withColumn("_paragraphs", T.paragraphs("_lines")).withColumn("_sentences", T.sentences("_paragraphs")).withColumn("_lows", T.folded_rows("_sentences"))
     file_name = F.coalesce(F.col("_title"), F.lit("")).isin("") | (F.instr(F.trim(F.coalesce(F.col("_title"), F.lit(""))), " ") == 0)
     s = s.withColumns({
         "doi": doi(text, F.col("_doi")),
@@ -174,11 +175,11 @@ def extract(sources: DataFrame) -> DataFrame:
         "keywords": F.when(some, keywords(text)).otherwise(_empty()),
     })
     s = s.withColumn("abstract", F.when(some, abstract(text, F.col("_lines"), F.col("language"))))
-    limits, future = limitations_and_future("_paragraphs", "_sentences", "_low")
-    m = lambda name, k: F.slice(T.matches("_sentences", name, "_low"), 1, k)
+    limits, future = limitations_and_future("_paragraphs", "_sentences", "_lows")
+    m = lambda name, k: F.slice(T.matches("_sentences", name, "_lows"), 1, k)
     s = s.withColumns({
-        "purpose": T.first(m("purpose", 1)), "_methodology": T.matches("_sentences", "methodology", "_low"), "research_questions": m("research_questions", 5),
-        "sample": sample("_sentences", "_low"), "data": T.first(m("data", 1)), "key_findings": m("findings", 6),
+        "purpose": T.first(m("purpose", 1)), "_methodology": T.matches("_sentences", "methodology", "_lows"), "research_questions": m("research_questions", 5),
+        "sample": sample("_sentences", "_lows"), "data": T.first(m("data", 1)), "key_findings": m("findings", 6),
         "theoretical_contributions": m("theoretical_contrib", 4), "practical_contributions": m("practical_contrib", 3),
         "limitations": limits, "future_work": future,
     })

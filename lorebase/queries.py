@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -100,10 +100,13 @@ def _entities(gazetteer: dict) -> str:
     return f"list_transform(list_sort(list_filter([{', '.join(rows)}], lambda m: m.n <= -2 OR (m.n = -1 AND m.e))), lambda m: m.name)"
 
 
+_TOP = {"research_questions": 5, "findings": 6, "theoretical_contrib": 4, "practical_contrib": 3}
 _KNOWN = _hit("c", [p for g in (V.THEORIES, V.METHODS) for ps in g.values() for p in ps])
 _FIELDS = _SENTENCES + f""", fields AS (
   SELECT source_id, seq, title AS s_title, source_type, text, ls, {_GUESS} AS title, {_DOI} AS doi, {_LANG} AS language, {_JOURNAL} AS journal, {_YEAR} AS year, {_KEYWORDS} AS keywords, {_ABSTRACT} AS abstract,
-    {_AUTHORS} AS authors, {_FUTURE} AS future_work, {_cue("methodology")} AS meth FROM sentences),
+    {_AUTHORS} AS authors, {_FUTURE} AS future_work, {_LIMITS} AS limitations, {_cue("methodology")} AS meth, {_cue("purpose")}[1] AS purpose, {_cue("data")}[1] AS data,
+    list_filter(ss, lambda s: {_CUE['sample']} AND NOT {_CUE['future_work']} AND NOT {_CUE['limitations']})[1] AS sample,
+    {", ".join(f"{_cue(k, n)} AS {k}" for k, n in _TOP.items())} FROM sentences),
 stress AS (SELECT *, coalesce(abstract, '') || ' ' || array_to_string(keywords, ' ') || ' ' || coalesce(title, '') || ' ' || array_to_string(meth, ' ') AS stressed FROM fields),
 ents AS (SELECT *, {_entities(V.THEORIES)} AS theories, {_entities(V.METHODS)} AS methods,
     list_filter(keywords, lambda c: NOT {_KNOWN} AND lower(c) <> coalesce(lower(journal), '')) AS found FROM stress),
@@ -121,18 +124,48 @@ def _link(kind: str, x: str, alias: str | None = None) -> str:
     return f"('[[{kind}/' || {_slug(x)} || '|' || {alias or x} || ']]')"
 
 
+def _grouped(groups: dict[str, str]) -> str:
+    """Bold labels with their bullets, of lists; null if all are empty."""
+    parts = ", ".join(f"CASE WHEN len({rows}) > 0 THEN '**{label}:**' || chr(10) || array_to_string(list_transform({rows}, lambda v: '- ' || v), chr(10)) END" for label, rows in groups.items())
+    return f"nullif(array_to_string(list_filter([{parts}], lambda g: g IS NOT NULL), chr(10)), '')"
+
+
+def _links(kind: str, rows: str) -> str:
+    return f"list_transform({rows}, lambda v: {_link(kind, 'v')})"
+
+
+def _one(x: str) -> str:
+    return f"list_filter([{x}], lambda v: v IS NOT NULL AND v <> '')"
+
+
+_OVER = f"CASE WHEN len(concepts) > 0 THEN [{_link('overviews', 'concepts[1]', chr(39) + 'Overview: ' + chr(39) + ' || concepts[1]')}] ELSE [] END"
+_RELATED = f"list_concat({_links('concepts', 'concepts')}, {_links('theories', 'theories')}, {_links('methods', 'methods')}, {_OVER})"
+#: Sections of a paper's page; those that no default extractor fills are null.
+_PAPER = {
+    "Summary": "'> [!quote] 원문 요약 (Source Fact)' || chr(10) || '> ' || nullif(abstract, '')",
+    "Research Context": _grouped({"Purpose": _one("purpose"), "Research Questions": "research_questions", "Theoretical Background": _links("theories", "theories"), "Key Concepts": _links("concepts", "concepts")}),
+    "Research Design": _grouped({"Methodology": _one("meth[1]"), "Data": _one("data"), "Sample": _one("sample")}),
+    "Variables": "NULL",
+    "Analysis": _grouped({"Methods": _links("methods", "methods")}),
+    "Results": _grouped({"Key Findings": "findings", "Significant Relationships": "sig", "Non-significant Relationships": "non"}),
+    "Discussion": _grouped({"Theoretical Contributions": "theoretical_contrib", "Practical Contributions": "practical_contrib", "Limitations": "limitations", "Future Work": "future_work"}),
+    "Claims": "NULL",
+    "Related Pages": "array_to_string(list_transform(list_filter(related, lambda v, i: list_position(related, v) = i), lambda v: '- ' || v), chr(10))",
+    "Provenance": "'- Source ID: `' || source_id || '`' || chr(10) || '- Local file: (metadata-only)' || coalesce(chr(10) || '- DOI: ' || doi, '') || chr(10) || '- Evidence level: unknown' || chr(10) || '" + V.EXTRACTOR_LINE + "'",
+}
 _QTITLE = r"regexp_replace(regexp_replace(trim(f), '^(?:first(?:ly)?|second(?:ly)?|third(?:ly)?|also|finally|moreover)\s*,?\s*', '', 'i'), '^(?:future research)\s*', '', 'i')"
 _QNAME = f"CASE WHEN length({_QTITLE}) <= 50 THEN {_QTITLE} ELSE rtrim({_QTITLE}[1:50]) || '…' END"
 #: Relations that no default extractor finds, given to every third paper so that effects occur.
 _SIG, _NON = "CASE WHEN seq % 3 = 0 THEN ['quality -> adoption ' || seq % 4] ELSE [] END", "CASE WHEN seq % 7 = 0 THEN ['price -> adoption'] ELSE [] END"
 _LOG = _FIELDS + f""", base AS (
-  SELECT *, {_SIG} AS sig, {_NON} AS non, '(' || {_link("papers", "title", "ref")} || ')' AS cite, {_link("papers", "title")} || ' — ' || ref AS bullet FROM ex),
+  SELECT *, {_SIG} AS sig, {_NON} AS non, '(' || {_link("papers", "title", "ref")} || ')' AS cite, {_link("papers", "title")} || ' — ' || ref AS bullet, {_RELATED} AS related FROM ex),
 ent AS (SELECT seq, 2 AS step, 'concepts' AS page_type, unnest(concepts) AS name, generate_subscripts(concepts, 1) - 1 AS i, sig, non, cite, bullet, keywords, title, language FROM base
   UNION ALL SELECT seq, 3, 'theories', unnest(theories), generate_subscripts(theories, 1) - 1, sig, non, cite, bullet, keywords, title, language FROM base
   UNION ALL SELECT seq, 4, 'methods', unnest(methods), generate_subscripts(methods, 1) - 1, sig, non, cite, bullet, keywords, title, language FROM base),
 ques AS (SELECT seq, unnest(future_work[1:3]) AS f, generate_subscripts(future_work[1:3], 1) - 1 AS i, concepts, cite, bullet FROM base),
 log AS (
   SELECT seq, step, i * 100 AS pos, page_type, name, 'Related Papers' AS section, 'append' AS op, bullet AS line FROM ent
+  {" ".join(f"UNION ALL SELECT seq, 1, {i}, 'papers', title, '{k}', 'set', {x} FROM base" for i, (k, x) in enumerate(_PAPER.items()))}
   UNION ALL SELECT seq, step, i * 100 + 1, page_type, name, 'Applications', 'append', 'Applied to: ' || coalesce(nullif(array_to_string(keywords[1:3], ', '), ''), title) || ' ' || cite FROM ent WHERE page_type = 'methods'
   UNION ALL SELECT seq, step, i * 100 + 10, page_type, name, 'Established Findings', 'append', sig[1] || ' ' || cite FROM ent WHERE len(sig) > 0
   UNION ALL SELECT seq, step, i * 100 + 20, page_type, name, 'Conflicting Findings', 'append', '(non-significant) ' || non[1] || ' ' || cite FROM ent WHERE len(non) > 0
@@ -155,9 +188,18 @@ def _fields(spark: SparkSession, d: str, **columns) -> DataFrame:
     return s.select("source_id", *[c.alias(k) for k, c in columns.items()])
 
 
+def _rows(df: DataFrame, rows: Column, *names: str) -> DataFrame:
+    """``df`` with a row for each element of ``rows``: (place, element) or (element) by the number of ``names``.
+
+    The outer form: for the plain one Spark asks whether an array is empty before it reads on, by evaluating it twice.
+    """
+    made = (F.posexplode_outer if len(names) == 2 else F.explode_outer)(rows)
+    return df.select("source_id", made.alias(*names)).where(F.col(names[-1]).isNotNull())
+
+
 def _sentences(spark: SparkSession, d: str) -> DataFrame:
-    s = P.papers(spark, d).withColumn("ps", T.paragraphs(T.lines("text"))).withColumn("low", T.folded("text"))
-    return s.select("source_id", "low", "ps", T.sentences("ps").alias("ss"))
+    s = P.papers(spark, d).withColumn("ps", T.paragraphs(T.lines("text")))
+    return s.select("source_id", "ps", T.sentences("ps").alias("ss")).withColumn("low", T.folded_rows("ss"))
 
 
 def extractions(spark: SparkSession, d: str) -> DataFrame:
@@ -168,10 +210,9 @@ def extractions(spark: SparkSession, d: str) -> DataFrame:
     return X.extract(P.papers(spark, d)).withColumns({"significant_relationships": sig, "nonsignificant_relationships": non})
 
 
-def log(spark: SparkSession, d: str, papers_too: bool = True) -> DataFrame:
+def log(spark: SparkSession, d: str) -> DataFrame:
     """The contribution log of the composed papers, written once: pages read it several times."""
-    got = cut(M.contributions(P.papers(spark, d).drop("text"), extractions(spark, d)))
-    return got if papers_too else got.where("page_type <> 'papers'")
+    return cut(M.contributions(P.papers(spark, d).drop("text"), extractions(spark, d)))
 
 
 # ---- registration and deduplication
@@ -289,18 +330,19 @@ def text_lines(spark, d):
 
 @query(f"WITH {_LINES} SELECT source_id, unnest(list_filter(ls, lambda x: regexp_matches(x, '{_HEAD}', 'i'))) AS heading FROM lined")
 def text_headings(spark, d):
-    return _fields(spark, d, heading=F.explode(F.filter("ls", T.is_heading)))
+    s = P.papers(spark, d).select("source_id", T.lines("text").alias("ls"))
+    return _rows(s, F.filter("ls", T.is_heading), "heading")
 
 
 @query(f"WITH {_PARAGRAPHS} SELECT source_id, i - 1 AS pos, starts_with(p, chr(2)) AS heading, replace(trim(p, chr(2)), chr(10), ' ') AS text FROM (SELECT source_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM marked)")
 def text_paragraphs(spark, d):
-    s = _sentences(spark, d).select("source_id", F.posexplode("ps").alias("pos", "p"))
+    s = _rows(_sentences(spark, d), F.col("ps"), "pos", "p")
     return s.select("source_id", F.col("pos").cast("long"), "p.heading", "p.text")
 
 
 @query(f"WITH {_SENTENCES} SELECT source_id, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS pos FROM sentences")
 def text_sentences(spark, d):
-    return _sentences(spark, d).select("source_id", F.posexplode("ss").alias("pos", "sentence")).withColumn("pos", F.col("pos").cast("long"))
+    return _rows(_sentences(spark, d), F.col("ss"), "pos", "sentence").withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(f"WITH {_SENTENCES} SELECT source_id, " + ", ".join(f"len({_cue(k)}) AS n_{k}" for k in V.CUES) + " FROM sentences")
@@ -313,9 +355,6 @@ def cue_first(spark, d):
     return _sentences(spark, d).select("source_id", *[T.first(T.matches("ss", k, "low")).alias(k) for k in ("purpose", "methodology", "data")])
 
 
-_TOP = {"research_questions": 5, "findings": 6, "theoretical_contrib": 4, "practical_contrib": 3}
-
-
 @query(f"WITH {_SENTENCES} SELECT source_id, " + ", ".join(f"{_cue(k, n)} AS {k}" for k, n in _TOP.items()) + " FROM sentences")
 def cue_topn(spark, d):
     return _sentences(spark, d).select("source_id", *[F.slice(T.matches("ss", k, "low"), 1, n).alias(k) for k, n in _TOP.items()])
@@ -339,8 +378,9 @@ _ALL = {"theory": V.THEORIES, "method": V.METHODS}
 @query(f"WITH {_PAPERS}, counted AS (" + " UNION ALL ".join(f"SELECT source_id, '{k}' AS kind, '{n}' AS name, {' + '.join(_count('text', p) for p in ps)} AS n FROM papers" for k, g in _ALL.items() for n, ps in g.items()) + ") SELECT * FROM counted WHERE n > 0")
 def entity_counts(spark, d):
     s = P.papers(spark, d).withColumn("low", T.folded("text"))
-    rows = [s.select("source_id", F.lit(k).alias("kind"), F.explode(X.mentions("text", g, "low")).alias("m")) for k, g in _ALL.items()]
-    return rows[0].unionByName(rows[1]).where("m.n > 0").select("source_id", "kind", "m.name", F.col("m.n").cast("long").alias("n"))
+    named = lambda k: lambda m: F.struct(F.lit(k).alias("kind"), m["name"].alias("name"), m["n"].cast("long").alias("n"))
+    found = F.concat(*[F.transform(X.mentions("text", g, "low"), named(k)) for k, g in _ALL.items()])
+    return _rows(s, F.filter(found, lambda m: m["n"] > 0), "m").select("source_id", "m.*")
 
 
 @query(f"WITH {_FIELDS} SELECT source_id, theories, methods FROM ex")
@@ -353,9 +393,15 @@ def concepts(spark, d):
     return extractions(spark, d).select("source_id", "key_concepts", X.attached_concepts("key_concepts").alias("concepts"))
 
 
-@query(r"""WITH phrases AS (SELECT doc_id, unnest(regexp_extract_all(substr(text, 1, 2000), '\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3})\b', 1)) AS p FROM documents WHERE doc_id IS NOT NULL AND regexp_full_match(text, '[\x00-\x7f]*')),
+#: RE2's borders know ASCII alone, so letters and digits beyond it stand as underscores, which are word characters too.
+_SHOWN = r"array_to_string(list_transform(string_split(substr(text, 1, 2000), ''), lambda c: CASE WHEN ord(c) > 127 AND regexp_matches(c, '[\p{L}\p{N}]') THEN '_' ELSE c END), '')"
+_PHRASE = r"\b([A-Z][a-z]+(?:[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+[A-Z][a-z]+){1,3})\b"
+
+
+@query(f"""WITH phrases AS (SELECT doc_id, unnest(regexp_extract_all({_SHOWN}, '{_PHRASE}', 1)) AS p FROM documents WHERE doc_id IS NOT NULL),
 counted AS (SELECT doc_id, p, count(*) AS n FROM phrases GROUP BY ALL)
-SELECT doc_id, list(p ORDER BY n DESC, p)[1:12] AS phrases FROM counted WHERE regexp_extract(p, '^\S+') NOT IN ('The', 'This', 'These', 'We', 'In', 'Our') GROUP BY doc_id""")
+SELECT doc_id, list(p ORDER BY n DESC, p)[1:12] AS phrases FROM counted
+WHERE regexp_extract(p, '^[A-Za-z]+') NOT IN ('The', 'This', 'These', 'We', 'In', 'Our') AND NOT {_KNOWN.replace("regexp_matches(c,", "regexp_matches(p,")} GROUP BY doc_id""")
 def concepts_fallback(spark, d):
     s = _table(spark, d, "documents").where("doc_id IS NOT NULL").select("doc_id", X.phrases_of(F.lit(None).cast("string"), "text").alias("_p"))
     return s.select("doc_id", X.concepts(F.array().cast("array<string>"), F.col("_p"), F.lit(None).cast("string")).alias("phrases")).where(F.size("phrases") > 0)
@@ -370,10 +416,14 @@ def short_ref(spark, d):
     return e.select("source_id", T.short_ref(F.col("authors"), F.col("title"), F.col("source_id"), F.col("year")).alias("ref"))
 
 
-_NAMES = "SELECT doc_id, split_part(text, chr(10), 1)[1:100] AS name FROM documents"
+_DASHED = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(name, '(?i)&(?:amp|lt|gt|quot|apos);', ' ', 'g')), '(\p{N}),(\p{N})', '\1\2', 'g'), '(\p{N}),(\p{N})', '\1\2', 'g'), '[^\p{L}\p{N}]+', '-', 'g'), '-')"
+#: Whole words up to 120 characters: one that does not fit is left out, one that ends there is the last.
+_FITS = """trim(list_reduce(string_split(s, '-'), lambda acc, w: CASE WHEN acc <> '' AND NOT ends_with(acc, '-') THEN acc WHEN length(acc) + length(w) < 120 THEN acc || w || '-'
+  WHEN length(acc) + length(w) = 120 THEN acc || w ELSE acc END, ''), '-')"""
 
 
-@query(f"SELECT doc_id, CASE WHEN {_slug('name')} = '' THEN 'untitled' ELSE {_slug('name')} END AS slug FROM ({_NAMES})")
+@query(f"""SELECT doc_id, coalesce(nullif(CASE WHEN length(s) < 120 THEN s ELSE coalesce(nullif({_FITS}, ''), s[1:120]) END, ''), 'untitled') AS slug
+FROM (SELECT doc_id, {_DASHED} AS s FROM (SELECT doc_id, split_part(text, chr(10), 1) AS name FROM documents))""")
 def slug(spark, d):
     return _table(spark, d, "documents").select("doc_id", T.slug(F.split_part("text", F.lit("\n"), F.lit(1))).alias("slug"))
 
@@ -410,11 +460,11 @@ effects AS (SELECT *, CASE WHEN page_type IN ('concepts', 'theories', 'methods')
 
 @query(f"WITH {_TOUCH} SELECT seq, page_type, slug, effect FROM effects WHERE effect IS NOT NULL")
 def effects(spark, d):
-    return M.touches(log(spark, d, False)).where("effect IS NOT NULL").select("seq", "page_type", "slug", "effect")
+    return M.touches(log(spark, d)).where("effect IS NOT NULL").select("seq", "page_type", "slug", "effect")
 
 
 @query(f"""WITH {_TOUCH} SELECT seq, page_type, slug, CASE WHEN NOT existed THEN 'created' ELSE 'updated' END AS change FROM effects
-WHERE NOT existed OR page_type = 'overviews' OR (effect IS NOT NULL AND (added OR effect <> 'unchanged'))""")
+WHERE NOT existed OR page_type IN ('overviews', 'papers') OR (effect IS NOT NULL AND (added OR effect <> 'unchanged'))""")
 def page_changes(spark, d):
     return M.changes(log(spark, d)).drop("source_id")
 
@@ -425,22 +475,19 @@ def overview_sections(spark, d):
     return got.select("slug", "section", "n", F.sha2(F.array_join(F.col("x.line"), "\n"), 256).alias("body_sha256"))
 
 
-@query(f"WITH {_LOG} SELECT slug, section, arg_max(line, (seq, step, pos)) AS body FROM slugged WHERE op = 'set' GROUP BY ALL")
+@query(f"WITH {_LOG} SELECT slug, section, arg_max(line, (seq, step, pos)) AS body FROM slugged WHERE op = 'set' AND page_type = 'questions' GROUP BY ALL")
 def open_questions(spark, d):
     return M.set_sections(log(spark, d)).where("page_type = 'questions'").select("slug", "section", F.col("line").alias("body"))
 
 
-@query(f"""WITH {_LOG}, named AS (SELECT {_slug('title')} AS slug, seq, abstract, doi, source_id FROM base)
-SELECT slug, arg_max('> [!quote] 원문 요약 (Source Fact)' || chr(10) || '> ' || abstract, seq) AS summary, arg_max('- Source ID: `' || source_id || '`', seq) AS source_line FROM named GROUP BY slug""")
+@query(f"""WITH {_LOG} SELECT slug, section, arg_max(line, (seq, step, pos)) AS body FROM slugged WHERE page_type = 'papers' AND line <> '' GROUP BY ALL""")
 def paper_sections_lww(spark, d):
-    s = M.set_sections(log(spark, d)).where("page_type = 'papers'")
-    pick = lambda name: F.max(F.when(F.col("section") == name, F.col("line")))
-    return s.groupBy("slug").agg(pick("Summary").alias("summary"), F.substring_index(pick("Provenance"), "\n", 1).alias("source_line"))
+    return M.set_sections(log(spark, d)).where("page_type = 'papers'").select("slug", "section", F.col("line").alias("body"))
 
 
-_RENDER = _LOG + ", skeleton AS (" + " UNION ALL ".join(f"SELECT '{t}' AS page_type, '{s}' AS section, {i} AS ord" for t, ss in V.SECTIONS.items() if t != "papers" for i, s in enumerate(ss)) + """),
+_RENDER = _LOG + ", skeleton AS (" + " UNION ALL ".join(f"SELECT '{t}' AS page_type, '{s}' AS section, {i} AS ord" for t, ss in V.SECTIONS.items() for i, s in enumerate(ss)) + """),
 bodies AS (SELECT page_type, slug, section, string_agg('- ' || line, chr(10) ORDER BY seq, step, pos) AS body, min((seq, step, pos)) AS first_at FROM firsts WHERE k = 1 GROUP BY ALL
-  UNION ALL SELECT page_type, slug, section, arg_max(line, (seq, step, pos)), NULL FROM slugged WHERE op = 'set' GROUP BY ALL),
+  UNION ALL SELECT page_type, slug, section, arg_max(line, (seq, step, pos)), NULL FROM slugged WHERE op = 'set' AND line <> '' GROUP BY ALL),
 paged AS (SELECT page_type, slug, arg_min(name, (seq, step, pos)) AS name FROM slugged GROUP BY ALL),
 parts AS (SELECT coalesce(p.page_type, b.page_type) AS page_type, coalesce(p.slug, b.slug) AS slug, coalesce(p.section, b.section) AS section, coalesce(ord, 1000) AS ord, b.first_at, coalesce(body, '') AS body
   FROM (SELECT page_type, slug, section, ord FROM paged JOIN skeleton USING (page_type)) p FULL JOIN bodies b ON p.page_type = b.page_type AND p.slug = b.slug AND p.section = b.section),
@@ -483,7 +530,7 @@ def search_snippets(spark, d):
 
 
 @query(f"""WITH {_LOG} SELECT 'total_sources' AS metric, '' AS key, count(*) AS value FROM base UNION ALL SELECT 'sources_by_type', source_type, count(*) FROM base GROUP BY source_type
-UNION ALL SELECT 'wiki_pages', page_type, count(DISTINCT slug) FROM slugged GROUP BY page_type UNION ALL SELECT 'wiki_pages', 'papers', count(DISTINCT {_slug('title')}) FROM base
+UNION ALL SELECT 'wiki_pages', page_type, count(DISTINCT slug) FROM slugged GROUP BY page_type
 UNION ALL SELECT 'open_questions', '', count(DISTINCT slug) FROM slugged WHERE page_type = 'questions'
 UNION ALL SELECT 'contradictions', '', count(DISTINCT slug) FROM slugged WHERE page_type = 'concepts' AND section = 'Conflicting Findings'""")
 def digest(spark, d):
@@ -543,9 +590,22 @@ def upsert_latest(spark, d):
     return G.upsert(_table(spark, d, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", "turn")
 
 
-@query("SELECT term, CASE WHEN regexp_matches(term, 'technology\\s+acceptance', 'i') THEN 'Technology Acceptance Model (TAM)' END AS theory, CASE WHEN regexp_matches(term, 'topic\\s*model', 'i') THEN 'Topic Modeling' END AS method FROM (SELECT doc_id || CASE doc_id % 3 WHEN 0 THEN ' Technology  Acceptance' WHEN 1 THEN ' topicmodel' ELSE ' other' END AS term FROM documents)")
+#: A phrase for each entity, in the gazetteers' order, and one for none.
+_SAID = [
+    "Expectancy-Disconfirmation", "Technology  Acceptance", "the UTAUT2 model", "planned behaviour", "Diffusion of innovation", "expectancy theory", "goal-setting theory", "uses and gratification",
+    "self determination theory", "Herzberg", "Joint sentiment", "an LDA run", "BERTopic", "topicmodel", "Text mining", "sentiment  analysis", "semantic network", "morphological analysis", "PLS-SEM",
+    "Regression Analysis", "latent profile", "a survey", "Interviews", "other",
+]
+_SPOKEN = f"doc_id || CASE doc_id % {len(_SAID)} " + " ".join(f"WHEN {i} THEN ' {x}'" for i, x in enumerate(_SAID)) + " END"
+
+
+def _canonical(gazetteer: dict) -> str:
+    return "CASE " + " ".join(f"WHEN {_hit('term', ps)} THEN '{name}'" for name, ps in gazetteer.items()) + " END"
+
+
+@query(f"SELECT term, {_canonical(V.THEORIES)} AS theory, {_canonical(V.METHODS)} AS method FROM (SELECT {_SPOKEN} AS term FROM documents)")
 def canonical_entities(spark, d):
-    s = spark.sql("SELECT concat(doc_id, CASE doc_id % 3 WHEN 0 THEN ' Technology  Acceptance' WHEN 1 THEN ' topicmodel' ELSE ' other' END) AS term FROM {documents}", documents=_table(spark, d, "documents"))
+    s = spark.sql(f"SELECT {_SPOKEN} AS term FROM {{documents}}", documents=_table(spark, d, "documents"))
     return s.select("term", X.canonical("term", V.THEORIES).alias("theory"), X.canonical("term", V.METHODS).alias("method"))
 
 
@@ -566,7 +626,15 @@ def stream_register(spark, d):
     return spark.read.parquet(f"{root}/rows").select("doc_id", "source_type", "file_hash")
 
 
-@query()
+_NAMED = {
+    "key_concepts": "kc", "theoretical_background": "theories", "analysis_methods": "methods", "key_findings": "findings", "significant_relationships": "sig", "nonsignificant_relationships": "non",
+    "theoretical_contributions": "theoretical_contrib", "practical_contributions": "practical_contrib", "methodology": "meth[1]",
+}
+_HELD = {"title", "journal", "doi", "language", "purpose", "data", "sample", "abstract", "authors", "keywords", "research_questions", "limitations", "future_work"}
+_COLUMNS = [f"{_NAMED[c] if c in _NAMED else c if c in _HELD else 'NULL::VARCHAR' if c in X.STRINGS else '[]::VARCHAR[]'} AS {c}" for c in [*X.STRINGS, *X.LISTS]]
+
+
+@query(f"WITH {_FIELDS}, given AS (SELECT *, {_SIG} AS sig, {_NON} AS non FROM ex) SELECT source_id, year, {', '.join(_COLUMNS)} FROM given")
 def paper_extraction(spark, d):
     """The whole record of every paper."""
     return extractions(spark, d)
