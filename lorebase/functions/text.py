@@ -31,8 +31,9 @@ def strip(s: Column | str) -> Column:
 
 
 def collapse(s: Column | str) -> Column:
-    """White space runs as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(s, f"{SPACE}+", " "))
+    """White space runs as one blank, none at the ends. Text of ASCII alone, by its bytes, needs a class of a few bits."""
+    blank = F.when(F.octet_length(s) == F.length(s), F.regexp_replace(s, r"[\x09-\x0d\x1c-\x20]+", " ")).otherwise(F.regexp_replace(s, f"{SPACE}+", " "))
+    return F.trim(blank)
 
 
 def nonempty(s: Column) -> Column:
@@ -122,6 +123,11 @@ def first(rows: Column) -> Column:
     return F.try_element_at(rows, F.lit(1))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value made once, however often it is used; lambdas share no subexpressions otherwise."""
+    return F.transform(F.array(value), use)[0]
+
+
 def slug(name: Column | str) -> Column:
     """File name of a page: lower-case letters and digits of any script joined by dashes, whole words up to 120 characters."""
     s = F.lower(F.regexp_replace(name, "(?i)&(?:amp|lt|gt|quot|apos);", " "))
@@ -130,9 +136,8 @@ def slug(name: Column | str) -> Column:
     room = lambda acc, w: F.lit(120) - F.length(acc) - F.length(w)
     # a word that does not fit is left out and later ones are tried; one that ends at 120 is the last
     step = lambda acc, w: F.when((acc != "") & ~F.endswith(acc, F.lit("-")), acc).when(room(acc, w) > 0, F.concat(acc, w, F.lit("-"))).when(room(acc, w) == 0, F.concat(acc, w)).otherwise(acc)
-    fits = F.btrim(F.aggregate(F.split(s, "-"), F.lit(""), step), F.lit("-"))
-    cut = F.when(F.length(s) < 120, s).otherwise(F.coalesce(nonempty(fits), F.substring(s, 1, 120)))
-    return F.coalesce(nonempty(cut), F.lit("untitled"))
+    fits = lambda s: let(F.btrim(F.aggregate(F.split(s, "-"), F.lit(""), step), F.lit("-")), lambda f: F.when(f != "", f).otherwise(F.substring(s, 1, 120)))
+    return let(s, lambda s: F.when(s.isNull() | (s == ""), F.lit("untitled")).when(F.length(s) < 120, s).otherwise(fits(s)))
 
 
 def nfkc(name: Column) -> Column:

@@ -58,7 +58,9 @@ def keywords(text: Column | str) -> Column:
 
 
 def normal_title(line: Column) -> Column:
-    return F.btrim(F.regexp_replace(line, rf"(?:{T.SPACE}|\*)+\p{{Nd}}*{T.SPACE}*\z", ""), F.lit(" *"))
+    """Without stars, blanks and a number at the end; only lines that end so need the pattern."""
+    odd = F.rlike(F.right(line, F.lit(1)), F.lit(rf"{T.SPACE}|[*\p{{Nd}}]"))
+    return F.btrim(F.when(odd, F.regexp_replace(line, rf"(?:{T.SPACE}|\*)+\p{{Nd}}*{T.SPACE}*\z", "")).otherwise(line), F.lit(" *"))
 
 
 def guess_title(stripped: Column | str, every: Column | str) -> Column:

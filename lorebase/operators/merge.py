@@ -28,9 +28,9 @@ def _row(step: int, pos: Column, kind: str, name: Column, section: str | Column,
     return F.struct(F.lit(step).alias("step"), pos.cast("int").alias("pos"), F.lit(kind).alias("page_type"), name.alias("name"), section.alias("section"), F.lit(op).alias("op"), line.alias("line"))
 
 
-def _each(rows: Column, make, n: int = 1000) -> Column:
-    """Rows of ``make(value, index)`` for the first ``n`` values."""
-    return F.transform(F.slice(rows, 1, n), make)
+def _each(rows: Column, make, n: int | None = None) -> Column:
+    """Rows of ``make(value, index)`` for all values, or the first ``n`` where a page takes no more."""
+    return F.transform(rows if n is None else F.slice(rows, 1, n), make)
 
 
 def grouped(groups: dict[str, Column]) -> Column:
@@ -40,6 +40,14 @@ def grouped(groups: dict[str, Column]) -> Column:
     return T.nonempty(F.concat_ws("\n", *[part(k, rows) for k, rows in kept.items()]))
 
 
+#: Kinds of entity pages, with the columns that name their pages.
+ENTITIES = {"concepts": "concepts", "theories": "theoretical_background", "methods": "analysis_methods"}
+
+
+def _linked(kind: str):
+    return lambda x: T.wikilink(kind, x)
+
+
 def contributions(sources: DataFrame, extractions: DataFrame) -> DataFrame:
     """The log rows of sources (seq, source_id, title, author, source_type, evidence_level, ...) and their extractions."""
     optional = {"url": "string", "local_file": "string", "publication_date": "date", "evidence_level": "string"}
@@ -50,21 +58,24 @@ def contributions(sources: DataFrame, extractions: DataFrame) -> DataFrame:
         "p_title": F.coalesce(some("title"), some("s_title")), "p_authors": F.when(F.size("authors") > 0, F.col("authors")).otherwise(F.coalesce("author", F.array().cast("array<string>"))),
         "p_year": F.coalesce(F.nullif(F.col("year"), F.lit(0)), F.year("publication_date")), "p_doi": F.coalesce(some("doi"), some("s_doi")), "concepts": attached_concepts("key_concepts"),
     }).withColumn("name", F.coalesce("p_title", "source_id")).withColumn("ref", T.short_ref(F.col("p_authors"), F.col("p_title"), F.col("source_id"), F.col("p_year")))
-    e = e.withColumn("cite", F.concat(F.lit("("), T.wikilink("papers", F.col("name"), F.col("ref")), F.lit(")")))
-    e = e.withColumn("bullet", F.concat(T.wikilink("papers", F.col("name")), F.lit(" — "), F.col("ref")))
     c = F.col
     cite = lambda x: F.concat(x, F.lit(" "), c("cite"))
-    links = lambda kind, rows: F.transform(rows, lambda x: T.wikilink(kind, x))
-    related = F.concat(links("concepts", c("concepts")), links("theories", c("theoretical_background")), links("methods", c("analysis_methods")))
+    # every link is made once, and read from a column wherever it occurs
+    e = e.withColumn("own", F.concat(F.lit("[[papers/"), T.slug("name"), F.lit("|")))
+    e = e.withColumns({
+        "cite": F.concat(F.lit("("), "own", "ref", F.lit("]])")), "bullet": F.concat("own", "name", F.lit("]] — "), "ref"),
+        **{f"{kind}_links": F.transform(c(names), _linked(kind)) for kind, names in ENTITIES.items()},
+    })
+    related = F.concat(*[c(f"{kind}_links") for kind in ENTITIES])
     overview = F.transform(F.slice("concepts", 1, 1), lambda t: T.wikilink("overviews", t, F.concat(F.lit("Overview: "), t)))
     related = F.array_distinct(F.concat(related, overview))
     one = lambda col: F.array_compact(F.array(some(col)))
     paper = {
         "Summary": F.concat(F.lit(V.SUMMARY_QUOTE), some("abstract")),
-        "Research Context": grouped({"Purpose": one("purpose"), "Research Questions": c("research_questions"), "Theoretical Background": links("theories", c("theoretical_background")), "Key Concepts": links("concepts", c("concepts"))}),
+        "Research Context": grouped({"Purpose": one("purpose"), "Research Questions": c("research_questions"), "Theoretical Background": c("theories_links"), "Key Concepts": c("concepts_links")}),
         "Research Design": grouped({"Methodology": one("methodology"), "Design": one("research_design"), "Data": one("data"), "Sample": one("sample")}),
         "Variables": grouped({k.title(): c(f"{k}_variables") for k in ("independent", "dependent", "mediating", "moderating", "control")}),
-        "Analysis": grouped({"Methods": links("methods", c("analysis_methods")), "Models": c("models"), "Algorithms": c("algorithms"), "Metrics": c("evaluation_metrics")}),
+        "Analysis": grouped({"Methods": c("methods_links"), "Models": c("models"), "Algorithms": c("algorithms"), "Metrics": c("evaluation_metrics")}),
         "Results": grouped({"Key Findings": c("key_findings"), "Significant Relationships": c("significant_relationships"), "Non-significant Relationships": c("nonsignificant_relationships")}),
         "Discussion": grouped({"Theoretical Contributions": c("theoretical_contributions"), "Practical Contributions": c("practical_contributions"), "Limitations": c("limitations"), "Future Work": c("future_work")}),
         "Claims": F.array_join(F.transform("claims", lambda x: F.concat(F.lit("- "), x, F.lit("  "), c("cite"))), "\n") if "claims" in e.columns else F.lit(None).cast("string"),
@@ -88,15 +99,15 @@ def contributions(sources: DataFrame, extractions: DataFrame) -> DataFrame:
 
         return page
 
-    for step, kind, names in ((2, "concepts", "concepts"), (3, "theories", "theoretical_background"), (4, "methods", "analysis_methods")):
+    for step, (kind, names) in enumerate(ENTITIES.items(), 2):
         rows.append(F.flatten(F.transform(names, entity(step, kind))))
     topic = F.try_element_at(c("concepts"), F.lit(1))
-    over = lambda base, section, source, make, n=1000: _each(source, lambda x, j: _row(5, j + base, "overviews", topic, section, "append", make(x)), n)
+    over = lambda base, section, source, make, n=None: _each(source, lambda x, j: _row(5, j + base, "overviews", topic, section, "append", make(x)), n)
     overviews = F.concat(
         F.array(_row(5, F.lit(0), "overviews", topic, "Key Papers", "append", c("bullet"))),
-        over(100, "Major Theories", c("theoretical_background"), lambda x: cite(T.wikilink("theories", x))),
-        over(200, "Important Variables", F.slice(c("concepts"), 2, 1000), lambda x: cite(T.wikilink("concepts", x))),
-        over(300, "Recent Developments", c("analysis_methods"), lambda x: cite(F.concat(F.lit("방법론: "), T.wikilink("methods", x)))),
+        over(100, "Major Theories", c("theories_links"), cite),
+        over(200, "Important Variables", F.filter(c("concepts_links"), lambda x, i: i > 0), cite),
+        over(300, "Recent Developments", c("methods_links"), lambda x: cite(F.concat(F.lit("방법론: "), x))),
         over(400, "Open Questions", c("future_work"), cite, 3),
     )
     rows.append(F.filter(overviews, lambda r: topic.isNotNull()))
@@ -105,7 +116,7 @@ def contributions(sources: DataFrame, extractions: DataFrame) -> DataFrame:
         at, n = i * 100, T.question_title(fw)
         return F.concat(
             F.array(_row(6, at, "questions", n, "Question", "set", fw), _row(6, at + 1, "questions", n, "Why It Is Open", "set", F.concat(F.lit(V.WHY_OPEN), c("cite")))),
-            _each(c("concepts"), lambda x, j: _row(6, at + 10 + j, "questions", n, "Related Concepts", "append", T.wikilink("concepts", x)), 3),
+            _each(c("concepts_links"), lambda x, j: _row(6, at + 10 + j, "questions", n, "Related Concepts", "append", x), 3),
             F.array(_row(6, at + 50, "questions", n, "Related Papers", "append", c("bullet")), _row(6, at + 51, "questions", n, "Status", "set", F.lit("detected"))),
         )
 
@@ -134,9 +145,11 @@ def pages(log: DataFrame) -> DataFrame:
 
 def touches(log: DataFrame) -> DataFrame:
     """A row for each source and page: existed, added, prior (findings established before) and effect on entity pages."""
-    t = log.groupBy("seq", "source_id", *PAGE).agg(F.min(order()).alias("at"), F.max("has_sig").alias("has_sig"), F.max("has_nonsig").alias("has_nonsig"), F.max_by("name", order()).alias("name"))
-    firsts = log.groupBy(*PAGE).agg(F.min(order()).alias("page_at"), F.min(F.when(F.col("section") == "Established Findings", order())).alias("found_at"))
-    new = bullets(log).where("section IN ('Related Papers', 'Applications')").select(*PAGE, F.col("at.seq").alias("seq")).distinct().withColumn("added", F.lit(True))
+    found = F.min(F.when(F.col("section") == "Established Findings", order())).alias("own_found")
+    t = log.groupBy("seq", "source_id", *PAGE).agg(F.min(order()).alias("at"), found, F.max("has_sig").alias("has_sig"), F.max("has_nonsig").alias("has_nonsig"), F.max_by("name", order()).alias("name"))
+    firsts = t.groupBy(*PAGE).agg(F.min("at").alias("page_at"), F.min("own_found").alias("found_at"))
+    listed = log.where(F.lower("section").isin("related papers", "applications"))
+    new = bullets(listed).where("section IN ('Related Papers', 'Applications')").select(*PAGE, F.col("at.seq").alias("seq")).distinct().withColumn("added", F.lit(True))
     t = t.join(firsts, PAGE).join(new, [*PAGE, "seq"], "left")
     t = t.withColumns({"existed": F.col("page_at") < F.col("at"), "added": F.coalesce("added", F.lit(False)), "prior": F.coalesce(F.col("found_at") < F.col("at"), F.lit(False))})
     effect = (
@@ -157,6 +170,13 @@ def changes(log: DataFrame) -> DataFrame:
     return t.withColumn("change", change).where("change IS NOT NULL").select("seq", "source_id", *PAGE, "change")
 
 
+def pages_with(log: DataFrame, section: str) -> DataFrame:
+    """Distinct (page_type, slug) of the pages whose section, in any case, has a line or a text; bodies are not built."""
+    own = log.where(F.lower("section") == section.lower())
+    lines = own.where("op = 'append' AND line IS NOT NULL").select(*PAGE)
+    return lines.unionByName(set_sections(own).where(T.strip("line") != "").select(*PAGE)).distinct()
+
+
 def sections(log: DataFrame) -> DataFrame:
     """All sections of all pages with their bodies: (page_type, slug, ord, section, body); skeleton first, others after."""
     skeleton = F.create_map(*[x for k, v in V.SECTIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])

@@ -160,7 +160,7 @@ class KnowledgeBase:
 
     def digest(self) -> DataFrame:
         log = self.log()
-        return S.digest(self.sources(), M.pages(log), M.sections(log))
+        return S.digest(self.sources(), M.pages(log), M.pages_with(log, "Conflicting Findings"))
 
     def changes(self) -> DataFrame:
         return M.changes(self.log())

@@ -157,7 +157,7 @@ _QTITLE = r"regexp_replace(regexp_replace(trim(f), '^(?:first(?:ly)?|second(?:ly
 _QNAME = f"CASE WHEN length({_QTITLE}) <= 50 THEN {_QTITLE} ELSE rtrim({_QTITLE}[1:50]) || '…' END"
 #: Relations that no default extractor finds, given to every third paper so that effects occur.
 _SIG, _NON = "CASE WHEN seq % 3 = 0 THEN ['quality -> adoption ' || seq % 4] ELSE [] END", "CASE WHEN seq % 7 = 0 THEN ['price -> adoption'] ELSE [] END"
-_LOG = _FIELDS + f""", base AS (
+_LOG = _FIELDS + f""", base AS MATERIALIZED (
   SELECT *, {_SIG} AS sig, {_NON} AS non, '(' || {_link("papers", "title", "ref")} || ')' AS cite, {_link("papers", "title")} || ' — ' || ref AS bullet, {_RELATED} AS related FROM ex),
 ent AS (SELECT seq, 2 AS step, 'concepts' AS page_type, unnest(concepts) AS name, generate_subscripts(concepts, 1) - 1 AS i, sig, non, cite, bullet, keywords, title, language FROM base
   UNION ALL SELECT seq, 3, 'theories', unnest(theories), generate_subscripts(theories, 1) - 1, sig, non, cite, bullet, keywords, title, language FROM base
@@ -179,7 +179,7 @@ log AS (
   UNION ALL SELECT seq, 6, i * 100 + 10 + g - 1, 'questions', {_QNAME}, 'Related Concepts', 'append', {_link("concepts", "t")} FROM (SELECT *, unnest(concepts[1:3]) AS t, generate_subscripts(concepts[1:3], 1) AS g FROM ques WHERE len(concepts) > 0)
   UNION ALL SELECT seq, 6, i * 100 + 50, 'questions', {_QNAME}, 'Related Papers', 'append', bullet FROM ques
   UNION ALL SELECT seq, 6, i * 100 + 51, 'questions', {_QNAME}, 'Status', 'set', 'detected' FROM ques),
-slugged AS (SELECT *, {_slug("name")} AS slug FROM log),
+slugged AS MATERIALIZED (SELECT *, {_slug("name")} AS slug FROM log),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY page_type, slug, section, line ORDER BY seq, step, pos) AS k FROM slugged WHERE op = 'append')"""
 
 
@@ -535,7 +535,7 @@ UNION ALL SELECT 'open_questions', '', count(DISTINCT slug) FROM slugged WHERE p
 UNION ALL SELECT 'contradictions', '', count(DISTINCT slug) FROM slugged WHERE page_type = 'concepts' AND section = 'Conflicting Findings'""")
 def digest(spark, d):
     own = log(spark, d)
-    return S.digest(P.papers(spark, d), M.pages(own), M.sections(own))
+    return S.digest(P.papers(spark, d), M.pages(own), M.pages_with(own, "Conflicting Findings"))
 
 
 @query(f"""WITH {_LOG} SELECT 1 AS one, count(DISTINCT slug) AS n FROM slugged WHERE page_type = 'concepts' AND section = 'Conflicting Findings'""")
