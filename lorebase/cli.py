@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.search import render_digest
@@ -21,6 +21,7 @@ def parser() -> argparse.ArgumentParser:
         q.add_argument("path")
         q.add_argument("--type")
         q.add_argument("--title")
+        q.add_argument("--pdf", action="store_true", help="read the text of PDF files, where a reader is installed")
     for name in ("sources", "wiki", "digest", "export"):
         sub.add_parser(name)
     q = sub.add_parser("show")
@@ -37,6 +38,12 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def rows(df: DataFrame) -> None:
+    """All rows, a line each, held one partition at a time."""
+    for r in df.toLocalIterator():
+        print("\t".join("" if x is None else str(x) for x in r))
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("lorebase").config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -44,12 +51,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command == "init":
         base.ensure()
     elif a.command in ("ingest", "ingest-dir"):
-        got = base.ingest(a.path, a.type, a.title)
+        got = base.ingest(a.path, a.type, a.title, a.pdf)
         print(f"{got.n_new} new, {got.n_dup} duplicates")
+        if got.changes is not None:
+            rows(got.changes.select("source_id", "change", F.concat_ws("/", "page_type", "slug"), F.coalesce("effect", F.lit(""))).orderBy("source_id", "change", "page_type", "slug"))
     elif a.command == "sources":
-        base.sources().select("source_id", "source_type", F.substring(F.coalesce("title", F.lit("")), 1, 50).alias("title")).orderBy("source_id").show(1000, False)
+        rows(base.sources().select("source_id", "source_type", F.substring(F.coalesce("title", F.lit("")), 1, 50).alias("title")).orderBy("source_id"))
     elif a.command == "wiki":
-        base.wiki().show(1000, False)
+        rows(base.wiki())
     elif a.command == "show":
         text = base.show(a.page_type, a.slug)
         print(text if text is not None else "no such page")
@@ -63,7 +72,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif a.action == "add":
         print(base.add_project(a.title, a.question, a.keywords))
     else:
-        base.projects().select("project_id", "title").show(1000, False)
+        rows(base.projects().select("project_id", "title"))
     return 0
 
 

@@ -197,6 +197,13 @@ def extract(sources: DataFrame) -> DataFrame:
     return s.select("source_id", "year", *out)
 
 
+def self_provenance() -> Column:
+    """Of an extraction's row: the provenance that points at the paper as a whole."""
+    none = lambda: F.lit(None).cast("string")
+    own = [F.col(c) for c in ("source_id", "title", "authors", "year", "doi")]
+    return F.struct(*own, *[none().alias(c) for c in ("url", "page", "section", "quote")])
+
+
 def by_row(fn: Callable[[dict, str], dict]) -> Extractor:
     """An extractor from a Python function of (source as a dictionary, text), run on Arrow batches."""
 

@@ -134,8 +134,9 @@ def bullets(log: DataFrame) -> DataFrame:
 
 
 def set_sections(log: DataFrame) -> DataFrame:
-    """The last text set for each section: (page_type, slug, section, line)."""
-    return log.where("op = 'set' AND line IS NOT NULL AND line <> ''").groupBy(*PAGE, "section").agg(F.max_by("line", order()).alias("line"))
+    """The last text set for each section, whose name counts in any case and keeps its first spelling: (page_type, slug, section, line)."""
+    own = log.where("op = 'set' AND line IS NOT NULL AND line <> ''").groupBy(*PAGE, F.lower("section").alias("_key"))
+    return own.agg(F.min_by("section", order()).alias("section"), F.max_by("line", order()).alias("line")).drop("_key")
 
 
 def pages(log: DataFrame) -> DataFrame:
@@ -162,6 +163,13 @@ def touches(log: DataFrame) -> DataFrame:
     return t.select("seq", "source_id", *PAGE, "name", "existed", "added", F.when(entity, effect).alias("effect"))
 
 
+def effects_by_name(log: DataFrame) -> DataFrame:
+    """(seq, source_id, name, effect): of entity pages of one name the last written counts, methods after theories after concepts."""
+    t = touches(log).where("effect IS NOT NULL")
+    last = F.max_by("effect", F.array_position(F.array(*map(F.lit, ENTITIES)), F.col("page_type")))
+    return t.groupBy("seq", "source_id", "name").agg(last.alias("effect"))
+
+
 def changes(log: DataFrame) -> DataFrame:
     """(seq, source_id, page_type, slug, change): what each source created or updated."""
     t = touches(log)
@@ -170,11 +178,11 @@ def changes(log: DataFrame) -> DataFrame:
     return t.withColumn("change", change).where("change IS NOT NULL").select("seq", "source_id", *PAGE, "change")
 
 
-def pages_with(log: DataFrame, section: str) -> DataFrame:
-    """Distinct (page_type, slug) of the pages whose section, in any case, has a line or a text; bodies are not built."""
+def section_lines(log: DataFrame, section: str) -> DataFrame:
+    """(page_type, slug, section, body): every line or text that a section, named in any case, has; bodies are not built."""
     own = log.where(F.lower("section") == section.lower())
-    lines = own.where("op = 'append' AND line IS NOT NULL").select(*PAGE)
-    return lines.unionByName(set_sections(own).where(T.strip("line") != "").select(*PAGE)).distinct()
+    lines = own.where("op = 'append' AND line IS NOT NULL").select(*PAGE, "section", "line")
+    return lines.unionByName(set_sections(own)).withColumnRenamed("line", "body")
 
 
 def sections(log: DataFrame) -> DataFrame:
@@ -214,13 +222,23 @@ def yaml(record: Column) -> Column:
     return run(F.to_json(record, {"ignoreNullFields": "false"}))
 
 
-def frontmatter(log: DataFrame, sources: DataFrame, extractions: DataFrame, as_of: str | None = None) -> DataFrame:
-    """(page_type, slug, frontmatter): of a paper from its latest source, of other pages from their first."""
+def frontmatter(log: DataFrame, sources: DataFrame, extractions: DataFrame, as_of: str | None = None, held: DataFrame | None = None) -> DataFrame:
+    """(page_type, slug, frontmatter): of a paper from its latest source, of other pages from their first.
+
+    ``held`` (page_type, slug, title, type, status, tags) is what stands in page files, edited by hand perhaps: on pages
+    that are no papers its title, type and status stay, and its tags are joined with the page's own, sorted.
+    """
     day = F.lit(as_of) if as_of else F.current_date().cast("string")
     p = log.groupBy(*PAGE).agg(F.min_by("name", order()).alias("name"), F.max_by("name", order()).alias("latest"), F.max_by("source_id", order()).alias("source_id"))
     kind = F.create_map(*[F.lit(x) for kv in {"concepts": "concept", "theories": "theory", "methods": "method", "overviews": "overview", "questions": "question"}.items() for x in kv])[F.col("page_type")]
-    other = p.where("page_type NOT IN ('papers', 'questions')").select(*PAGE, yaml(F.struct(F.col("name").alias("title"), kind.alias("type"), F.array(kind).alias("tags"), day.alias("updated"))).alias("frontmatter"))
-    question = p.where("page_type = 'questions'").select(*PAGE, yaml(F.struct(F.col("name").alias("title"), kind.alias("type"), F.array(F.lit("open-question")).alias("tags"), F.lit("detected").alias("status"))).alias("frontmatter"))
+    if held is None:
+        held = log.sparkSession.createDataFrame([], "page_type string, slug string, title string, type string, status string, tags array<string>")
+    p = p.join(held.select(*PAGE, *[F.col(c).alias(f"h_{c}") for c in ("title", "type", "status", "tags")]), PAGE, "left")
+    tags = lambda own: F.array_sort(F.array_union(F.coalesce("h_tags", F.array().cast("array<string>")), F.array(own)))
+    title, type_ = F.coalesce("h_title", "name").alias("title"), F.coalesce("h_type", kind).alias("type")
+    other = p.where("page_type NOT IN ('papers', 'questions')").select(*PAGE, yaml(F.struct(title, type_, tags(kind).alias("tags"), day.alias("updated"))).alias("frontmatter"))
+    status = F.coalesce("h_status", F.lit("detected")).alias("status")
+    question = p.where("page_type = 'questions'").select(*PAGE, yaml(F.struct(title, type_, tags(F.lit("open-question")).alias("tags"), status)).alias("frontmatter"))
     s = sources.select("source_id", "source_type", "evidence_level", "url", F.col("author").alias("s_author"), F.col("doi").alias("s_doi"))
     e = extractions.select("source_id", "authors", "year", "journal", "doi", "language", "keywords")
     record = F.struct(
@@ -231,6 +249,28 @@ def frontmatter(log: DataFrame, sources: DataFrame, extractions: DataFrame, as_o
     return other.unionByName(question).unionByName(paper)
 
 
+def held_frontmatter(pages: DataFrame) -> DataFrame:
+    """(page_type, slug, title, type, status, tags) of Markdown pages (page_type, slug, text), by the library for YAML."""
+
+    @F.pandas_udf("title string, type string, status string, tags array<string>")
+    def run(blocks):
+        import pandas as pd
+        import yaml as library
+
+        rows = []
+        for b in blocks:
+            try:
+                got = library.safe_load(b or "") or {}
+            except library.YAMLError:
+                got = {}
+            got = got if isinstance(got, dict) else {}
+            text = [None if got.get(c) is None else str(got[c]) for c in ("title", "type", "status")]
+            rows.append([*text, [str(t) for t in got["tags"]] if isinstance(got.get("tags"), list) else []])
+        return pd.DataFrame(rows, columns=["title", "type", "status", "tags"])
+
+    return pages.select(*PAGE, run(parse_page("text")["frontmatter"]).alias("f")).select(*PAGE, "f.*")
+
+
 def parse_page(text: Column | str) -> Column:
     """struct<frontmatter, title, sections array<struct<heading, body>>> of a Markdown page; a preamble has heading ""."""
     block = r"(?s)\A---\n(.*?)\n---\n?(.*)\z"

@@ -78,3 +78,15 @@ def first_match(rows: DataFrame, keys: list[str] = KEYS) -> DataFrame:
         return rows.withColumn("dup_of", F.lit(None).cast("long"))
     shared = every.join(kept_keys, ["kind", "key"]).where("kept < seq").groupBy("seq").agg(F.min("kept").alias("dup_of"))
     return rows.join(shared, "seq", "left")
+
+
+def first_match_against(kept: DataFrame, rows: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """``first_match`` of new ``rows`` after sources that are ``kept`` already, all of smaller ``seq``.
+
+    The kept ones are looked up by key once; rounds run on the new rows that match none of them.
+    """
+    pairs = F.explode(F.filter(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(k).alias("key")) for i, k in enumerate(keys)]), lambda p: p["key"].isNotNull())).alias("p")
+    old = kept.select("seq", pairs).groupBy("p.kind", "p.key").agg(F.min("seq").alias("kept"))
+    known = cut(rows.select("seq", pairs).select("seq", "p.kind", "p.key").join(old, ["kind", "key"]).groupBy("seq").agg(F.min("kept").alias("dup_of")))
+    fresh = first_match(rows.join(known, "seq", "left_anti"), keys)
+    return fresh.unionByName(rows.join(known, "seq"))

@@ -39,12 +39,16 @@ def keyword_search(pages: DataFrame, query: str, limit: int = 20, keep: list[str
     return best.select("path", F.coalesce(F.trim(heading), stem).alias("title"), "score", snippet("text", terms).alias("snippet"), *(keep or []))
 
 
-def digest(sources: DataFrame, pages: DataFrame, conflicting: DataFrame) -> DataFrame:
-    """(metric, key, value): source and page counts, open questions, concept pages among those with conflicting findings."""
+def digest(sources: DataFrame, pages: DataFrame, page_sections: DataFrame) -> DataFrame:
+    """(metric, key, value): source and page counts, open questions, concept pages with conflicting findings.
+
+    ``page_sections`` (page_type, slug, section, body): bodies, or the single lines of the sections that matter.
+    """
     row = lambda df, metric, key: df.groupBy(F.lit(metric).alias("metric"), F.col(key).cast("string").alias("key")).agg(F.count(F.lit(1)).alias("value"))
     one = lambda df, metric: df.agg(F.count(F.lit(1)).alias("value")).select(F.lit(metric).alias("metric"), F.lit("").alias("key"), "value")
+    conflicts = page_sections.where("page_type = 'concepts' AND lower(section) = 'conflicting findings'").where(T.strip("body") != "")
     out = one(sources, "total_sources").unionByName(row(sources, "sources_by_type", "source_type")).unionByName(row(pages, "wiki_pages", "page_type"))
-    return out.unionByName(one(pages.where("page_type = 'questions'"), "open_questions")).unionByName(one(conflicting.where("page_type = 'concepts'"), "contradictions"))
+    return out.unionByName(one(pages.where("page_type = 'questions'"), "open_questions")).unionByName(one(conflicts.select("page_type", "slug").distinct(), "contradictions"))
 
 
 def render_digest(rows: DataFrame, title: str = "Digest") -> DataFrame:

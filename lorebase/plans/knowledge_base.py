@@ -38,7 +38,10 @@ def resolve_store(explicit: str | None = None) -> str:
 
 @dataclass
 class Ingested:
-    """What an ingest did: (seq, path, source_id, dup_of, duplicate) a file, and counts."""
+    """What an ingest did: (seq, path, source_id, dup_of, duplicate) a file, counts, and what it did to pages.
+
+    ``changes``: (seq, source_id, page_type, slug, change, effect), created and updated pages; null without new sources.
+    """
 
     rows: DataFrame
     n_new: int = 0
@@ -46,6 +49,15 @@ class Ingested:
     changes: DataFrame | None = field(default=None)
 
 
+def _numbered(rows: DataFrame, start: int) -> DataFrame:
+    """(source_id, seq): places from ``start`` in the order of path and id, by ranges and the number of rows before each."""
+    ranged = cut(rows.repartitionByRange("path", "source_id").withColumn("p", F.spark_partition_id()))
+    sizes = ranged.groupBy("p").agg(F.count(F.lit(1)).alias("n"))  # a row a range
+    before = sizes.select("p", F.coalesce(F.sum("n").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(W.partitionBy("p").orderBy("path", "source_id"))
+    return ranged.withColumn("k", place).join(before, "p").select("source_id", (F.col("k") + F.col("before") + (start - 1)).cast("long").alias("seq"))
+
+
 class KnowledgeBase:
     def __init__(self, spark: SparkSession, root: str | None = None, extractor: X.Extractor = X.extract):
         self.spark, self.root, self.extractor = spark, resolve_store(root).rstrip("/"), extractor
@@ -72,6 +84,9 @@ class KnowledgeBase:
     def source(self, source_id: str) -> DataFrame:
         return self.sources().where(F.col("source_id") == source_id).limit(1)
 
+    def extraction(self, source_id: str) -> DataFrame:
+        return self.extractions().where(F.col("source_id") == source_id).limit(1)
+
     def extractions(self) -> DataFrame:
         return self._table("extractions", X.EXTRACTION)
 
@@ -105,8 +120,7 @@ class KnowledgeBase:
         old = self.sources()
         start = (old.agg(F.max("seq")).first()[0] or 0) + 1
         rows = cut(rows)
-        order = cut(rows.select("source_id", "path", "doi", "title").withColumn("seq", F.row_number().over(W.orderBy("path", "source_id")) + (start - 1)))  # slim: ids and paths of one batch
-        rows = rows.drop("seq").join(order.select("source_id", F.col("seq").cast("long")), "source_id")
+        rows = rows.drop("seq").join(_numbered(rows.select("source_id", "path"), start), "source_id")
         level = F.when(F.coalesce("evidence_level", F.lit("unknown")) != "unknown", F.col("evidence_level")).otherwise(R.evidence_level(F.col("source_type")))
         local = F.when(F.col("access_status") == "full_text", F.concat(F.lit("raw/"), "source_id", F.lit("."), F.col("suffix") if "suffix" in rows.columns else F.lit("")))
         rows = rows.withColumns({
@@ -114,37 +128,58 @@ class KnowledgeBase:
             "peer_reviewed": F.coalesce("peer_reviewed", R.peer_reviewed(F.col("source_type"))), "evidence_level": level, "local_file": F.coalesce("local_file", local),
         })
         rows = cut(R.identity_keys(rows))
-        keyed = R.identity_keys(old).select("seq", *R.KEYS).unionByName(rows.select("seq", *R.KEYS))
+        found = R.first_match_against(R.identity_keys(old).select("seq", *R.KEYS), rows.select("seq", *R.KEYS))
         known = rows.select("source_id").join(old.select("source_id"), "source_id", "left_semi").withColumn("_known", F.lit(True))
-        matched = cut(R.first_match(keyed).where(F.col("seq") >= start).join(rows.select("seq", "source_id", "path"), "seq").join(known, "source_id", "left"))
+        matched = cut(found.join(rows.select("seq", "source_id", "path"), "seq").join(known, "source_id", "left"))
         fresh = matched.where("dup_of IS NULL AND _known IS NULL").select("seq")
         new = cut(rows.join(fresh, "seq", "left_semi"))
-        n_new, n = new.count(), matched.count()
+        n_new, n, changes = new.count(), matched.count(), None
         if n_new:
-            batch = "batch-" + new.agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(F.xxhash64("source_id")))), 256)).first()[0][:16]
+            ident = F.xxhash64("source_id")
+            batch = "batch-" + new.agg(F.sha2(F.concat_ws(",", F.count(F.lit(1)), F.bit_xor(ident), F.sum(F.pmod(ident, F.lit(2**31 - 1)))), 256)).first()[0][:16]
             self._write("texts", batch, new.select("source_id", "text"))
             if "content" in new.columns:  # raw bytes, never changed afterwards
                 self._write("raw", batch, new.select("source_id", "suffix", "content"))
+                files.write_files(new.where("content IS NOT NULL").select(F.col("local_file").alias("name"), "content"), self.root)
             self._write("sources", batch, new.select(*kinds))
-            self.complete(batch)
+            changes = self.complete(batch)
         shown = matched.select("seq", "path", "source_id", "dup_of", (F.col("dup_of").isNotNull() | F.col("_known").isNotNull()).alias("duplicate"))
-        return Ingested(shown, n_new, n - n_new)
+        return Ingested(shown, n_new, n - n_new, changes)
 
-    def complete(self, batch: str = "batch-mended") -> None:
-        """Extract and merge every source that has no extraction yet: the rest of an ingest, or of one that broke off."""
+    def complete(self, batch: str = "batch-mended") -> DataFrame | None:
+        """Extract and merge every source that has no extraction yet: the rest of an ingest, or of one that broke off.
+
+        The pages that these sources touch are written as files, from their own part of the log; returns their changes.
+        """
         todo = self.sources().join(self.extractions().select("source_id"), "source_id", "left_anti")
         texts = self._table("texts", "source_id string, text string")
         todo = cut(todo.join(texts, "source_id", "left"))
         if todo.isEmpty():
-            return
+            return None
         found = cut(self.extractor(todo))
-        self._write("log", batch, M.contributions(todo.drop("text", "language", "keywords"), found))
+        added = cut(M.contributions(todo.drop("text", "language", "keywords"), found))
+        self._write("log", batch, added)
         self._write("extractions", batch, found)
-
-    def page_texts(self, as_of: str | None = None) -> DataFrame:
-        """All pages as Markdown, with front matter dated ``as_of`` (default: today)."""
-        log = self.log()
-        front = M.frontmatter(log, self.sources(), self.extractions(), as_of)
+        touched = cut(added.select(*M.PAGE).distinct())
+        own = cut(self.log().join(touched, M.PAGE, "left_semi"))
+        new = todo.select("seq").distinct()
+        effects = M.touches(own).select("seq", *M.PAGE, "effect")
+        changes = cut(M.changes(own).join(new, "seq", "left_semi").join(effects, ["seq", *M.PAGE]).select("seq", "source_id", *M.PAGE, "change", "effect"))
+        texts = cut(self.page_texts(log=own))
+        self._write("pages", batch, touched.join(texts, M.PAGE))
+        files.write_pages(texts, self.root)
+        return changes
+
+    def held(self) -> DataFrame | None:
+        """What page files say in their front matter; None where there are none."""
+        if not exists(self.spark, f"{self.root}/wiki"):
+            return None
+        return M.held_frontmatter(files.read_pages(self.spark, self.root))
+
+    def page_texts(self, as_of: str | None = None, log: DataFrame | None = None) -> DataFrame:
+        """All pages, or those of ``log``, as Markdown, with front matter dated ``as_of`` (default: today)."""
+        log = self.log() if log is None else log
+        front = M.frontmatter(log, self.sources(), self.extractions(), as_of, self.held())
         return M.page_texts(log, front).withColumn("path", F.concat(F.lit("wiki/"), "page_type", F.lit("/"), "slug", F.lit(".md")))
 
     def wiki(self) -> DataFrame:
@@ -156,11 +191,17 @@ class KnowledgeBase:
         return got["text"] if got else None
 
     def search(self, query: str, limit: int = 20) -> DataFrame:
-        return S.keyword_search(self.page_texts(), query, limit)
+        """Over the pages as the last ingest that touched them wrote them: no page is rendered for a query."""
+        table = f"{self.root}/tables/pages"
+        if not exists(self.spark, table):
+            return S.keyword_search(self.page_texts(), query, limit)
+        batches = self.spark.read.option("recursiveFileLookup", "true").parquet(table).select(*M.PAGE, "path", "text", F.col("_metadata.file_modification_time").alias("at"))
+        latest = batches.groupBy(*M.PAGE).agg(F.max_by(F.struct("path", "text"), "at").alias("p")).select("p.*")
+        return S.keyword_search(latest, query, limit)
 
     def digest(self) -> DataFrame:
         log = self.log()
-        return S.digest(self.sources(), M.pages(log), M.pages_with(log, "Conflicting Findings"))
+        return S.digest(self.sources(), M.pages(log), M.section_lines(log, "Conflicting Findings"))
 
     def changes(self) -> DataFrame:
         return M.changes(self.log())
@@ -168,6 +209,10 @@ class KnowledgeBase:
     def graph(self) -> tuple[DataFrame, DataFrame]:
         return files.read_graph(self.spark, f"{self.root}/kg/graph.json", G.NODE, G.EDGE)
 
+    def save_graph(self, nodes: DataFrame, edges: DataFrame) -> None:
+        """Write both as the file that ``graph`` reads, columns of ``G.NODE`` and ``G.EDGE``, replacing it."""
+        files.write_graph(nodes, edges, f"{self.root}/kg/graph.json")
+
     # projects
     def projects(self) -> DataFrame:
         got = self._table("projects", G.PROJECT + ", version long")

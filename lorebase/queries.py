@@ -535,7 +535,7 @@ UNION ALL SELECT 'open_questions', '', count(DISTINCT slug) FROM slugged WHERE p
 UNION ALL SELECT 'contradictions', '', count(DISTINCT slug) FROM slugged WHERE page_type = 'concepts' AND section = 'Conflicting Findings'""")
 def digest(spark, d):
     own = log(spark, d)
-    return S.digest(P.papers(spark, d), M.pages(own), M.pages_with(own, "Conflicting Findings"))
+    return S.digest(P.papers(spark, d), M.pages(own), M.section_lines(own, "Conflicting Findings"))
 
 
 @query(f"""WITH {_LOG} SELECT 1 AS one, count(DISTINCT slug) AS n FROM slugged WHERE page_type = 'concepts' AND section = 'Conflicting Findings'""")

@@ -80,15 +80,55 @@ def read_pages(spark: SparkSession, root: str) -> DataFrame:
     return got.select(rel.alias("path"), F.split(rel, "/")[1].alias("page_type"), F.regexp_replace(F.substring_index(rel, "/", -1), r"\.md$", "").alias("slug"), decode("content").alias("text"))
 
 
-def write_pages(pages: DataFrame, root: str) -> None:
-    """One Markdown file a page, written by the executors through Hadoop's file system on the driver's configuration.
+def write_files(files: DataFrame, root: str) -> None:
+    """One file a row of (name, content): ``content`` goes to ``root``/``name``, replacing what is there.
 
-    Spark's writers choose their own file names, so pages go to ``root``/wiki page by page from a driver-side iterator
-    that holds one partition at a time; the table of pages is the durable form and this an export.
+    Below a path that executors can open (``file:``) they write, each a partition at a time; in other stores Hadoop's file
+    system is reached from the driver, by an iterator that holds one partition. A file is renamed into place when whole.
     """
-    spark = pages.sparkSession
-    for r in pages.select("page_type", "slug", "text").toLocalIterator():
-        fs, where = filesystem(spark, f"{root}/wiki/{r['page_type']}/{r['slug']}.md")
+    spark, rows = files.sparkSession, files.select("name", "content")
+    if root.startswith("file:") or ":" not in root:
+        base = "/" + root.removeprefix("file:").lstrip("/")
+
+        def write(part) -> None:
+            import os
+            import uuid
+
+            for r in part:
+                path = os.path.join(base, r["name"])
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(own := f"{path}.{uuid.uuid4().hex}.part", "wb") as f:
+                    f.write(r["content"])
+                os.replace(own, path)
+
+        rows.foreachPartition(write)
+        return
+    for r in rows.toLocalIterator():
+        fs, where = filesystem(spark, f"{root}/{r['name']}")
         out = fs.create(where, True)
-        out.write(bytearray(r["text"].encode()))
+        out.write(bytearray(r["content"]))
         out.close()
+
+
+def write_pages(pages: DataFrame, root: str) -> None:
+    """One Markdown file a page of (page_type, slug, text), below ``root``/wiki."""
+    name = F.concat(F.lit("wiki/"), "page_type", F.lit("/"), "slug", F.lit(".md"))
+    write_files(pages.select(name.alias("name"), F.encode("text", "UTF-8").alias("content")), root)
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """The file of two arrays that ``read_graph`` reads, written record by record and renamed into place."""
+    spark = nodes.sparkSession
+    fs, own = filesystem(spark, path + ".part")
+    out = fs.create(own, True)
+    for start, rows in ((b'{"nodes": [', nodes), (b'], "edges": [', edges)):
+        out.write(bytearray(start))
+        between = b"\n"
+        for r in rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
+            out.write(bytearray(between + r["j"].encode()))
+            between = b",\n"
+    out.write(bytearray(b"]}\n"))
+    out.close()
+    _, where = filesystem(spark, path)
+    fs.delete(where, False)
+    fs.rename(own, where)

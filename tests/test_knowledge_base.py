@@ -186,6 +186,15 @@ def test_ingest(spark, base):
     assert changes[1, "concepts", "mobile-payment"] == "created" and changes[2, "concepts", "mobile-payment"] == "updated"
     page = kb.show("papers", "trust-and-mobile-payment-use")
     assert page.startswith("---\ntitle: Trust and Mobile Payment Use\ntype: paper\n") and "## Provenance" in page
+    # raw bytes and the touched pages are files as soon as the ingest ends, and the ingest says what it changed
+    for r in kb.sources().select("local_file", "file_hash").collect():
+        import hashlib
+
+        assert hashlib.sha256((root / "store" / r["local_file"]).read_bytes()).hexdigest() == r["file_hash"]
+    assert (root / "store/wiki/papers/trust-and-mobile-payment-use.md").read_text().startswith("---\ntitle: Trust and Mobile Payment Use\n")
+    told = {(r["seq"], r["page_type"], r["slug"]): (r["change"], r["effect"]) for r in got.changes.collect()}
+    assert {k: c for k, (c, _) in told.items()} == changes and told[1, "concepts", "mobile-payment"] == ("created", "extend")
+    assert again.changes is None
     assert kb.show("papers", "none") is None and kb.search("mobile payment").first()["score"] > 0
 
 
@@ -237,3 +246,61 @@ def test_graph_and_ranges(spark):
     assert len(m) == 1 and (m[0]["key"], m[0]["node_id"], m[0]["source_ids"], m[0]["n"]) == ("concept:a b", "n1", ["s1", "s2"], 2)
     ok, bad = G.valid(spark.createDataFrame([(0.5,), (1.5,), (None,)], "confidence double"))
     assert (ok.count(), bad.count()) == (1, 2)
+
+
+def test_hand_edited_front_matter_stays(spark, tmp_path):
+    (tmp_path / "a.txt").write_text(PAPER)
+    kb = KnowledgeBase(spark, f"file://{tmp_path}/store")
+    kb.ingest(f"{tmp_path}/a.txt")
+    page = tmp_path / "store/wiki/concepts/mobile-payment.md"
+    page.write_text(page.read_text().replace("tags:\n- concept", "tags:\n- zeta\n- mine").replace("title: Mobile Payment", "title: Paying"))
+    question = next((tmp_path / "store/wiki/questions").iterdir())
+    question.write_text(question.read_text().replace("status: detected", "status: reviewing"))
+    (tmp_path / "b.txt").write_text(PAPER.replace("Trust and Mobile", "Risk and Mobile"))
+    kb.ingest(f"{tmp_path}/b.txt")
+    text = page.read_text()
+    assert text.startswith("---\ntitle: Paying\ntype: concept\ntags:\n- concept\n- mine\n- zeta\n") and text.count("- [[papers/") == 2
+    assert "status: reviewing" in question.read_text()
+
+
+def test_graph_round_trip_and_provenance(spark, tmp_path):
+    kb = KnowledgeBase(spark, f"file://{tmp_path}/store")
+    assert [x.count() for x in kb.graph()] == [0, 0]
+    nodes = spark.createDataFrame([("n1", "concept", "A", ["x"], ["s1"], None), ("n2", "paper", "B\n\"q\"", [], ["s1"], "p.md")], G.NODE)
+    edges = spark.createDataFrame([("e1", "n1", "n2", "uses", 0.5, [])], G.EDGE)
+    for _ in range(2):
+        kb.save_graph(nodes, edges)
+        assert [sorted(map(tuple, x.collect())) for x in kb.graph()] == [sorted(map(tuple, x.collect())) for x in (nodes, edges)]
+    e = X.extract(spark.createDataFrame([("s1", "t", None, None, PAPER)], "source_id string, title string, author array<string>, doi string, text string"))
+    got = e.select(X.self_provenance().alias("p")).first()["p"].asDict()
+    assert got == {"source_id": "s1", "title": "Trust and Mobile Payment Use", "authors": [], "year": 2019, "doi": "10.1234/AB.2020.7", "url": None, "page": None, "section": None, "quote": None}
+    assert e.select(X.self_provenance().cast(G.PROVENANCE)).count() == 1
+
+
+def test_sections_and_effects_by_name(spark):
+    rows = [(1, "s", True, False, 6, 0, "questions", "Q", "Status", "set", "a", "q"), (2, "s", True, False, 6, 0, "questions", "Q", "STATUS", "set", "b", "q")]
+    rows += [(1, "s", True, False, k, 0, kind, "Trust", "Related Papers", "append", "- x", "trust") for k, kind in ((2, "concepts"), (4, "methods"))]
+    rows += [(0, "r", True, False, 4, 0, "methods", "Trust", "Established Findings", "append", "- y", "trust")]
+    log = spark.createDataFrame(rows, "seq long, source_id string, has_sig boolean, has_nonsig boolean, step int, pos int, page_type string, name string, section string, op string, line string, slug string")
+    assert [(r["section"], r["line"]) for r in M.set_sections(log).collect()] == [("Status", "b")]
+    assert {(r["seq"], r["name"], r["effect"]) for r in M.effects_by_name(log).collect()} == {(0, "Trust", "extend"), (1, "Trust", "strengthen")}
+
+
+def test_new_sources_against_kept_ones(spark):
+    rng = random.Random(3)
+    rows = [(i, *(str(rng.randrange(25)) if rng.random() < 0.6 else None for _ in range(3))) for i in range(100)]
+    kinds = "seq long, a string, b string, c string"
+    whole = {r["seq"]: r["dup_of"] for r in R.first_match(spark.createDataFrame(rows, kinds), ["a", "b", "c"]).collect()}
+    kept = [r for r in rows[:40] if whole[r[0]] is None]
+    got = R.first_match_against(spark.createDataFrame(kept, kinds), spark.createDataFrame(rows[40:], kinds), ["a", "b", "c"])
+    assert {r["seq"]: r["dup_of"] for r in got.collect()} == {k: v for k, v in whole.items() if k >= 40}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from lorebase.sources import durable
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        durable.shared_dir(far)
