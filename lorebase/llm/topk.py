@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-K, SCALE, PIVOTS, REST, POOL, QUERY_BLOCK, GROUP_ROWS, TILE, FIRST, SLACK = 20, 64, 512, 0.06, 1024, 8192, (8192, 1 << 18), 256, 64, 2e-5
+K, SCALE, PIVOTS, REST, POOL, QUERY_BLOCK, GROUP_ROWS, TILE, FIRST, SLACK = 20, 64, 512, 0.06, 1024, 8192, (1024, 1 << 18), 256, 64, 2e-5
 
 
 def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:

@@ -339,3 +339,63 @@ def test_pipeline_keeps_clean_documents(spark, data):
             assert not [s for r in frame.collect() for s in plain_spans(r["text"])]
     assert frame.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and frame.count() == before.count() > 0
     assert duckdb.__version__
+
+
+def test_pipeline_equals_plain_python(spark, tmp_path):
+    from math import exp
+
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as cp
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    texts = [" ".join(word() for _ in range(rng.randint(20, 120))) for _ in range(60)]
+    for k in range(0, 60, 5):
+        texts[k] += " You idiot." if k % 2 else f" mail {word()}@{word()}.org or +1 555 010 {1000 + k}"
+    rows = [(i, t, "en", ["web", "books", None][i % 3], len(t)) for i, t in enumerate(texts)]
+    rows += [(100 + i, texts[i] + (" end" if i % 2 else ""), "en", "web", 0) for i in range(12)]  # copies and near copies
+    rows += [(200, None, None, None, None), (201, "", "en", "web", 0), (202, " ", "en", "web", 1), (3, texts[3], "en", "web", 9), (None, "no id here", "en", "web", 10), (203, "word " * 30_000, "en", "web", 5)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    clean = [r for r in rows if not set(re.findall(r"[a-z]+", (r[1] or "").lower())) & set(toxicity.SEEDS)]
+    assert len(clean) == len(rows) - 6 - sum(1 for i in range(12) if i in (5,))
+    from test_pairs import closure, plain_fingerprint
+
+    ids = sorted({r[0] for r in clean if r[0] is not None})
+    fp = {r[0]: plain_fingerprint(r[1]) for r in clean if r[0] is not None}
+    label = closure(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if (fp[ids[a]] ^ fp[ids[b]]).bit_count() <= 3])
+    keep = {i for k, i in enumerate(ids) if label[k] == k}
+    once = {r[0]: r for r in reversed(clean) if r[0] in keep}
+    left = [*once.values(), *[r for r in clean if r[0] is None]]
+    assert len(left) < len(clean) - 10
+
+    def plain_redact(t):
+        for kind, s, e in sorted(plain_spans(t), key=lambda x: -x[1]):
+            t = f"{t[:s]}[{kind.upper()}]{t[e:]}"
+        return t
+
+    left = [(i, t if t is None else plain_redact(t), src) for i, t, _, src, _ in left]
+    size = {}
+    for _, t, src in left:
+        size[src or ""] = size.get(src or "", 0) + len(t or "") + 1
+    root, every = sum(v**0.5 for v in size.values()), sum(size.values())
+    library, want = Tokenizer.from_file(bpe.vocabulary()), []
+    for i, t, src in left:
+        rate = size[src or ""] ** 0.5 / root * every / size[src or ""]
+        u = int(hashlib.md5(f"{mixing.SEED}:count:{'null' if i is None else i}".encode()).hexdigest()[:13], 16) / 2**52
+        n, p, total = 0, exp(-rate), exp(-rate)
+        while total <= u:
+            n, p = n + 1, p * rate / (n + 1)
+            total += p
+        e = library.encode(t or "", add_special_tokens=False).ids
+        row = (i, len(e), hashlib.sha256(",".join(map(str, e)).encode()).hexdigest(), hashlib.sha256(library.decode(e, skip_special_tokens=False).encode()).hexdigest())
+        want += [row] * n
+    got = [tuple(r) for r in cp.run(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 20
+    none = tmp_path / "none"
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0).write.parquet(f"{none}/{name}.parquet")
+    assert cp.run(spark, str(none)).count() == 0
