@@ -6,8 +6,8 @@ One votes clean where no lexicon voter speaks. Lexicon voters come from a short
 the training folds: greedily the one that covers most toxic rows not yet covered, among those whose precision has a
 confidence bound above one half, so that a small language needs few rows; copies of one another count as one row.
 
-A generative model of the votes (class prior, how often each voter speaks in either class, and, for each voter, how that
-depends on the one voter it is most correlated with within the classes: a tree of pairwise terms) is fitted by
+A generative model of the votes (class prior, how often each voter speaks in either class, and, for each voter, how much
+of it the one voter explains that it is most correlated with among toxic rows: a tree of pairwise terms) is fitted by
 expectation-maximisation without labels. A logistic regression on the votes is trained on its posterior labels. Only
 texts enter a score.
 
@@ -123,19 +123,18 @@ def votes(texts: list[str | None], lexicon: list[str]):
 
 
 def pairs_tree(v, q, least: float = 0.01):
-    """For each voter the voter it depends on, or itself: a spanning forest of the greatest correlations within classes.
+    """For each voter the voter it depends on, or itself, and the share of its variance among toxic rows that this explains.
 
-    Voters that shun one another need no term, since the silent ones abstain; so does the last, which votes clean.
+    A spanning forest of the greatest correlations within the toxic class. Voters that shun one another need no term, since
+    the silent ones abstain; so does the last, which votes clean.
     """
     import numpy as np
 
-    same = np.zeros((v.shape[1], v.shape[1]))
-    for w in (q, 1 - q):
-        total = w.sum() + 1e-9
-        mean = (v * w[:, None]).sum(0) / total
-        cov = (v * w[:, None]).T @ v / total - np.outer(mean, mean)
-        deviation = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-        same += np.maximum(cov / np.outer(deviation, deviation), 0) ** 2 * total / len(v)
+    total = q.sum() + 1e-9
+    mean = (v * q[:, None]).sum(0) / total
+    cov = (v * q[:, None]).T @ v / total - np.outer(mean, mean)
+    deviation = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+    same = np.minimum(np.maximum(cov / np.outer(deviation, deviation), 0) ** 2, 1)
     same[-1] = same[:, -1] = 0
     parent, best = np.arange(v.shape[1]), np.full(v.shape[1], least)
     left = list(range(v.shape[1]))
@@ -145,7 +144,7 @@ def pairs_tree(v, q, least: float = 0.01):
         for k in left:
             if same[j, k] > best[k]:
                 parent[k], best[k] = j, same[j, k]
-    return parent
+    return parent, np.where(parent == np.arange(len(parent)), 0, best)
 
 
 def label_model(v, prior: float, rounds: int = ROUNDS):
@@ -153,8 +152,8 @@ def label_model(v, prior: float, rounds: int = ROUNDS):
 
     Starts from the opinion that any lexicon voter is right, which also is a prior of the rates worth ``TRUST`` of the
     rows: votes alone cannot tell a voter that speaks where no other does from the clean class. Each round re-estimates
-    the tree of dependent voters, how often each voter speaks in either class, and how often where the voter it depends
-    on does or does not.
+    how often each voter speaks in either class, and the tree of dependent voters: where the voter it depends on speaks
+    too, a voter counts by the share of its variance that the other leaves, so copies count once and no vote turns over.
     """
     import numpy as np
 
@@ -162,17 +161,10 @@ def label_model(v, prior: float, rounds: int = ROUNDS):
     rates = [np.zeros(v.shape[1])] * 2
     for _ in range(rounds):
         seen = TRUST * first + (1 - TRUST) * q
-        parent, logit = pairs_tree(v, seen), np.log(prior / (1 - prior))
-        tells = v[:, parent]
-        alone, logs = parent == np.arange(v.shape[1]), []
-        rates = []
-        for w in (seen, 1 - seen):
-            w = w[:, None]
-            rate = ((v * w).sum(0) + 0.1) / (w.sum() + 1)
-            given = [((v * on * w).sum(0) + 2 * rate) / ((on * w).sum(0) + 2) for on in (1 - tells, tells)]
-            logs.append(np.where(alone, np.log(rate), np.where(tells > 0, np.log(given[1]), np.log(given[0]))))
-            rates.append(rate)
-        logit = logit + (v * (logs[0] - logs[1])).sum(1)  # a silent voter abstains
+        parent, share = pairs_tree(v, seen)
+        rates = [((v * w[:, None]).sum(0) + 0.1) / (w.sum() + 1) for w in (seen, 1 - seen)]
+        new_part = np.where(v[:, parent] > 0, 1 - share, 1)
+        logit = np.log(prior / (1 - prior)) + (v * new_part * np.log(rates[0] / rates[1])).sum(1)  # a silent voter abstains
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         done = np.abs(new - q).max() < 1e-6
         q = new
