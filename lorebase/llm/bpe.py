@@ -7,7 +7,8 @@ states on the path above it, and the words that share a prefix share its states.
 trie's depth-first order, and the path is the stack of states: nothing else is stored.
 
 Whether two tokens stay apart is decided by undoing their merges from the latest to the first: they do unless, at some
-point, the two that touch would have been merged before the next one undone was made. Answers are kept by the worker.
+point, the two that touch would have been merged before the next one undone was made. Answers are kept by the worker,
+and forgotten between batches when there are more than ``REMEMBERED``.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import cached, table
 
-VOCABULARY, SLICE_CHARS = "byte_bpe_50k.json", 1 << 22
+VOCABULARY, SLICE_CHARS, REMEMBERED = "byte_bpe_50k.json", 1 << 22, 1 << 20
 
 # Text of these characters alone splits alike by the tokenizer's pattern and by the faster one below.
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧]")
@@ -104,6 +105,10 @@ class Encoder:
     def encode_words(self, words) -> dict[bytes, list[int]]:
         """Ids of each distinct word, by one pass over the trie."""
         out, before, last, at = {}, b"", [-1], [0]  # by depth: last token, and state of the automaton
+        if len(self.apart) > REMEMBERED:  # both only save work; states and their tokens are bounded by the vocabulary
+            self.apart.clear()
+        if len(self.next) > REMEMBERED:
+            self.next.clear()
         apart, follow, ends, size = self.apart, self.next, self.ends, self.sizes
         for w in sorted(words):
             n, depth, m = len(w), 0, min(len(w), len(before))

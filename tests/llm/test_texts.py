@@ -48,6 +48,17 @@ def test_bpe_equals_the_library(spark):
     assert bpe.digests(df.limit(0)).count() == 0
 
 
+def test_bpe_forgets_between_batches(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    own, library = bpe.Encoder(bpe.vocabulary()), Tokenizer.from_file(bpe.vocabulary())
+    for text in ["several different words", "words that differ, and numbers 12345", "", "several different words"]:
+        flat, counts = own.encode_batch([text, text])
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert flat.tolist() == ids * 2 and counts.tolist() == [len(ids)] * 2
+
+
 def test_invalid_bytes_decode_to_replacements():
     e = bpe.encoder(bpe.vocabulary())
     lone = np.array([e.id[b"\xc3"], e.id[b"a"]], np.int32)
