@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Tables of this process lie in a folder of their own, deleted when it ends.
 RUN = uuid.uuid4().hex
 _made: dict[str, SparkSession] = {}
+_recorder: contextvars.ContextVar[tuple[set[str], ...]] = contextvars.ContextVar("recorder", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,9 +32,22 @@ def scratch(spark: SparkSession, kind: str = "table") -> str:
     """A new path in the shared folder; what is written there goes when this process ends, or by ``forget``."""
     path = f"{shared_dir(spark)}/lorebase/{RUN}/{kind}-{uuid.uuid4().hex}"
     _made[path] = spark
+    for paths in _recorder.get():
+        paths.add(path)
     return path
 
 
+@contextlib.contextmanager
+def recording():
+    """Paths of the tables that this thread makes meanwhile; those of other threads are theirs."""
+    paths: set[str] = set()
+    token = _recorder.set((*_recorder.get(), paths))
+    try:
+        yield paths
+    finally:
+        _recorder.reset(token)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there and survives lost executors."""
     path = scratch(df.sparkSession)
