@@ -7,7 +7,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.durable import cut, forget, made, release, scratch, shared_dir  # noqa: F401
+from ..sources.durable import cut, forget, made, recording, release, scratch, shared_dir  # noqa: F401
 
 #: Edge tables of up to so many rows are finished in one task, by the same rule as larger ones; 16 bytes a row.
 FINISH = 1_000_000

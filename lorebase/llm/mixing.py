@@ -36,7 +36,7 @@ def poisson_cdfs(rated: DataFrame) -> DataFrame:
     Rates of 0 and null give the distribution of 0. Starts above 0 take the probability of ``_low`` from Stirling's
     series, which is exact to double precision there.
     """
-    rate, k, low = F.col("_rate"), F.col("k"), F.col("_low")
+    rate, k, low = F.col("_rate"), F.col("k").cast("double"), F.col("_low")  # powers of k pass 64 bits
     reach = F.sqrt(rate) * 12 + 20
     rows = rated.withColumn("_rate", F.coalesce(rate, F.lit(0.0))).withColumn("_low", F.when(rate > 2000, F.floor(rate - reach)).otherwise(0).cast("long"))
     rows = rows.withColumn("k", F.explode(F.sequence(low, F.when(rate > 0, F.ceil(rate + reach)).otherwise(0).cast("long"))))
@@ -72,7 +72,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     """The mixture: the columns of ``docs``, then ``mix_copy`` (from 1) and ``mix_key`` (the shuffle's sort key).
 
     Columns of ``docs`` by these two names, in any case, are replaced. A null source is the source ``""``; a null id hashes as
-    ``null``; repeated rows get equal counts; an empty table gives an empty mixture.
+    ``null``; repeated rows get equal counts; an empty table gives an empty mixture. Any rate below 2 ** 31 is taken; a
+    rate's distribution takes 24 * sqrt(rate) + 40 rows.
     """
     keep = others(docs, "mix_copy", "mix_key")
     docs = docs.select(*keep)
