@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lorebase.llm import bpe, mixing, pii, simhash, toxicity
-from lorebase.llm.common import cut, forget, made, table
+from lorebase.llm.common import cut, forget, recording, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -63,8 +63,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``, each result written and read again; what a stage has read or made on the way goes then."""
-    before, docs = made(), table(spark, sf_dir, "documents")
+    docs, own = table(spark, sf_dir, "documents"), set()
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
-        forget(made() - before - {docs._lorebase_path})
+        with recording() as paths:
+            docs = cut(stage(spark, docs, sf_dir))
+        forget((own | paths) - {docs._lorebase_path})
+        own = {docs._lorebase_path}
     return STAGES[-1][1](spark, docs, sf_dir)
