@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, chat, embedding_dedup, mixing, pii, sharding, simhash, token_store, topk, toxicity
+from . import bpe, chat, collocations, conversation_repair, embedding_dedup, exact_dedup, mixing, pii, sharding, simhash, token_store, topk, toxicity
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.op1_embedding_dedup,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_simhash": simhash.op9_simhash,
     "op10_chat_formatting": chat.op10_chat_formatting,
+    "op11_collocations": collocations.op11_collocations,
+    "op12_exact_dedup": exact_dedup.op12_exact_dedup,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
-ORACLES = {"op2_sharding": sharding.SQL, "op5_mixing": mixing.SQL, "op7_topk": topk.SQL, "op10_chat_formatting": chat.SQL}
+ORACLES = {"op2_sharding": sharding.SQL, "op5_mixing": mixing.SQL, "op7_topk": topk.SQL, "op10_chat_formatting": chat.SQL, "op11_collocations": collocations.SQL, "op12_exact_dedup": exact_dedup.SQL}
