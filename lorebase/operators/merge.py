@@ -9,6 +9,7 @@ Every aggregate combines on the map side; no window holds all rows of a popular
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -144,15 +145,26 @@ def pages(log: DataFrame) -> DataFrame:
     return log.groupBy(*PAGE).agg(F.min_by("name", order()).alias("name"), F.min("seq").alias("first_seq"), F.count_distinct("seq").alias("n_sources"))
 
 
-def touches(log: DataFrame) -> DataFrame:
-    """A row for each source and page: existed, added, prior (findings established before) and effect on entity pages."""
+def touches(log: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """A row for each source and page: existed, added, prior (findings established before) and effect on entity pages.
+
+    ``held`` (``held_sections``) is what pages say before the first of these rows: a page that has a file existed, lines
+    that stand in it are not added, and findings that stand in it are prior.
+    """
     found = F.min(F.when(F.col("section") == "Established Findings", order())).alias("own_found")
     t = log.groupBy("seq", "source_id", *PAGE).agg(F.min(order()).alias("at"), found, F.max("has_sig").alias("has_sig"), F.max("has_nonsig").alias("has_nonsig"), F.max_by("name", order()).alias("name"))
     firsts = t.groupBy(*PAGE).agg(F.min("at").alias("page_at"), F.min("own_found").alias("found_at"))
     listed = log.where(F.lower("section").isin("related papers", "applications"))
-    new = bullets(listed).where("section IN ('Related Papers', 'Applications')").select(*PAGE, F.col("at.seq").alias("seq")).distinct().withColumn("added", F.lit(True))
+    new = bullets(listed).where("section IN ('Related Papers', 'Applications')")
+    was, had = F.lit(False), F.lit(False)
+    if held is not None:
+        new = unwritten(new, held)
+        stands = held.groupBy(*PAGE).agg(F.max((F.col("_section") == "established findings") & (T.strip("body") != "")).alias("_had"))
+        t = t.join(stands, PAGE, "left")
+        was, had = F.col("_had").isNotNull(), F.coalesce("_had", F.lit(False))
+    new = new.select(*PAGE, F.col("at.seq").alias("seq")).distinct().withColumn("added", F.lit(True))
     t = t.join(firsts, PAGE).join(new, [*PAGE, "seq"], "left")
-    t = t.withColumns({"existed": F.col("page_at") < F.col("at"), "added": F.coalesce("added", F.lit(False)), "prior": F.coalesce(F.col("found_at") < F.col("at"), F.lit(False))})
+    t = t.withColumns({"existed": was | (F.col("page_at") < F.col("at")), "added": F.coalesce("added", F.lit(False)), "prior": had | F.coalesce(F.col("found_at") < F.col("at"), F.lit(False))})
     effect = (
         F.when(F.col("has_nonsig") & F.col("prior"), "contradict")
         .when(F.col("has_sig"), F.when(F.col("prior"), "strengthen").otherwise("extend"))
@@ -170,12 +182,12 @@ def effects_by_name(log: DataFrame) -> DataFrame:
     return t.groupBy("seq", "source_id", "name").agg(last.alias("effect"))
 
 
-def changes(log: DataFrame) -> DataFrame:
-    """(seq, source_id, page_type, slug, change): what each source created or updated."""
-    t = touches(log)
+def changes(log: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """(seq, source_id, page_type, slug, change, effect): what each source created or updated; ``held`` as in ``touches``."""
+    t = touches(log, held)
     updated = F.col("page_type").isin("papers", "overviews") | (F.col("effect").isNotNull() & (F.col("added") | (F.col("effect") != "unchanged")))
     change = F.when(~F.col("existed"), "created").when(updated, "updated")
-    return t.withColumn("change", change).where("change IS NOT NULL").select("seq", "source_id", *PAGE, "change")
+    return t.withColumn("change", change).where("change IS NOT NULL").select("seq", "source_id", *PAGE, "change", "effect")
 
 
 def section_lines(log: DataFrame, section: str) -> DataFrame:
@@ -208,71 +220,150 @@ def page_texts(log: DataFrame, frontmatter: DataFrame | None = None) -> DataFram
     return got.select(*PAGE, "name", F.concat(front, F.lit("# "), "name", F.lit("\n\n"), "body", F.lit("\n")).alias("text"))
 
 
-def yaml(record: Column) -> Column:
-    """YAML of a struct in its field order. The only step here that needs Python."""
+#: Keys of a paper's front matter between title and date.
+_PAPER = ["type", "source_id", "authors", "year", "journal", "doi", "url", "language", "keywords", "source_type", "evidence_level", "tags"]
 
-    @F.pandas_udf("string")
-    def run(rows):
-        import json
 
-        import yaml as library
+def paper_record(sources: DataFrame, extractions: DataFrame) -> DataFrame:
+    """What a source and its extraction say in a paper's front matter, columns ``_PAPER``."""
+    s = sources.select("source_id", "source_type", "evidence_level", "url", F.col("author").alias("s_author"), F.col("doi").alias("s_doi"))
+    e = extractions.select("source_id", "authors", "year", "journal", F.col("doi").alias("e_doi"), "language", "keywords")
+    return s.join(e, "source_id").withColumns({
+        "type": F.lit("paper"), "authors": F.when(F.size("authors") > 0, F.col("authors")).otherwise(F.col("s_author")), "doi": F.coalesce("e_doi", "s_doi"), "tags": F.array(F.lit("paper"), "source_type"),
+    }).select(*_PAPER)
 
-        return rows.map(lambda x: library.safe_dump(json.loads(x), sort_keys=False, allow_unicode=True).strip())
 
-    return run(F.to_json(record, {"ignoreNullFields": "false"}))
+def frontmatter(log: DataFrame, sources: DataFrame, extractions: DataFrame, as_of: str | None = None) -> DataFrame:
+    """(page_type, slug, frontmatter) of pages rendered from the log alone."""
+    own = own_frontmatter(log, sources, extractions, as_of)
+    none = log.sparkSession.createDataFrame([], "page_type string, slug string, text string")
+    return merged_frontmatter(own, none).select(*PAGE, "frontmatter")
 
 
-def frontmatter(log: DataFrame, sources: DataFrame, extractions: DataFrame, as_of: str | None = None, held: DataFrame | None = None) -> DataFrame:
-    """(page_type, slug, frontmatter): of a paper from its latest source, of other pages from their first.
+def held_sections(pages: DataFrame) -> DataFrame:
+    """Sections of Markdown pages (page_type, slug, text), in order: (page_type, slug, ord, section, body, _section, first).
 
-    ``held`` (page_type, slug, title, type, status, tags) is what stands in page files, edited by hand perhaps: on pages
-    that are no papers its title, type and status stay, and its tags are joined with the page's own, sorted.
+    ``_section`` is the heading in lower case; of sections of one name only the ``first`` is read and changed. A page
+    without sections has one row without heading.
     """
+    parsed = pages.select(*PAGE, parse_page("text")["sections"].alias("s"))
+    rows = parsed.select(*PAGE, F.posexplode_outer("s").alias("ord", "x")).select(*PAGE, F.coalesce("ord", F.lit(0)).alias("ord"), F.coalesce("x.heading", F.lit("")).alias("section"), F.coalesce("x.body", F.lit("")).alias("body"))
+    rows = rows.withColumn("_section", F.lower("section"))
+    return rows.withColumn("first", F.col("section") != "").withColumn("first", F.col("first") & (F.row_number().over(W.partitionBy(*PAGE, "_section").orderBy("ord")) == 1))
+
+
+def unwritten(lines: DataFrame, held: DataFrame) -> DataFrame:
+    """``lines`` (page_type, slug, section, line, ...) that do not stand in their section, blanks at their ends aside."""
+    stands = held.where("first").select(*PAGE, "_section", F.explode(T.lines("body")).alias("_key")).distinct()
+    return lines.withColumns({"_section": F.lower("section"), "_key": T.strip("line")}).join(stands, [*PAGE, "_section", "_key"], "left_anti").drop("_section", "_key")
+
+
+def applied(log: DataFrame, held: DataFrame, own: DataFrame) -> DataFrame:
+    """Pages with the rows of ``log`` applied to them as they stand: (page_type, slug, text).
+
+    ``held`` (page_type, slug, text): the touched pages that have a file, edited by hand perhaps. Rows are applied as if
+    one by one: a line goes to the end of its section unless it stands there, a set section's text is replaced, a section
+    that is not there is added at the end; all other text, headings and order stay. A page without file starts as the
+    skeleton of its kind. Applying the same rows again changes nothing. ``own`` (page_type, slug, front json) is what the
+    rows say in front matter, see ``merged_frontmatter``; it names the pages.
+    """
+    skeleton = F.create_map(*[x for k, v in V.SECTIONS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    blank = own.join(held.select(*PAGE), PAGE, "left_anti").select(*PAGE, F.posexplode(F.coalesce(skeleton[F.col("page_type")], F.array(*map(F.lit, V.GENERIC_SECTIONS)))).alias("ord", "section"))
+    blank = blank.select(*PAGE, "ord", "section", F.lit("").alias("body"), F.lower("section").alias("_section"), F.lit(True).alias("first"))
+    stand = held_sections(held).unionByName(blank)
+    fresh = unwritten(bullets(log), stand).groupBy(*PAGE, F.lower("section").alias("_section"))
+    fresh = fresh.agg(F.max_by("section", "at").alias("name"), F.min("at").alias("at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("more"))
+    fresh = fresh.select(*PAGE, "_section", "name", "at", "more", F.lit(None).cast("string").alias("new"))
+    firsts = log.where("op = 'set' AND line IS NOT NULL AND line <> ''").groupBy(*PAGE, F.lower("section").alias("_section")).agg(F.max_by("section", order()).alias("name"), F.min(order()).alias("at"), F.max_by("line", order()).alias("new"))
+    status = (F.col("page_type") == "questions") & (F.col("_section") == "status")
+    front = merged_frontmatter(own, held)
+    firsts = firsts.join(front.select(*PAGE, "status"), PAGE, "left").withColumn("new", F.when(status, F.coalesce("status", "new")).otherwise(F.col("new"))).drop("status")
+    ops = fresh.unionByName(firsts.withColumn("more", F.lit(None).cast("string")))
+    met = stand.withColumn("_key", F.when(F.col("first"), F.col("_section"))).join(ops.withColumnRenamed("_section", "_key"), [*PAGE, "_key"], "full")
+    old = F.coalesce("body", F.lit(""))
+    body = F.when(F.col("new").isNotNull(), T.strip("new")).when(F.col("more").isNotNull(), T.strip(F.when(old == "", F.col("more")).otherwise(F.concat(old, F.lit("\n"), "more")))).otherwise(old)
+    heading = F.coalesce("name", "section")
+    tail = lambda x: F.regexp_replace(x, f"{T.SPACE}+\\z", "")
+    part = F.when(heading == "", T.strip(body)).otherwise(tail(F.concat(F.lit("## "), heading, F.lit("\n\n"), body)))
+    first_at = F.coalesce("at", F.struct(F.lit(0).cast("long").alias("seq"), F.lit(0).alias("step"), F.lit(0).alias("pos")))
+    row = F.struct(F.coalesce("ord", F.lit(2**31 - 1)).alias("ord"), F.when(F.col("ord").isNull(), first_at).alias("at"), part.alias("text"))
+    texts = met.groupBy(*PAGE).agg(F.array_sort(F.collect_list(row)).alias("x")).select(*PAGE, F.filter(F.col("x.text"), lambda t: t != "").alias("parts"))
+    titled = F.filter(F.array(F.when(F.col("title") != "", F.concat(F.lit("# "), "title"))), lambda t: t.isNotNull())
+    block = F.filter(F.array(F.when(F.col("frontmatter") != "", F.concat(F.lit("---\n"), "frontmatter", F.lit("\n---")))), lambda t: t.isNotNull())
+    return texts.join(front, PAGE).select(*PAGE, F.concat(tail(F.array_join(F.concat(block, titled, "parts"), "\n\n")), F.lit("\n")).alias("text"))
+
+
+def own_frontmatter(log: DataFrame, sources: DataFrame, extractions: DataFrame, as_of: str | None = None) -> DataFrame:
+    """(page_type, slug, name, json): what the rows of ``log`` say in front matter; of a paper, its latest source."""
     day = F.lit(as_of) if as_of else F.current_date().cast("string")
     p = log.groupBy(*PAGE).agg(F.min_by("name", order()).alias("name"), F.max_by("name", order()).alias("latest"), F.max_by("source_id", order()).alias("source_id"))
     kind = F.create_map(*[F.lit(x) for kv in {"concepts": "concept", "theories": "theory", "methods": "method", "overviews": "overview", "questions": "question"}.items() for x in kv])[F.col("page_type")]
-    if held is None:
-        held = log.sparkSession.createDataFrame([], "page_type string, slug string, title string, type string, status string, tags array<string>")
-    p = p.join(held.select(*PAGE, *[F.col(c).alias(f"h_{c}") for c in ("title", "type", "status", "tags")]), PAGE, "left")
-    tags = lambda own: F.array_sort(F.array_union(F.coalesce("h_tags", F.array().cast("array<string>")), F.array(own)))
-    title, type_ = F.coalesce("h_title", "name").alias("title"), F.coalesce("h_type", kind).alias("type")
-    other = p.where("page_type NOT IN ('papers', 'questions')").select(*PAGE, yaml(F.struct(title, type_, tags(kind).alias("tags"), day.alias("updated"))).alias("frontmatter"))
-    status = F.coalesce("h_status", F.lit("detected")).alias("status")
-    question = p.where("page_type = 'questions'").select(*PAGE, yaml(F.struct(title, type_, tags(F.lit("open-question")).alias("tags"), status)).alias("frontmatter"))
-    s = sources.select("source_id", "source_type", "evidence_level", "url", F.col("author").alias("s_author"), F.col("doi").alias("s_doi"))
-    e = extractions.select("source_id", "authors", "year", "journal", "doi", "language", "keywords")
-    record = F.struct(
-        F.col("latest").alias("title"), F.lit("paper").alias("type"), "source_id", F.when(F.size("authors") > 0, F.col("authors")).otherwise(F.col("s_author")).alias("authors"), "year", "journal",
-        F.coalesce("doi", "s_doi").alias("doi"), "url", "language", "keywords", "source_type", "evidence_level", F.array(F.lit("paper"), "source_type").alias("tags"), day.alias("updated"),
-    )
-    paper = p.where("page_type = 'papers'").join(s, "source_id").join(e, "source_id").select(*PAGE, yaml(record).alias("frontmatter"))
-    return other.unionByName(question).unionByName(paper)
+    as_json = lambda r: F.to_json(r, {"ignoreNullFields": "false"})
+    tag = F.when(F.col("page_type") == "questions", "open-question").otherwise(kind)
+    other = p.where("page_type <> 'papers'").select(*PAGE, "name", as_json(F.struct(kind.alias("type"), tag.alias("tag"), day.alias("updated"))).alias("json"))
+    return other.unionByName(p.where("page_type = 'papers'").join(paper_record(sources, extractions), "source_id").select(*PAGE, "name", as_json(F.struct(F.col("latest").alias("title"), *_PAPER, day.alias("updated"))).alias("json")))
 
 
-def held_frontmatter(pages: DataFrame) -> DataFrame:
-    """(page_type, slug, title, type, status, tags) of Markdown pages (page_type, slug, text), by the library for YAML."""
+def merged_frontmatter(own: DataFrame, held: DataFrame) -> DataFrame:
+    """(page_type, slug, frontmatter, title, status) of the pages of ``own``, by the library for YAML.
+
+    A paper's keys take its latest source's values; on other pages title, type and status stay where they are given and the
+    tag is added to the tags, sorted; every other key, and the order of keys, stays. A block that is no YAML mapping
+    stays as it is.
+    """
+
+    @F.pandas_udf("frontmatter string, title string, status string")
+    def run(kind, name, own, page):
+        import json
 
-    @F.pandas_udf("title string, type string, status string, tags array<string>")
-    def run(blocks):
         import pandas as pd
         import yaml as library
 
         rows = []
-        for b in blocks:
+        for k, n, o, block, heading, exists in zip(kind, name, own, page["frontmatter"], page["title"], page["exists"]):
+            new = json.loads(o)
             try:
-                got = library.safe_load(b or "") or {}
+                front = library.safe_load(block or "") or {}
             except library.YAMLError:
-                got = {}
-            got = got if isinstance(got, dict) else {}
-            text = [None if got.get(c) is None else str(got[c]) for c in ("title", "type", "status")]
-            rows.append([*text, [str(t) for t in got["tags"]] if isinstance(got.get("tags"), list) else []])
-        return pd.DataFrame(rows, columns=["title", "type", "status", "tags"])
-
-    return pages.select(*PAGE, run(parse_page("text")["frontmatter"]).alias("f")).select(*PAGE, "f.*")
+                front = None
+            if not isinstance(front, dict):
+                rows.append((block, heading or n, "detected"))
+                continue
+            title = heading or str(front.get("title") or "") if exists else n
+            if not exists:
+                front = {"title": n}
+            if k == "papers":
+                front.update(new)
+            else:
+                front.setdefault("type", new["type"])
+                if k != "questions":
+                    front.setdefault("title", n)
+                tags = front.get("tags") or []
+                front["tags"] = sorted({str(t) for t in (tags if isinstance(tags, list) else [tags])} | {new["tag"]})
+                if k == "questions":
+                    front["status"] = front.get("status", "detected")
+                else:
+                    front["updated"] = new["updated"]
+            rows.append((library.safe_dump(front, sort_keys=False, allow_unicode=True).strip(), title, str(front.get("status", "detected"))))
+        return pd.DataFrame(rows, columns=["frontmatter", "title", "status"])
+
+    page = parse_page("text")
+    stands = held.select(*PAGE, F.struct(page["frontmatter"].alias("frontmatter"), page["heading"].alias("title"), F.lit(True).alias("exists")).alias("p"))
+    none = F.struct(F.lit(None).cast("string").alias("frontmatter"), F.lit("").alias("title"), F.lit(False).alias("exists"))
+    met = own.join(stands, PAGE, "left")
+    return met.select(*PAGE, run("page_type", "name", "json", F.coalesce("p", none)).alias("f")).select(*PAGE, "f.*")
+
+
+def get_section(text: Column | str, heading: str) -> Column:
+    """Body of the first section of a Markdown page that is called ``heading``, in any case; null where there is none."""
+    named = F.filter(parse_page(text)["sections"], lambda s: F.lower(s["heading"]) == heading.lower())
+    return F.try_element_at(named, F.lit(1))["body"]
 
 
 def parse_page(text: Column | str) -> Column:
-    """struct<frontmatter, title, sections array<struct<heading, body>>> of a Markdown page; a preamble has heading ""."""
+    """struct<frontmatter, title, sections array<struct<heading, body>>, heading> of a Markdown page.
+
+    A preamble is a section with heading ""; ``heading`` is the first-level heading, which ``title`` falls back from."""
     block = r"(?s)\A---\n(.*?)\n---\n?(.*)\z"
     has = F.rlike(text, F.lit(block))
     front = F.when(has, F.regexp_extract(text, block, 1))
@@ -285,4 +376,4 @@ def parse_page(text: Column | str) -> Column:
     first = F.struct(F.lit("").alias("heading"), newline(parts[0]).alias("body"))
     rows = F.filter(F.concat(F.array(first), F.transform(F.slice(parts, F.lit(2), F.size(parts)), head)), lambda s: (s["heading"] != "") | (s["body"] != ""))
     own = F.trim(F.regexp_extract(front, r"(?m)^title:\s*(.+)$", 1))
-    return F.struct(front.alias("frontmatter"), F.coalesce(title, T.nonempty(own), F.lit("")).alias("title"), rows.alias("sections"))
+    return F.struct(front.alias("frontmatter"), F.coalesce(title, T.nonempty(own), F.lit("")).alias("title"), rows.alias("sections"), F.coalesce(title, F.lit("")).alias("heading"))

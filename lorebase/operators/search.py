@@ -32,8 +32,8 @@ def keyword_search(pages: DataFrame, query: str, limit: int = 20, keep: list[str
     if not terms:
         return pages.limit(0).selectExpr("path", "'' AS title", "0 AS score", "'' AS snippet")
     low = F.lower("text")
-    scored = pages.withColumn("score", sum((occurrences(low, t) for t in terms), F.lit(0)).cast("int")).where("score > 0")
-    best = scored.orderBy(F.desc("score"), "path").limit(limit)
+    scored = pages.withColumn("score", sum((occurrences(low, t) for t in terms), F.lit(0)).cast("int"))
+    best = scored.orderBy(F.desc("score"), "path").limit(limit).where("score > 0")  # before the limit the sum would be made twice
     heading = T.nonempty(F.regexp_extract("text", r"(?md)^# (.*)$", 1))
     stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
     return best.select("path", F.coalesce(F.trim(heading), stem).alias("title"), "score", snippet("text", terms).alias("snippet"), *(keep or []))

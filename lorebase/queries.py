@@ -466,7 +466,7 @@ def effects(spark, d):
 @query(f"""WITH {_TOUCH} SELECT seq, page_type, slug, CASE WHEN NOT existed THEN 'created' ELSE 'updated' END AS change FROM effects
 WHERE NOT existed OR page_type IN ('overviews', 'papers') OR (effect IS NOT NULL AND (added OR effect <> 'unchanged'))""")
 def page_changes(spark, d):
-    return M.changes(log(spark, d)).drop("source_id")
+    return M.changes(log(spark, d)).drop("source_id", "effect")
 
 
 @query(f"WITH {_LOG} SELECT slug, section, count(*) AS n, sha256(string_agg('- ' || line, chr(10) ORDER BY seq, step, pos)) AS body_sha256 FROM firsts WHERE k = 1 AND page_type = 'overviews' GROUP BY ALL")

@@ -2,12 +2,40 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from . import jvm
 from .durable import exists, filesystem
 
+_FUNCTIONS = {"Read": "binary", "Write": "boolean"}
+
+
+def resolved(spark: SparkSession, root: str, shared: bool = False) -> str:
+    """A store's root with its scheme, by the session's default file system where it has none.
+
+    ``file:`` on a cluster is an error unless the folder is ``shared``, that is mounted by the driver and all executors.
+    """
+    fs, where = filesystem(spark, root.rstrip("/"))
+    found = fs.makeQualified(where).toString().rstrip("/")
+    if found.startswith("file:") and not shared and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError(f"{found} is a folder of each machine's own; name one in a store that all share, or say shared=True")
+    return found.replace("file:/", "file:///", 1) if found.startswith("file:/") and not found.startswith("file:///") else found
+
+
+def _settings(spark: SparkSession) -> Column:
+    """What the session says about Hadoop's file systems, for tasks."""
+    set_ = spark.sparkContext.getConf().getAll()
+    return F.lit("\n".join(f"{k.removeprefix('spark.hadoop.')}={v}" for k, v in sorted(set_) if k.startswith("spark.hadoop.") and "\n" not in v))
+
+
+def content(spark: SparkSession, path: Column) -> Column:
+    """Bytes of the file at ``path``, read by the task; null where there is none."""
+    return F.call_function(jvm.functions(spark, Path(__file__).with_name("StoreFiles.java"), _FUNCTIONS)["Read"], path, _settings(spark))
+
 
 def decode(content: Column | str) -> Column:
     """UTF-8 text without undecodable bytes."""
@@ -73,62 +101,37 @@ def _fields(ddl: str) -> str:
     return ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in _parse_datatype_string(ddl))
 
 
-def read_pages(spark: SparkSession, root: str) -> DataFrame:
-    """(path, page_type, slug, text) of the Markdown files below ``root``/wiki, paths relative to ``root``."""
+def _placed(path: Column) -> list[Column]:
+    """(path relative to the root, page_type, slug) of a page file."""
+    rel = F.concat(F.lit("wiki/"), F.substring_index(path, "/wiki/", -1))
+    return [rel.alias("path"), F.split(rel, "/")[1].alias("page_type"), F.regexp_replace(F.substring_index(rel, "/", -1), r"\.md$", "").alias("slug")]
+
+
+def list_pages(spark: SparkSession, root: str) -> DataFrame:
+    """(path, page_type, slug, modificationTime) of the Markdown files below ``root``/wiki; no file is opened."""
     got = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(f"{root}/wiki")
-    rel = F.concat(F.lit("wiki/"), F.substring_index("path", "/wiki/", -1))
-    return got.select(rel.alias("path"), F.split(rel, "/")[1].alias("page_type"), F.regexp_replace(F.substring_index(rel, "/", -1), r"\.md$", "").alias("slug"), decode("content").alias("text"))
+    return got.select(*_placed(F.col("path")), "modificationTime")
 
 
-def write_files(files: DataFrame, root: str) -> None:
-    """One file a row of (name, content): ``content`` goes to ``root``/``name``, replacing what is there.
+def read_pages(spark: SparkSession, root: str, since: int = 0) -> DataFrame:
+    """(path, page_type, slug, text) of the page files, paths relative to ``root``; of those changed at ``since``
+    (milliseconds) or later. Spark skips the others before it opens them."""
+    got = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(f"{root}/wiki")
+    if since:
+        got = got.where(F.col("modificationTime") >= F.timestamp_millis(F.lit(since)))
+    return got.select(*_placed(F.col("path")), decode("content").alias("text"))
 
-    Below a path that executors can open (``file:``) they write, each a partition at a time; in other stores Hadoop's file
-    system is reached from the driver, by an iterator that holds one partition. A file is renamed into place when whole.
-    """
-    spark, rows = files.sparkSession, files.select("name", "content")
-    if root.startswith("file:") or ":" not in root:
-        base = "/" + root.removeprefix("file:").lstrip("/")
-
-        def write(part) -> None:
-            import os
-            import uuid
-
-            for r in part:
-                path = os.path.join(base, r["name"])
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                with open(own := f"{path}.{uuid.uuid4().hex}.part", "wb") as f:
-                    f.write(r["content"])
-                os.replace(own, path)
-
-        rows.foreachPartition(write)
-        return
-    for r in rows.toLocalIterator():
-        fs, where = filesystem(spark, f"{root}/{r['name']}")
-        out = fs.create(where, True)
-        out.write(bytearray(r["content"]))
-        out.close()
+
+def write_files(files: DataFrame, root: str) -> None:
+    """One file a row of (name, content): the task that holds the row writes ``root``/``name``, in any store that Hadoop
+    reaches, and renames it into place when whole."""
+    spark = files.sparkSession
+    name = jvm.functions(spark, Path(__file__).with_name("StoreFiles.java"), _FUNCTIONS)["Write"]
+    done = F.call_function(name, F.concat(F.lit(f"{root}/"), "name"), F.col("content"), _settings(spark))
+    files.select(done.alias("done")).write.format("noop").mode("overwrite").save()
 
 
 def write_pages(pages: DataFrame, root: str) -> None:
     """One Markdown file a page of (page_type, slug, text), below ``root``/wiki."""
     name = F.concat(F.lit("wiki/"), "page_type", F.lit("/"), "slug", F.lit(".md"))
     write_files(pages.select(name.alias("name"), F.encode("text", "UTF-8").alias("content")), root)
-
-
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """The file of two arrays that ``read_graph`` reads, written record by record and renamed into place."""
-    spark = nodes.sparkSession
-    fs, own = filesystem(spark, path + ".part")
-    out = fs.create(own, True)
-    for start, rows in ((b'{"nodes": [', nodes), (b'], "edges": [', edges)):
-        out.write(bytearray(start))
-        between = b"\n"
-        for r in rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
-            out.write(bytearray(between + r["j"].encode()))
-            between = b",\n"
-    out.write(bytearray(b"]}\n"))
-    out.close()
-    _, where = filesystem(spark, path)
-    fs.delete(where, False)
-    fs.rename(own, where)

@@ -125,6 +125,39 @@ def test_first_match_is_sequential(spark):
     assert {r["seq"]: r["dup_of"] for r in got.collect()} == want
 
 
+def chains(rng, n):
+    """Rows that share a key with the next, whole or with gaps, and some that share more."""
+    return [(i, f"a{i // 2}", f"b{(i + 1) // 2}" if rng.random() < 0.98 else None, str(rng.randrange(n)) if rng.random() < 0.05 else None) for i in range(n)]
+
+
+@pytest.mark.parametrize("n, most", [(10_000, 100_000), (40, 8)])
+def test_first_match_on_long_chains(spark, monkeypatch, n, most):
+    """A chain of 10,000 takes a few rounds; components that are too large for a task come apart by rounds."""
+    rng, rounds = random.Random(n), []
+    rows, kept, want = chains(rng, n) if n < 1000 else [(i, f"a{i // 2}", f"b{(i + 1) // 2}", None) for i in range(n)], {}, {}
+    for seq, *keys in rows:
+        own = [(k, x) for k, x in enumerate(keys) if x is not None]
+        want[seq] = min((kept[x] for x in own if x in kept), default=None)
+        if want[seq] is None:
+            kept |= dict.fromkeys(own, seq)
+    settled = R._settled
+    monkeypatch.setattr(R, "_settled", lambda *a: rounds.append(1) or settled(*a))
+    got = R.first_match(spark.createDataFrame(rows, "seq long, a string, b string, c string"), ["a", "b", "c"], most=most)
+    assert {r["seq"]: r["dup_of"] for r in got.collect()} == want
+    assert n < 1000 or len(rounds) <= 5
+
+
+def test_new_keys_meet_their_buckets_alone(spark, tmp_path):
+    kb = KnowledgeBase(spark, f"file://{tmp_path}/store")
+    for k in range(2):
+        kb.ingest_metadata(spark.createDataFrame([(f"{k}-{i}", f"10.1/{k}.{i}") for i in range(200)], "source_id string, doi string"))
+    rows = R.identity_keys(KnowledgeBase._with_columns(spark.createDataFrame([("x", "10.1/0.7")], "source_id string, doi string")).withColumn("seq", F.lit(999).cast("long")))
+    found = kb._keys(rows)
+    assert [tuple(r) for r in found.collect()] == [(0, "10.1/0.7", found.first()["seq"])]
+    scan = found._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in scan.split("PushedFilters")[1] and "key" in scan.split("PushedFilters")[1] and "sources" not in " ".join(found.inputFiles())
+
+
 def test_keys(spark):
     df = spark.createDataFrame([(" 10.1/ABC ", None, "https://X.org/a//", " A  Great Paper", ["Kim"]), ("", "", "", " ", None)], "doi string, file_hash string, url string, title string, author array<string>")
     a, b = R.identity_keys(df).collect()
@@ -292,7 +325,8 @@ def test_new_sources_against_kept_ones(spark):
     kinds = "seq long, a string, b string, c string"
     whole = {r["seq"]: r["dup_of"] for r in R.first_match(spark.createDataFrame(rows, kinds), ["a", "b", "c"]).collect()}
     kept = [r for r in rows[:40] if whole[r[0]] is None]
-    got = R.first_match_against(spark.createDataFrame(kept, kinds), spark.createDataFrame(rows[40:], kinds), ["a", "b", "c"])
+    names = ["a", "b", "c"]
+    got = R.first_match_against(R.key_rows(spark.createDataFrame(kept, kinds), names), spark.createDataFrame(rows[40:], kinds), names)
     assert {r["seq"]: r["dup_of"] for r in got.collect()} == {k: v for k, v in whole.items() if k >= 40}
 
 
