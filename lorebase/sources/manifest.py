@@ -50,8 +50,10 @@ class Manifest:
         return self._without()
 
     def _without(self) -> dict:
-        """A store from before there were manifests: every folder counts, and sources of a batch that has no extractions wait."""
-        folders = {t: [n for n in self._names(f"{self.root}/tables/{t}") if n.startswith("batch")] for t in self._names(f"{self.root}/tables") if not t.startswith("_")}
+        """A store from before there were manifests: its folders count, and sources of a batch that has no extractions wait.
+        Folders named as ``folder`` does are no such ones: nobody has committed them."""
+        own = lambda n: n.startswith("batch") and not re.fullmatch(r"batch-\d{12}-[0-9a-f]{12}", n)
+        folders = {t: [n for n in self._names(f"{self.root}/tables/{t}") if own(n)] for t in self._names(f"{self.root}/tables") if not t.startswith("_")}
         waiting = [n for n in folders.get("sources", []) if n not in folders.get("extractions", [])]
         return {"number": 0, "tables": {t: [{"folder": n, "replaces": False} for n in names] for t, names in folders.items()}, "pending": waiting, "unwritten": [], "pages_since": 0}
 

@@ -13,6 +13,7 @@ from lorebase.operators import merge as M
 from lorebase.operators import register as R
 from lorebase.operators import search as S
 from lorebase.plans.knowledge_base import KnowledgeBase
+from lorebase.sources.durable import cut
 
 PAPER = """Trust and Mobile Payment Use *12
 Smith, J.
@@ -149,13 +150,14 @@ def test_first_match_on_long_chains(spark, monkeypatch, n, most):
 
 def test_new_keys_meet_their_buckets_alone(spark, tmp_path):
     kb = KnowledgeBase(spark, f"file://{tmp_path}/store")
+    keyed = lambda rows, start: cut(R.identity_keys(KnowledgeBase._with_columns(spark.createDataFrame(rows, "source_id string, doi string"))).withColumn("seq", F.monotonically_increasing_id() + start))
     for k in range(2):
-        kb.ingest_metadata(spark.createDataFrame([(f"{k}-{i}", f"10.1/{k}.{i}") for i in range(200)], "source_id string, doi string"))
-    rows = R.identity_keys(KnowledgeBase._with_columns(spark.createDataFrame([("x", "10.1/0.7")], "source_id string, doi string")).withColumn("seq", F.lit(999).cast("long")))
-    found = kb._keys(rows)
-    assert [tuple(r) for r in found.collect()] == [(0, "10.1/0.7", found.first()["seq"])]
-    scan = found._jdf.queryExecution().executedPlan().toString()
-    assert "bucket" in scan.split("PushedFilters")[1] and "key" in scan.split("PushedFilters")[1] and "sources" not in " ".join(found.inputFiles())
+        folder = kb._write_keys(kb.manifest.folder(), keyed([(f"{k}-{i}", f"10.1/{k}.{i}") for i in range(200)], 10**12 * k))
+        kb.manifest.add({"keys": folder, "sources": folder})
+    found = kb._keys(keyed([("x", "10.1/0.7")], 0))
+    assert [tuple(r)[:2] for r in found.collect()] == [(0, "10.1/0.7")]
+    pushed = found._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1]
+    assert "bucket" in pushed and "key" in pushed and "/sources/" not in " ".join(found.inputFiles())
 
 
 def test_keys(spark):

@@ -299,6 +299,16 @@ def test_manifests_take_turns(spark, tmp_path):
     assert m.read()["number"] == 3 and m.add({"t": "d"})["number"] == 5
 
 
+def test_folders_that_nobody_committed_do_not_count(spark, tmp_path):
+    m = Manifest(spark, f"file://{tmp_path}/s")
+    name = m.folder()
+    for n in (name, "batch-0123456789abcdef"):
+        (tmp_path / f"s/tables/sources/{n}").mkdir(parents=True)
+    assert m.read()["pending"] == ["batch-0123456789abcdef"] == [e["folder"] for e in m.read()["tables"]["sources"]]  # a store of old
+    m.add({"sources": name})
+    assert [e["folder"] for e in m.read()["tables"]["sources"]] == ["batch-0123456789abcdef", name]
+
+
 def test_roots(spark, tmp_path):
     from types import SimpleNamespace
 
