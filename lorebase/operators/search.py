@@ -1,13 +1,23 @@
-"""Keyword search over pages, and the digest of a knowledge base."""
+"""Keyword search over pages, by a scan or by an index of trigrams, and the digest of a knowledge base."""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.durable import cut
 
 WIDTH = 120
+#: Posting lists: how often each trigram occurs in a page. A trigram is a number of three code points of 21 bits, so that
+#: those that begin alike are neighbours; a page ends with two zeros, so that each of its characters begins one.
+POSTINGS, GRAMS, BITS = "gram long, path string, n long", "gram long, df long", 21
+#: Characters that are sorted together as one run of a file; trigrams of a term that are looked up, the rarest ones.
+RUN, RAREST = 1 << 22, 4
 
 
 def occurrences(low: Column, term: str) -> Column:
@@ -39,6 +49,105 @@ def keyword_search(pages: DataFrame, query: str, limit: int = 20, keep: list[str
     return best.select("path", F.coalesce(F.trim(heading), stem).alias("title"), "score", snippet("text", terms).alias("snippet"), *(keep or []))
 
 
+def postings(pages: DataFrame) -> DataFrame:
+    """``POSTINGS`` of pages (path, text), in runs sorted by trigram, without a shuffle.
+
+    Null texts have none, an empty one has none either; a page of several runs, or a repeated one, has several rows a trigram.
+    """
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def sorted_run(paths, pieces):
+            grams, pages_ = [], []
+            for k, codes in enumerate(pieces):
+                c = codes.astype(np.int64)
+                grams.append(c[:-2] << 2 * BITS | c[1:-1] << BITS | c[2:])
+                pages_.append(np.full(len(c) - 2, k, np.int32))
+            gram, page = np.concatenate(grams), np.concatenate(pages_)
+            order = np.argsort(gram, kind="stable")  # pages stay in order within a trigram
+            gram, page = gram[order], page[order]
+            at = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (page[1:] != page[:-1])])
+            n, names = np.diff(np.r_[at, len(gram)]), pa.array(paths, pa.string())
+            for s in range(0, len(at), 100_000):
+                e = at[s : s + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(gram[e]), names.take(pa.array(page[e])), pa.array(n[s : s + 100_000])], ["gram", "path", "n"])
+
+        paths, pieces, room = [], [], RUN
+        for batch in batches:
+            for path, low in zip(batch.column(0), batch.column(1)):
+                codes = np.frombuffer((low.as_py() + "\0\0").encode("utf-32-le", "replace"), np.uint32)
+                for s in range(0, len(codes) - 2, RUN):
+                    piece = codes[s : s + RUN + 2]
+                    if len(piece) - 2 > room and pieces:
+                        yield from sorted_run(paths, pieces)
+                        paths, pieces, room = [], [], RUN
+                    paths.append(path.as_py())
+                    pieces.append(piece)
+                    room -= len(piece) - 2
+        if pieces:
+            yield from sorted_run(paths, pieces)
+
+    return pages.where("text IS NOT NULL AND path IS NOT NULL").select("path", F.lower("text").alias("low")).mapInArrow(run, POSTINGS)
+
+
+def gram_counts(own: DataFrame) -> DataFrame:
+    """``GRAMS``: how many rows of the postings each trigram has."""
+    return own.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+
+
+def _number(piece: str) -> int:
+    return reduce(lambda a, c: a << BITS | ord(c), piece, 0) << BITS * (3 - len(piece))
+
+
+def candidates(own: DataFrame, counts: DataFrame, query: str) -> DataFrame:
+    """(path, bound): pages in which a term of the query may occur, and a number that their score cannot exceed.
+
+    An occurrence of a term has each of its trigrams at a place of its own, so the rarest of them bounds how many there
+    are, and a page that lacks one of them has none. Terms of one or two characters begin trigrams: they are a range.
+    """
+    terms = Counter(t.lower() for t in query.split())
+    grams = {t: {_number(t[i : i + 3]) for i in range(len(t) - 2)} for t in terms if len(t) > 2}
+    asked = sorted(set().union(*grams.values()))
+    df = dict(counts.where(F.col("gram").isin(asked)).groupBy("gram").agg(F.sum("df")).collect()) if asked else {}  # a row a trigram of the query
+    tests: dict[str, list[Column]] = {}
+    for t in terms:
+        if len(t) > 2 and all(g in df for g in grams[t]):
+            tests[t] = [F.col("gram") == g for g in sorted(grams[t], key=lambda g: (df[g], g))[:RAREST]]
+        elif len(t) < 3:
+            tests[t] = [F.col("gram").between(_number(t), _number(t) + (1 << BITS * (3 - len(t))) - 1)]
+    if not tests:
+        return own.limit(0).select("path", F.lit(0).cast("long").alias("bound"))
+    named = {(t, i): f"c{k}_{i}" for k, t in enumerate(tests) for i in range(len(tests[t]))}
+    found = own.where(reduce(lambda a, b: a | b, [c for cs in tests.values() for c in cs]))
+    found = found.groupBy("path").agg(*[F.sum(F.when(tests[t][i], F.col("n"))).alias(c) for (t, i), c in named.items()])
+
+    def most(t: str) -> Column:
+        own_ = [F.col(named[t, i]) for i in range(len(tests[t]))]
+        return F.when(reduce(lambda a, b: a & b, [c.isNotNull() for c in own_]), F.array_min(F.array(*own_)) * terms[t]).otherwise(0)
+
+    return found.select("path", sum((most(t) for t in tests), F.lit(0)).cast("long").alias("bound")).where("bound > 0")
+
+
+def indexed_search(own: DataFrame, counts: DataFrame, texts: Callable[[DataFrame], DataFrame], query: str, limit: int = 20, also: DataFrame | None = None) -> DataFrame:
+    """What ``keyword_search`` finds, by postings and their counts: texts are read of those pages alone whose bound
+    reaches the last score of the pages with the greatest bounds.
+
+    ``texts`` gives (path, text) of pages (path) as they stand; ``also`` (path) are looked at whatever the index says,
+    which may be out of date about them. Outdated postings beside new ones cost reads, never results.
+    """
+    if not query.split() or limit < 1:
+        return keyword_search(texts(own.limit(0).select("path")), query, max(limit, 0))
+    bound = candidates(own, counts, query)
+    if also is not None:
+        bound = bound.join(also.select("path"), "path", "left_anti").unionByName(also.select("path", F.lit((1 << 62) - 1).alias("bound")))
+    bound = cut(bound)
+    best = keyword_search(texts(cut(bound.orderBy(F.desc("bound"), "path").limit(limit).select("path"))), query, limit)
+    n, last = best.agg(F.count(F.lit(1)), F.min("score")).first()
+    return keyword_search(texts(bound.where(F.col("bound") >= (last if n >= limit else 1)).select("path")), query, limit)
+
+
 def digest(sources: DataFrame, pages: DataFrame, page_sections: DataFrame) -> DataFrame:
     """(metric, key, value): source and page counts, open questions, concept pages with conflicting findings.
 

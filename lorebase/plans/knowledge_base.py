@@ -34,7 +34,7 @@ SOURCE = (
     "local_file string, language string, keywords array<string>, access_status string, peer_reviewed boolean, evidence_level string, file_hash string, seq long"
 )
 LOG = "seq long, source_id string, has_sig boolean, has_nonsig boolean, step int, pos int, page_type string, name string, section string, op string, line string, slug string"
-PAGES = "page_type string, slug string, path string, text string"
+PAGES = "page_type string, slug string, path string, text string, modified long"
 CHANGES = "seq long, source_id string, page_type string, slug string, change string, effect string"
 STORE_VARIABLE = "LOREBASE_STORE"
 #: Identity keys of sources; a record that replaces another has a row of kind -1.
@@ -292,15 +292,18 @@ class KnowledgeBase:
         log = self._table("log", LOG, only=was["unwritten"])
         held = cut(self._touched(log))
         texts = cut(M.applied(log, held, M.own_frontmatter(log, self.sources(), self.extractions())))
-        files.write_pages(texts, self.root)
-        seen = texts.withColumn("path", F.concat(F.lit("wiki/"), "page_type", F.lit("/"), "slug", F.lit(".md")))
+        times = files.write_pages(texts, self.root)
+        seen = texts.withColumn("path", F.concat(F.lit("wiki/"), "page_type", F.lit("/"), "slug", F.lit(".md"))).join(times, "path", "left")
         if was["pages_since"]:
             edited = files.read_pages(self.spark, self.root, was["pages_since"]).join(texts.select(*M.PAGE), M.PAGE, "left_anti")
             seen = seen.unionByName(edited)
-        folder = self._write("pages", self.manifest.folder(), seen.select("page_type", "slug", "path", "text"))
+        folder = self._write("pages", self.manifest.folder(), seen.select(*[c.split()[0] for c in PAGES.split(", ")]))
+        self._write("postings", folder, S.postings(self.spark.read.schema(PAGES).parquet(f"{self.root}/tables/pages/{folder}")))
+        self._write("grams", folder, S.gram_counts(self.spark.read.schema(S.POSTINGS).parquet(f"{self.root}/tables/postings/{folder}")).repartitionByRange("gram").sortWithinPartitions("gram"))
 
         def done(m: dict) -> None:
-            m["tables"].setdefault("pages", []).append({"folder": folder, "replaces": False})
+            for name in ("pages", "postings", "grams"):
+                m["tables"].setdefault(name, []).append({"folder": folder, "replaces": False})
             m["unwritten"] = [x for x in m["unwritten"] if x not in was["unwritten"]]
             m["pages_since"] = since
 
@@ -331,7 +334,7 @@ class KnowledgeBase:
         if not live or not m["pages_since"]:
             return files.read_pages(self.spark, self.root).select("page_type", "slug", "path", "text")
         number = F.regexp_extract("_metadata.file_path", r"/(batch-[^/]*)/", 1)
-        last = self.spark.read.schema(PAGES).option("recursiveFileLookup", "true").parquet(*live).withColumn("n", number)
+        last = self.spark.read.schema(PAGES).option("recursiveFileLookup", "true").parquet(*live).select("page_type", "slug", "path", "text", number.alias("n"))
         now = files.read_pages(self.spark, self.root, m["pages_since"]).select("page_type", "slug", "path", "text", F.lit("now").alias("n"))
         got = last.unionByName(now).groupBy(*M.PAGE, "path").agg(F.max_by("text", "n").alias("text"))
         return got.join(files.list_pages(self.spark, self.root).select("path"), "path", "left_semi").select("page_type", "slug", "path", "text")
@@ -357,8 +360,22 @@ class KnowledgeBase:
         return None if text is None else self.spark.createDataFrame([(text,)], "text string").select(M.get_section("text", heading)).first()[0]
 
     def search(self, query: str, limit: int = 20) -> DataFrame:
-        """Over the pages as they stand: no page is rendered for a query."""
-        return S.keyword_search(self.pages().select("path", "text"), query, limit)
+        """Over the pages as they stand. Posting lists say which to read, and those edited since are read too: their files'
+        times are not those that the index was made at. Stores from before the index are scanned until their next ingest."""
+        m = self.manifest.read()
+        seen = {e["folder"] for e in m["tables"].get("pages", [])}
+        if not seen or not m["pages_since"] or seen - {e["folder"] for e in m["tables"].get("postings", [])}:
+            return S.keyword_search(self.pages().select("path", "text"), query, limit)
+        since = F.timestamp_millis(F.lit(m["pages_since"]))
+        now = files.list_pages(self.spark, self.root).where(F.col("modificationTime") >= since).select("path", F.unix_millis("modificationTime").alias("modified"))
+        known = self._table("pages", PAGES).where(F.col("modified") >= m["pages_since"]).select("path", "modified")
+        edited = now.join(known, ["path", "modified"], "left_anti").select("path")
+        return S.indexed_search(self._table("postings", S.POSTINGS), self._table("grams", S.GRAMS), self._standing, query, limit, edited)
+
+    def _standing(self, paths: DataFrame) -> DataFrame:
+        """(path, text) of the pages (path) that have a file, read by path."""
+        got = paths.select("path", files.content(self.spark, F.concat(F.lit(f"{self.root}/"), "path")).alias("content"))
+        return got.where("content IS NOT NULL").select("path", files.decode("content").alias("text"))
 
     def digest(self) -> DataFrame:
         log = self.log()

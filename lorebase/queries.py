@@ -521,6 +521,14 @@ def search_topk(spark, d):
     return S.keyword_search(_searched(spark, d), " ".join(_TERMS)).select("path", "score")
 
 
+@query(ORACLES["search_topk"])
+def search_indexed(spark, d):
+    pages = _searched(spark, d)
+    own = cut(S.postings(pages))
+    texts = lambda paths: pages.join(paths, "path", "left_semi")
+    return S.indexed_search(own, cut(S.gram_counts(own)), texts, " ".join(_TERMS)).select("path", "score")
+
+
 _AT = "coalesce(" + ", ".join(f"nullif(strpos(lower(text), '{t}'), 0)" for t in _TERMS) + ")"
 
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from . import jvm
-from .durable import exists, filesystem
+from .durable import cut, exists, filesystem
 
-_FUNCTIONS = {"Read": "binary", "Write": "boolean"}
+_FUNCTIONS = {"Read": "binary", "Write": "bigint"}
 
 
 def resolved(spark: SparkSession, root: str, shared: bool = False) -> str:
@@ -114,24 +114,28 @@ def list_pages(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, root: str, since: int = 0) -> DataFrame:
-    """(path, page_type, slug, text) of the page files, paths relative to ``root``; of those changed at ``since``
+    """(path, page_type, slug, text, modified) of the page files, paths relative to ``root``; of those changed at ``since``
     (milliseconds) or later. Spark skips the others before it opens them."""
     got = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(f"{root}/wiki")
     if since:
         got = got.where(F.col("modificationTime") >= F.timestamp_millis(F.lit(since)))
-    return got.select(*_placed(F.col("path")), decode("content").alias("text"))
+    return got.select(*_placed(F.col("path")), decode("content").alias("text"), F.unix_millis("modificationTime").alias("modified"))
 
 
-def write_files(files: DataFrame, root: str) -> None:
-    """One file a row of (name, content): the task that holds the row writes ``root``/``name``, in any store that Hadoop
-    reaches, and renames it into place when whole."""
+def _written(files: DataFrame, root: str) -> DataFrame:
     spark = files.sparkSession
     name = jvm.functions(spark, Path(__file__).with_name("StoreFiles.java"), _FUNCTIONS)["Write"]
     done = F.call_function(name, F.concat(F.lit(f"{root}/"), "name"), F.col("content"), _settings(spark))
-    files.select(done.alias("done")).write.format("noop").mode("overwrite").save()
+    return files.select(F.col("name").alias("path"), done.alias("modified"))
+
+
+def write_files(files: DataFrame, root: str) -> None:
+    """One file a row of (name, content): the task that holds the row writes ``root``/``name``, in any store that Hadoop
+    reaches, and renames it into place when whole."""
+    _written(files, root).write.format("noop").mode("overwrite").save()
 
 
-def write_pages(pages: DataFrame, root: str) -> None:
-    """One Markdown file a page of (page_type, slug, text), below ``root``/wiki."""
+def write_pages(pages: DataFrame, root: str) -> DataFrame:
+    """One Markdown file a page of (page_type, slug, text), below ``root``/wiki: (path, modified), the times as written."""
     name = F.concat(F.lit("wiki/"), "page_type", F.lit("/"), "slug", F.lit(".md"))
-    write_files(pages.select(name.alias("name"), F.encode("text", "UTF-8").alias("content")), root)
+    return cut(_written(pages.select(name.alias("name"), F.encode("text", "UTF-8").alias("content")), root))
