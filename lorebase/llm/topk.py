@@ -10,8 +10,10 @@ Pivots are taken from a bounded pool, each the farthest from the space of those
 
 A query starts from the k-th best score among the pool, which are rows themselves. Each row's home is its nearest pivot;
 <q, p> + |q| * radius bounds the scores of a home, and homes that cannot reach a query's first score never meet it. Small
-homes are packed into groups, large ones cut; a task holds one block of queries and streams the rows of one group past
-it, so it returns at most k rows a query. A window over those ranks them.
+homes are packed into groups, large ones cut, and groups dealt to lanes; a task holds one block of queries and streams
+the groups of one lane past it, so what a query has found in one group stops it earlier in the next, and a lane returns
+at most k rows a query, none below the query's first score. A window over those ranks them. There are no more lanes than
+give every core one, so the rows returned are at most queries times k times lanes, whatever the number of rows.
 """
 
 from __future__ import annotations
@@ -24,7 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-K, SCALE, PIVOTS, REST, POOL, QUERY_BLOCK, GROUP_ROWS, TILE, FIRST, SLACK = 20, 64, 512, 0.06, 1024, 8192, (1024, 1 << 18), 256, 64, 2e-5
+K, SCALE, PIVOTS, REST, POOL, GROUP_ROWS, TILE, FIRST, SLACK = 20, 64, 512, 0.06, 1024, (1024, 1 << 18), 256, 64, 2e-5
+#: Queries of a block, at most so many and so many bytes of components; the table is read once a block.
+QUERY_BLOCK, QUERY_BYTES = 1 << 15, 1 << 25
+#: The score of no row; its negative is a long too.
+NONE = -(2**63 - 1)
 
 
 def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -128,45 +134,57 @@ def _prepare(pivots: dict[int, Pivots], plan=None, pool=None, k: int = K):
 
 
 class Block:
-    """Queries of one dimension with their best rows so far. ``evaluated`` and ``seen`` count exact scores and pairs."""
+    """Queries of one dimension with their best rows so far. ``evaluated`` and ``seen`` count exact scores and pairs.
 
-    def __init__(self, ids, x, y, length, first, k: int):
+    ``groups``: the groups that each query meets, as lists; without it all queries meet all rows.
+    """
+
+    def __init__(self, ids, x, y, length, first, k: int, groups=None):
         import numpy as np
 
         self.ids, self.x, self.y, self.length, self.first, self.k = ids, x, y, np.sqrt(length), first, k
-        self.score, self.row = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.score, self.row = np.full((len(ids), k), NONE), np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.wide, self.most = x.astype(np.float64), float(np.abs(x.astype(np.float64)).max())
         self.evaluated = self.seen = 0
-
-    def _keep(self, s: int, i, ids, v) -> None:
-        """Take exact scores ``v`` of rows ``ids`` for the queries ``s + i``."""
+        self.meets = None
+        if groups is not None:
+            each, flat = np.repeat(np.arange(len(ids)), [len(g) for g in groups]), np.array([g for own in groups for g in own])
+            order = np.argsort(flat, kind="stable")
+            names, at = np.unique(flat[order], return_index=True)
+            self.meets = dict(zip(names.tolist(), np.split(each[order], at[1:])))
+
+    def _keep(self, i, ids, v) -> None:
+        """Take exact scores ``v`` of rows ``ids`` for the queries ``i``."""
         import numpy as np
 
         some = np.unique(i)
         a = np.r_[np.repeat(np.arange(len(some)), self.k), np.searchsorted(some, i)]
-        score, row = np.r_[self.score[s + some].ravel(), v], np.r_[self.row[s + some].ravel(), ids]
+        score, row = np.r_[self.score[some].ravel(), v], np.r_[self.row[some].ravel(), ids]
         order = np.lexsort((row, -score, a))
         place = np.arange(len(a)) - np.searchsorted(a[order], a[order])
         order = order[place < self.k]
-        self.score[s + some], self.row[s + some] = score[order].reshape(-1, self.k), row[order].reshape(-1, self.k)
+        self.score[some], self.row[some] = score[order].reshape(-1, self.k), row[order].reshape(-1, self.k)
 
-    def meet(self, ids, x, y, length) -> None:
+    def meet(self, ids, x, y, length, group=None) -> None:
+        """Hold rows, all of one ``group``, against the queries that meet it."""
         import numpy as np
 
-        most = float(np.abs(self.x).max()) * float(np.abs(x).max()) * x.shape[1]
-        if most < 2**53:  # then exact in double precision
-            mine, theirs = self.x.astype(np.float64), x.astype(np.float64)
-        else:
-            mine, theirs = self.x, x
+        asking = np.arange(len(self.ids)) if self.meets is None else self.meets.get(group, [])
+        if not len(asking):
+            return
+        wide = x.astype(np.float64)
+        most = self.most * float(np.abs(wide).max()) * x.shape[1]
+        small = most < 2**53  # then exact in double precision
         norms = np.sqrt(length)
-        for s in range(0, len(self.ids), TILE):
-            e = min(s + TILE, len(self.ids))
-            bound = self.y[s:e] @ y.T
-            bound += (SLACK * self.length[s:e, None] * norms[None] + 1).astype(np.float32)
-            bound[self.ids[s:e, None] == ids[None]] = -np.inf
+        for s in range(0, len(asking), TILE):
+            some = asking[s : s + TILE]
+            bound = self.y[some] @ y.T
+            bound += (SLACK * self.length[some, None] * norms[None] + 1).astype(np.float32)
+            bound[self.ids[some, None] == ids[None]] = -np.inf
             self.seen += bound.size
             size = FIRST
             while True:
-                reach = np.maximum(self.first[s:e], self.score[s:e, -1])  # in bound order, all others come after the exact stop
+                reach = np.maximum(self.first[some], self.score[some, -1])  # in bound order, all others come after the exact stop
                 open_ = (bound >= reach[:, None]) & (bound > -np.inf)
                 n = open_.sum(axis=1)
                 if not n.any():
@@ -178,28 +196,31 @@ class Block:
                 self.evaluated += len(a)
                 for c in range(0, len(a), 1 << 17):
                     i, j = a[c : c + (1 << 17)], b[c : c + (1 << 17)]
-                    v = np.einsum("ij,ij->i", mine[i + s], theirs[j]).astype(np.float64)
-                    self._keep(s, i, ids[j], v)
+                    v = np.einsum("ij,ij->i", self.wide[some[i]], wide[j])
+                    if not small:  # modulo 2 ** 64, so right where the sum itself is a long
+                        if most >= 2**62 and (np.abs(v) >= 2**63 * (1 - 1e-9)).any():
+                            raise OverflowError("an inner product is beyond 64 bits")
+                        v = np.einsum("ij,ij->i", self.x[some[i]], x[j])
+                    self._keep(some[i], ids[j], v.astype(np.int64))
                 bound[open_] = -np.inf
                 size *= 16
 
     def best(self):
-        """(query ids, row ids, scores) of all that were kept."""
+        """(query ids, row ids, scores) of all that were kept and can be among a query's best."""
         import numpy as np
 
-        i, j = np.nonzero(self.score > -np.inf)
-        row = self.row[i, j]
-        return self.ids[i], row, self.score[i, j].astype(np.int64)
+        i, j = np.nonzero((self.score > NONE) & (self.score >= self.first[:, None]))
+        return self.ids[i], self.row[i, j], self.score[i, j]
 
 
 def _search(pivots: dict[int, Pivots], k: int):
-    """Rows of a group, its queries first, in batches that may begin and end anywhere."""
+    """Rows of a block and lane, its queries first, then group by group, in batches that may begin and end anywhere."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        group, waiting, blocks = None, [], {}
+        lane, waiting, blocks = None, [], {}
 
         def flush():
             for block in blocks.values():
@@ -221,18 +242,21 @@ def _search(pivots: dict[int, Pivots], k: int):
                 yield dim, some, x, y, length
 
         def meet(part):
-            for dim, some, x, y, length in unpack(part):
-                if dim in blocks:
-                    blocks[dim].meet(some.column("vec_id").to_numpy(), x, y, length)
+            groups = part.column("group").to_numpy()
+            edge = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1], True])
+            for s, e in zip(edge[:-1], edge[1:]):
+                for dim, some, x, y, length in unpack(part.slice(s, e - s)):
+                    if dim in blocks:
+                        blocks[dim].meet(some.column("vec_id").to_numpy(), x, y, length, int(groups[s]))
 
         for batch in batches:
             g = batch.column("g").to_numpy()
             edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True]) if len(g) else []
             for s, e in zip(edge[:-1], edge[1:]):
                 part = batch.slice(s, e - s)
-                if g[s] != group:
+                if g[s] != lane:
                     yield from flush()
-                    group, waiting, blocks = g[s], [], {}
+                    lane, waiting, blocks = g[s], [], {}
                 asks = part.column("is_query").to_numpy(zero_copy_only=False)
                 n = int(asks.sum())
                 if n:
@@ -240,7 +264,7 @@ def _search(pivots: dict[int, Pivots], k: int):
                 if n < len(asks):
                     if waiting:
                         for dim, some, x, y, length in unpack(pa.Table.from_batches(waiting).combine_chunks()):
-                            blocks[dim] = Block(some.column("vec_id").to_numpy(), x, y, length, some.column("first").to_numpy(), k)
+                            blocks[dim] = Block(some.column("vec_id").to_numpy(), x, y, length, some.column("first").to_numpy(), k, some.column("groups").to_pylist())
                         waiting = []
                     for c in range(n, len(asks), 8192):
                         meet(part.slice(c, min(8192, len(asks) - c)))
@@ -278,7 +302,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
 
     A query's own id is no candidate; vectors meet those of equal dimension; vectors of no components score nothing.
     Ties go to the smaller id; a repeated query id is one query per row and ranks its rows together; a candidate id
-    that repeats is a row each time. Fewer rows than ``k`` are all returned; empty tables give an empty result. Other
+    that repeats is a row each time. Fewer rows than ``k`` are all returned; an inner product beyond 64 bits is an error; empty tables give an empty result. Other
     columns are ignored. A dimension that the pool of ``POOL`` rows lacks has no pivots, and lengths alone bound there.
     """
     import numpy as np
@@ -294,19 +318,22 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = K) -> DataFrame:
     bounded = F.when(F.col("home") < 0, -1).otherwise(F.col("dim"))  # so rows of dimensions that the pool lacks are one home
     homes = [tuple(r) for r in x.groupBy(bounded.alias("d"), "home").agg(F.count(F.lit(1)), F.max("near")).collect()]  # a row a pivot at most
     n_queries = queries.count()
-    n_blocks = max(1, math.ceil(n_queries / QUERY_BLOCK))
-    of, plan, n_groups = _plan(homes, n_blocks, spark.sparkContext.defaultParallelism)
+    n_blocks = max(1, math.ceil(n_queries / max(1, min(QUERY_BLOCK, QUERY_BYTES // (8 * max(pool, default=1))))))
+    parallelism = spark.sparkContext.defaultParallelism
+    of, plan, n_groups = _plan(homes, n_blocks, parallelism)
+    lanes = max(1, min(n_groups, math.ceil(parallelism / n_blocks)))
     asked = queries.select("vec_id", "x").mapInArrow(_prepare(pivots, plan, pool, k), "vec_id long, dim int, x binary, far binary, first double, groups array<int>")
-    asked = cut(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks))))
-    number = F.col("block") * max(n_groups, 1) + F.col("group")
-    q = asked.withColumn("group", F.explode("groups")).select(number.alias("g"), F.lit(True).alias("is_query"), "vec_id", "dim", "x", "far", "first")
+    asked = cut(asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "x"), F.lit(n_blocks)).cast("int")))
+    number = F.col("block") * lanes + F.col("lane")
+    q = asked.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).withColumn("groups", F.filter("groups", lambda g: g % lanes == F.col("lane"))).where(F.size("groups") > 0)
+    q = q.select(number.alias("g"), F.lit(True).alias("is_query"), F.lit(-1).alias("group"), "vec_id", "dim", "x", "far", "first", "groups")
     dealt = spark.createDataFrame([(d, h, a, c) for (d, h), (a, c) in of.items()], "d int, home int, start int, n int")  # a row a pivot at most
     x = x.withColumn("d", bounded.cast("int")).join(F.broadcast(dealt), ["d", "home"])
     x = x.withColumn("group", (F.col("start") + F.pmod(F.xxhash64("vec_id"), F.col("n"))).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    met = cut(q.select("g").distinct())
-    x = x.withColumn("g", number).join(met, "g", "left_semi").select("g", F.lit(False).alias("is_query"), "vec_id", "dim", "x", "far", F.lit(0.0).alias("first"))
-    tasks = max(1, min(n_blocks * n_groups, max(200, 4 * spark.sparkContext.defaultParallelism)))
-    both = q.unionByName(x).repartition(tasks, "g").sortWithinPartitions("g", F.desc("is_query"))
+    met = cut(asked.select("block", F.explode("groups").alias("group")).distinct())
+    x = x.join(met, ["block", "group"], "left_semi").withColumn("lane", F.col("group") % lanes)
+    x = x.select(number.alias("g"), F.lit(False).alias("is_query"), "group", "vec_id", "dim", "x", "far", F.lit(0.0).alias("first"), F.lit(None).cast("array<int>").alias("groups"))
+    both = q.unionByName(x).repartitionById(n_blocks * lanes, F.col("g").cast("int")).sortWithinPartitions("g", F.desc("is_query"), "group")
     found = both.mapInArrow(_search(pivots, k), "query_id long, vec_id long, score long")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -146,6 +147,40 @@ def test_bounds_hold_and_eliminate():
     assert block.evaluated < 0.2 * block.seen
 
 
+def test_lanes_return_few_rows(spark):
+    """At most k rows a query and lane, none that cannot be among the best; ten times the rows return hardly more."""
+    rng, returned = np.random.default_rng(4), []
+    for n in (1500, 15000):
+        x = np.floor(64 * rng.standard_normal((n, 16)) / 4).astype(np.int64)
+        own = topk.Pivots(x[:1024])
+        length, far = (x.astype(float) ** 2).sum(1), own.distances(x.astype(float))
+        y = own.place(far, length)
+        exact = (x[:40] @ x.T).astype(float)
+        exact[np.arange(40), np.arange(40)] = -np.inf
+        first = np.partition(exact[:, :1024], -20, axis=1)[:, -20]
+        block = topk.Block(np.arange(40), x[:40], y[:40], length[:40], first, 20, [[g for g in range(n // 500) if g % 7 != q % 7] for q in range(40)])
+        for g in range(n // 500):
+            part = slice(g * 500, g * 500 + 500)
+            block.meet(np.arange(n)[part], x[part], y[part], length[part], g)
+        q, row, score = block.best()
+        returned.append(len(q))
+        for i in range(40):
+            seen = [(-exact[i, j], j) for j in range(n) if j // 500 % 7 != i % 7 and exact[i, j] >= first[i]]
+            assert sorted(zip(-score[q == i], row[q == i])) == sorted(seen)[:20]
+    assert returned[1] <= 40 * 20 and returned[0] <= returned[1]
+
+
+def test_scores_beyond_doubles():
+    big = np.array([[2**30, 1], [2**30, 2], [2**30, 3], [2**31, 2**31]], np.int64)
+    y, length = np.sqrt((big.astype(float) ** 2).sum(1))[:, None].astype(np.float32), (big.astype(float) ** 2).sum(1)
+    block = topk.Block(np.array([0]), big[:1], y[:1], length[:1], np.array([-np.inf]), 2)
+    block.meet(np.arange(3), big[:3], y[:3], length[:3])
+    assert list(zip(*[c.tolist() for c in block.best()])) == [(0, 2, 2**60 + 3), (0, 1, 2**60 + 2)]
+    huge = big[3:] * 2
+    with pytest.raises(OverflowError):
+        topk.Block(np.array([9]), huge, y[3:] * 2, length[3:] * 4, np.array([-np.inf]), 2).meet(np.arange(1), huge, y[3:] * 2, length[3:] * 4)
+
+
 def plain_fingerprint(text):
     w, word = [], ""
     for c in (text or "") + " ":
