@@ -145,7 +145,8 @@ def indexed_search(own: DataFrame, counts: DataFrame, texts: Callable[[DataFrame
     bound = cut(bound)
     best = keyword_search(texts(cut(bound.orderBy(F.desc("bound"), "path").limit(limit).select("path"))), query, limit)
     n, last = best.agg(F.count(F.lit(1)), F.min("score")).first()
-    return keyword_search(texts(bound.where(F.col("bound") >= (last if n >= limit else 1)).select("path")), query, limit)
+    reach = cut(bound.where(F.col("bound") >= (last if n >= limit else 1)).select("path"))  # of known size, so that texts need no shuffle to meet few
+    return keyword_search(texts(reach), query, limit)
 
 
 def digest(sources: DataFrame, pages: DataFrame, page_sections: DataFrame) -> DataFrame:
