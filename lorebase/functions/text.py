@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from html.entities import name2codepoint
+from pathlib import Path
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import jvm
 from . import values as V
 
 #: White space of every script and the separators \x1c-\x1f, spelled out: a Java class of Unicode properties is many times slower.
@@ -128,9 +131,34 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _java(name: str, *args: Column) -> Column:
+    """A function of ``Names.java``. A stream's batches run in a session of their own beside the one of tables: both know it."""
+    active = SparkSession.getActiveSession()
+    known = {id(x): x for x in (SparkSession._instantiatedSession, active) if x is not None}
+    found = [jvm.functions(x, Path(__file__).with_name("Names.java"), {"Composed": "string", "Plain": "string"}) for x in known.values()]
+    return F.call_function(found[0][name], *args)
+
+
+def nfkc(name: Column | str) -> Column:
+    """Compatibility composition; text of ASCII alone stays as it is."""
+    name = F.col(name) if isinstance(name, str) else name
+    return F.when(F.octet_length(name) == F.length(name), name).otherwise(_java("Composed", name))
+
+
+def plain_name(name: Column | str) -> Column:
+    """In compatibility composition, with the characters that HTML's references stand for; apostrophes that come from either are dropped.
+
+    References: names of HTML 4, decimal and hexadecimal numbers, read in this order. An apostrophe of the name itself is a dash.
+    """
+    name = F.translate(name, "'", "-")
+    odd = (F.octet_length(name) != F.length(name)) | F.contains(name, F.lit("&"))
+    listed = "\n".join(f"{k}={v}" for k, v in sorted(name2codepoint.items()))
+    return F.when(odd, F.translate(_java("Plain", name, F.lit(listed)), "'", "")).otherwise(name)
+
+
 def slug(name: Column | str) -> Column:
     """File name of a page: lower-case letters and digits of any script joined by dashes, whole words up to 120 characters."""
-    s = F.lower(F.regexp_replace(name, "(?i)&(?:amp|lt|gt|quot|apos);", " "))
+    s = F.lower(plain_name(name))
     s = F.regexp_replace(s, r"(?<=\p{N}),(?=\p{N})", "")
     s = F.btrim(F.regexp_replace(s, r"[^\p{L}\p{N}]+", "-"), F.lit("-"))
     room = lambda acc, w: F.lit(120) - F.length(acc) - F.length(w)
@@ -140,18 +168,6 @@ def slug(name: Column | str) -> Column:
     return let(s, lambda s: F.when(s.isNull() | (s == ""), F.lit("untitled")).when(F.length(s) < 120, s).otherwise(fits(s)))
 
 
-def nfkc(name: Column) -> Column:
-    """Compatibility composition, which Spark lacks; only names from outside need it."""
-
-    @F.pandas_udf("string")
-    def run(s):
-        import unicodedata
-
-        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
-
-    return run(name)
-
-
 def wikilink(page_type: Column | str, name: Column, alias: Column | None = None) -> Column:
     kind = F.lit(page_type) if isinstance(page_type, str) else page_type
     return F.concat(F.lit("[["), kind, F.lit("/"), slug(name), F.lit("|"), name if alias is None else alias, F.lit("]]"))

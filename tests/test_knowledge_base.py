@@ -1,6 +1,7 @@
 """Rules of registration, extraction and merge on made-up papers, and whole ingests."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +115,39 @@ def test_names(spark):
     assert row[9:] == (9, 0, "a →(±) b")
 
 
+def _plain_slug(name):
+    """The rule one name at a time; shorter than the longest slug."""
+    import unicodedata
+    from html.entities import name2codepoint
+
+    def numbers(p, base, s):
+        try:
+            return re.sub(p, lambda m: chr(int(m[1], base)), s)
+        except (ValueError, OverflowError):
+            return s
+
+    s = unicodedata.normalize("NFKC", name.replace("'", "-"))
+    s = re.sub(r"&(\w+);", lambda m: chr(name2codepoint[m[1]]) if m[1] in name2codepoint else m[0], s)
+    s = unicodedata.normalize("NFKC", numbers(r"&#x([\da-fA-F]+);", 16, numbers(r"&#(\d+);", 10, s))).lower().replace("'", "")
+    return re.sub(r"[\W_]+", "-", re.sub(r"(?<=\d),(?=\d)", "", s)).strip("-") or "untitled"
+
+
+def test_slugs_of_any_script(spark):
+    """Full width, ligatures, letters with loose marks, Hangul by letters, references by name and number, apostrophes of each."""
+    given = {
+        "Ｔｒｕｓｔ　２.０": "trust-2-0", "eﬃcient ﬁnance": "efficient-finance", "Cafe\u0301 Gefu\u0308hl": "café-gefühl", "\u1112\u1161\u11ab\u1100\u1173\u11af": "한글",
+        "R&amp;D": "r-d", "na&iuml;ve &Eacute;tude": "naïve-étude", "x&#178;": "x2", "&#x41;&#66;": "ab", "&amp;#67;": "c", "rock&#39;n": "rockn", "rock'n": "rock-n", "rock＇n": "rockn",
+        "&nope; &apos;": "nope-apos", "&#9999999;&#65;": "9999999-65", "1,000 &#44; 2&#44;5": "1000-25", "①②": "12", "": "untitled", "&": "untitled",
+    }
+    dice = random.Random(5)
+    parts = [*given, "a", "B", "é", "ß", " ", "&", ";", "#", "x", "&lt;", "'", "7", ",", "ｱ", "ﾞ", "\u0327", "Ω", "한", "_"]
+    names = [*given, *("".join(dice.choices(parts, k=4)) for _ in range(300))]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", T.slug("n").alias("s"), T.nfkc("n").alias("c")).collect()
+    assert {r["n"]: r["s"] for r in got if r["n"] in given} == given
+    assert [r["s"] for r in got if len(_plain_slug(r["n"])) < 120] == [s for s in (_plain_slug(r["n"]) for r in got) if len(s) < 120]
+    assert spark.sql("SELECT string(null) AS n").select(T.slug("n")).first()[0] == "untitled"
+
+
 def test_first_match_is_sequential(spark):
     rng = random.Random(1)
     rows = [(i, *(str(rng.randrange(12)) if rng.random() < 0.6 else None for _ in range(3))) for i in range(120)]
