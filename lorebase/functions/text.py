@@ -15,7 +15,9 @@ from . import values as V
 
 #: White space of every script and the separators \x1c-\x1f, spelled out: a Java class of Unicode properties is many times slower.
 SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-SPACE = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_SPACE = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters and marks fail the two ranges in front; Java tries a class range by range.
+SPACE = rf"[[^!-~\xa1-\u167f]&&[{_SPACE}]]"
 #: Marks of the paragraph split; private-use characters, dropped from the text beforehand.
 _BREAK, _HEAD = "", ""
 
@@ -34,9 +36,19 @@ def strip(s: Column | str) -> Column:
 
 
 def collapse(s: Column | str) -> Column:
-    """White space runs as one blank, none at the ends. Text of ASCII alone, by its bytes, needs a class of a few bits."""
-    blank = F.when(F.octet_length(s) == F.length(s), F.regexp_replace(s, r"[\x09-\x0d\x1c-\x20]+", " ")).otherwise(F.regexp_replace(s, f"{SPACE}+", " "))
-    return F.trim(blank)
+    """White space runs as one blank, none at the ends; what is one blank already is not replaced. Text of ASCII alone, by its bytes, needs a class of a few bits.
+
+    ``s`` is read several times: a column, a variable of a lambda or of ``let``.
+    """
+    runs = lambda c: F.regexp_replace(s, f"{c}(?:(?<! ){c}*|{c}+)", " ")
+    return F.trim(F.when(F.octet_length(s) == F.length(s), runs(r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f ]")).otherwise(runs(SPACE)))
+
+
+def swapped(s: Column | str, pairs: dict[str, str]) -> Column:
+    """With these replaced, in this order; a text that holds none is not rebuilt, which costs more than looking."""
+    s = F.col(s) if isinstance(s, str) else s
+    made = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), pairs.items(), s)
+    return F.when(reduce(lambda a, b: a | b, [F.contains(s, F.lit(k)) for k in pairs]), made).otherwise(s)
 
 
 def nonempty(s: Column) -> Column:
@@ -44,13 +56,32 @@ def nonempty(s: Column) -> Column:
     return F.nullif(s, F.lit(""))
 
 
+#: Single characters that end a line.
+_ENDS = ["\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+
+
+def blank(text: Column | str) -> Column:
+    """Whether there is nothing but white space; the first other character tells."""
+    return ~F.rlike(text, F.lit(f"[^{_SPACE}]"))
+
+
+def korean(text: Column | str) -> Column:
+    return F.rlike(text, F.lit("[가-힣]"))
+
+
 def raw_lines(text: Column | str) -> Column:
     """Lines by every Unicode line boundary; a boundary at the end opens no further line."""
-    return F.split(F.regexp_replace(text, r"(?:\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ])\z", ""), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]")
+    parts = r"[\n\r\x0B\x0C\x1C\x1D\x1E\x85\u2028\u2029]"
+    ended = lambda x: reduce(lambda a, b: a | b, [F.endswith(x, F.lit(c)) for c in _ENDS])
+    return let(swapped(text, {"\r\n": "\n"}), lambda x: F.split(F.when(ended(x), F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(x), parts))
 
 
 def lines(text: Column | str) -> Column:
-    return F.transform(raw_lines(text), strip)
+    return stripped_lines(raw_lines(text))
+
+
+def stripped_lines(raw: Column | str) -> Column:
+    return F.transform(raw, strip)
 
 
 def is_heading(line: Column) -> Column:
@@ -60,18 +91,20 @@ def is_heading(line: Column) -> Column:
 
 def paragraphs(stripped: Column | str) -> Column:
     """array<struct<heading, text>>: headings by themselves; other lines joined up to a blank line or a heading."""
-    clean = lambda x: F.translate(x, _BREAK + _HEAD, "")
+    clean = lambda x: swapped(x, {_BREAK: "", _HEAD: ""})
     mark = lambda x: F.when(x == "", F.lit(_BREAK)).when(is_heading(x), F.concat(F.lit(_BREAK + _HEAD), clean(x), F.lit(_BREAK))).otherwise(clean(x))
     pieces = F.transform(F.split(F.array_join(F.transform(stripped, mark), "\n"), _BREAK), lambda p: F.btrim(p, F.lit("\n")))
-    as_row = lambda p: F.struct(F.startswith(p, F.lit(_HEAD)).alias("heading"), F.translate(F.replace(p, F.lit("\n"), F.lit(" ")), _HEAD, "").alias("text"))
+    bare = lambda p: F.when(F.startswith(p, F.lit(_HEAD)), F.substring(p, F.lit(2), F.length(p))).otherwise(p)
+    as_row = lambda p: F.struct(F.startswith(p, F.lit(_HEAD)).alias("heading"), let(bare(p), lambda x: swapped(x, {"\n": " "})).alias("text"))
     return F.transform(F.filter(pieces, lambda p: p != ""), as_row)
 
 
 def sentences(paragraph_rows: Column | str) -> Column:
     """Sentences of the paragraphs that are no headings, longer than 15 characters."""
-    split = lambda p: F.split(collapse(p["text"]), "(?<=[.!?]) ")
     plain = F.filter(paragraph_rows, lambda p: ~p["heading"])
-    return F.filter(F.flatten(F.transform(plain, split)), lambda s: F.length(s) > 15)
+    # all paragraphs at once; the blank comes first in the pattern, since a look behind is tried wherever it may begin
+    whole = let(F.array_join(F.transform(plain, lambda p: p["text"]), _BREAK), collapse)
+    return F.filter(F.split(whole, f" (?<=[.!?] )| ?{_BREAK} ?"), lambda s: F.length(s) > 15)
 
 
 def limitations_section(paragraph_rows: Column | str) -> Column:
@@ -90,7 +123,12 @@ def cue(name: str) -> str:
 
 def folded(text: Column | str) -> Column:
     """Lower case, with the letters that match s and i only when case is ignored."""
-    return F.lower(F.translate(text, "ſıİ", "sii"))
+    return F.lower(swapped(text, dict(zip("ſıİ", "sii"))))
+
+
+def foreseen(p: str) -> str:
+    """A pattern that begins with the border of a word, with its first letter tried before: looking for the border costs more."""
+    return re.sub(r"^\\b([A-Za-z])", r"(?=\1)\\b\1", p)
 
 
 def literal(p: str) -> str:
@@ -101,25 +139,29 @@ def literal(p: str) -> str:
     return max(re.findall(r"[^\W\d_ ]+|=", re.sub(r"\w[?*]", " ", p)), key=lambda w: (len(w), w == "="), default="").lower()
 
 
-def may_hit(low: Column | str, patterns: list[str]) -> Column:
-    """A cheap test on folded text that is true wherever a pattern matches."""
+def may_hit(low: Column | str, patterns: list[str], ko: Column | None = None) -> Column:
+    """A cheap test on folded text that is true wherever a pattern matches; ``ko`` false says that no Korean letter occurs."""
     words = {literal(p) or (r"\d" if re.search(r"\\d(?![?*])", p) else "") for p in patterns}
     if "" in words:
         return F.lit(True)
     test = lambda w: F.rlike(low, F.lit(r"\p{Nd}")) if w == r"\d" else F.contains(low, F.lit(w))
-    return reduce(lambda a, b: a | b, [test(w) for w in sorted(words)])
+    some = lambda ws: reduce(lambda a, b: a | b, [test(w) for w in sorted(ws)])
+    own = {w for w in words if ko is not None and re.search("[가-힣]", w)}
+    if not own:
+        return some(words)
+    return some(words - own) | (ko & some(own)) if words - own else ko & some(own)
 
 
 def folded_rows(sentence_rows: Column | str) -> Column:
     return F.transform(sentence_rows, folded)
 
 
-def matches(sentence_rows: Column | str, name: str, low: Column | str | None = None) -> Column:
-    """Sentences of a cue class; ``low``, their folded forms, spares the pattern those that cannot have any."""
+def matches(sentence_rows: Column | str, name: str, low: Column | str | None = None, ko: Column | None = None) -> Column:
+    """Sentences of a cue class; ``low``, their folded forms, spares the pattern those that cannot have any (``ko`` as in ``may_hit``)."""
     if low is None:
         return F.filter(sentence_rows, lambda s: hits(s, cue(name)))
     low = F.col(low) if isinstance(low, str) else low
-    return F.filter(sentence_rows, lambda s, i: may_hit(low[i], V.CUES[name]) & hits(s, cue(name)))
+    return F.filter(sentence_rows, lambda s, i: may_hit(low[i], V.CUES[name], ko) & hits(s, cue(name)))
 
 
 def first(rows: Column) -> Column:
@@ -150,16 +192,15 @@ def plain_name(name: Column | str) -> Column:
 
     References: names of HTML 4, decimal and hexadecimal numbers, read in this order. An apostrophe of the name itself is a dash.
     """
-    name = F.translate(name, "'", "-")
-    odd = (F.octet_length(name) != F.length(name)) | F.contains(name, F.lit("&"))
     listed = "\n".join(f"{k}={v}" for k, v in sorted(name2codepoint.items()))
-    return F.when(odd, F.translate(_java("Plain", name, F.lit(listed)), "'", "")).otherwise(name)
+    read = lambda n: F.translate(_java("Plain", n, F.lit(listed)), "'", "")
+    odd = lambda n: (F.octet_length(n) != F.length(n)) | F.contains(n, F.lit("&"))
+    return let(swapped(name, {"'": "-"}), lambda n: F.when(odd(n), read(n)).otherwise(n))
 
 
 def slug(name: Column | str) -> Column:
     """File name of a page: lower-case letters and digits of any script joined by dashes, whole words up to 120 characters."""
-    s = F.lower(plain_name(name))
-    s = F.regexp_replace(s, r"(?<=\p{N}),(?=\p{N})", "")
+    s = let(F.lower(plain_name(name)), lambda s: F.when(F.contains(s, F.lit(",")), F.regexp_replace(s, r"(?<=\p{N}),(?=\p{N})", "")).otherwise(s))
     s = F.btrim(F.regexp_replace(s, r"[^\p{L}\p{N}]+", "-"), F.lit("-"))
     room = lambda acc, w: F.lit(120) - F.length(acc) - F.length(w)
     # a word that does not fit is left out and later ones are tried; one that ends at 120 is the last
@@ -169,8 +210,12 @@ def slug(name: Column | str) -> Column:
 
 
 def wikilink(page_type: Column | str, name: Column, alias: Column | None = None) -> Column:
+    return link(page_type, slug(name), name if alias is None else alias)
+
+
+def link(page_type: Column | str, slug_: Column, alias: Column) -> Column:
     kind = F.lit(page_type) if isinstance(page_type, str) else page_type
-    return F.concat(F.lit("[["), kind, F.lit("/"), slug(name), F.lit("|"), name if alias is None else alias, F.lit("]]"))
+    return F.concat(F.lit("[["), kind, F.lit("/"), slug_, F.lit("|"), alias, F.lit("]]"))
 
 
 def short_ref(authors: Column, title: Column, source_id: Column, year: Column) -> Column:
@@ -192,4 +237,4 @@ def url_key(url: Column | str) -> Column:
 
 
 def title_key(title: Column | str) -> Column:
-    return collapse(F.lower(title))
+    return let(F.lower(title), collapse)

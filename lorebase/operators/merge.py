@@ -24,9 +24,9 @@ def order() -> Column:
     return F.struct("seq", "step", "pos")
 
 
-def _row(step: int, pos: Column, kind: str, name: Column, section: str | Column, op: str, line: Column) -> Column:
+def _row(step: int, pos: Column, kind: str, name: Column, slug: Column, section: str | Column, op: str, line: Column) -> Column:
     section = F.lit(section) if isinstance(section, str) else section
-    return F.struct(F.lit(step).alias("step"), pos.cast("int").alias("pos"), F.lit(kind).alias("page_type"), name.alias("name"), section.alias("section"), F.lit(op).alias("op"), line.alias("line"))
+    return F.struct(F.lit(step).alias("step"), pos.cast("int").alias("pos"), F.lit(kind).alias("page_type"), name.alias("name"), section.alias("section"), F.lit(op).alias("op"), line.alias("line"), slug.alias("slug"))
 
 
 def _each(rows: Column, make, n: int | None = None) -> Column:
@@ -45,10 +45,6 @@ def grouped(groups: dict[str, Column]) -> Column:
 ENTITIES = {"concepts": "concepts", "theories": "theoretical_background", "methods": "analysis_methods"}
 
 
-def _linked(kind: str):
-    return lambda x: T.wikilink(kind, x)
-
-
 def contributions(sources: DataFrame, extractions: DataFrame) -> DataFrame:
     """The log rows of sources (seq, source_id, title, author, source_type, evidence_level, ...) and their extractions."""
     optional = {"url": "string", "local_file": "string", "publication_date": "date", "evidence_level": "string"}
@@ -61,14 +57,16 @@ def contributions(sources: DataFrame, extractions: DataFrame) -> DataFrame:
     }).withColumn("name", F.coalesce("p_title", "source_id")).withColumn("ref", T.short_ref(F.col("p_authors"), F.col("p_title"), F.col("source_id"), F.col("p_year")))
     c = F.col
     cite = lambda x: F.concat(x, F.lit(" "), c("cite"))
-    # every link is made once, and read from a column wherever it occurs
-    e = e.withColumn("own", F.concat(F.lit("[[papers/"), T.slug("name"), F.lit("|")))
+    linked = lambda kind: lambda x, slug: T.link(kind, slug, x)
+    # every slug and link is made once, and read from a column wherever it occurs
+    e = e.withColumns({"slug": T.slug("name"), **{f"{kind}_slugs": F.transform(c(names), T.slug) for kind, names in ENTITIES.items()}})
+    e = e.withColumn("own", F.concat(F.lit("[[papers/"), "slug", F.lit("|")))
     e = e.withColumns({
         "cite": F.concat(F.lit("("), "own", "ref", F.lit("]])")), "bullet": F.concat("own", "name", F.lit("]] — "), "ref"),
-        **{f"{kind}_links": F.transform(c(names), _linked(kind)) for kind, names in ENTITIES.items()},
+        **{f"{kind}_links": F.zip_with(c(names), c(f"{kind}_slugs"), linked(kind)) for kind, names in ENTITIES.items()},
     })
     related = F.concat(*[c(f"{kind}_links") for kind in ENTITIES])
-    overview = F.transform(F.slice("concepts", 1, 1), lambda t: T.wikilink("overviews", t, F.concat(F.lit("Overview: "), t)))
+    overview = F.transform(F.slice("concepts", 1, 1), lambda t: T.link("overviews", c("concepts_slugs")[0], F.concat(F.lit("Overview: "), t)))
     related = F.array_distinct(F.concat(related, overview))
     one = lambda col: F.array_compact(F.array(some(col)))
     paper = {
@@ -86,26 +84,26 @@ def contributions(sources: DataFrame, extractions: DataFrame) -> DataFrame:
             F.concat(F.lit("- DOI: "), c("p_doi")), F.concat(F.lit("- URL: "), some("url")), F.concat(F.lit("- Evidence level: "), F.coalesce("evidence_level", F.lit("unknown"))), F.lit(V.EXTRACTOR_LINE),
         ),
     }
-    rows = [F.array(*[_row(1, F.lit(i), "papers", c("name"), k, "set", T.strip(v)) for i, (k, v) in enumerate(paper.items())])]
+    rows = [F.array(*[_row(1, F.lit(i), "papers", c("name"), c("slug"), k, "set", T.strip(v)) for i, (k, v) in enumerate(paper.items())])]
     applied = F.concat(F.when(c("language") == "ko", F.lit("적용 분야")).otherwise(F.lit("Applied to")), F.lit(": "), F.coalesce(T.nonempty(F.array_join(F.slice("keywords", 1, 3), ", ")), c("name")))
     def entity(step: int, kind: str):
         def page(n: Column, i: Column) -> Column:
-            at = i * 100
-            out = [F.array(_row(step, at, kind, n, "Related Papers", "append", c("bullet")))]
+            at, slug = i * 100, c(f"{kind}_slugs")[i]
+            out = [F.array(_row(step, at, kind, n, slug, "Related Papers", "append", c("bullet")))]
             if kind == "methods":
-                out.append(F.array(_row(step, at + 1, kind, n, "Applications", "append", cite(applied))))
-            out.append(_each(c("significant_relationships"), lambda f, j: _row(step, at + 10 + j, kind, n, "Established Findings", "append", cite(f)), 3))
-            out.append(_each(c("nonsignificant_relationships"), lambda f, j: _row(step, at + 20 + j, kind, n, "Conflicting Findings", "append", cite(F.concat(F.lit("(non-significant) "), f))), 3))
+                out.append(F.array(_row(step, at + 1, kind, n, slug, "Applications", "append", cite(applied))))
+            out.append(_each(c("significant_relationships"), lambda f, j: _row(step, at + 10 + j, kind, n, slug, "Established Findings", "append", cite(f)), 3))
+            out.append(_each(c("nonsignificant_relationships"), lambda f, j: _row(step, at + 20 + j, kind, n, slug, "Conflicting Findings", "append", cite(F.concat(F.lit("(non-significant) "), f))), 3))
             return F.concat(*out)
 
         return page
 
     for step, (kind, names) in enumerate(ENTITIES.items(), 2):
         rows.append(F.flatten(F.transform(names, entity(step, kind))))
-    topic = F.try_element_at(c("concepts"), F.lit(1))
-    over = lambda base, section, source, make, n=None: _each(source, lambda x, j: _row(5, j + base, "overviews", topic, section, "append", make(x)), n)
+    topic, topic_slug = (F.try_element_at(c(x), F.lit(1)) for x in ("concepts", "concepts_slugs"))
+    over = lambda base, section, source, make, n=None: _each(source, lambda x, j: _row(5, j + base, "overviews", topic, topic_slug, section, "append", make(x)), n)
     overviews = F.concat(
-        F.array(_row(5, F.lit(0), "overviews", topic, "Key Papers", "append", c("bullet"))),
+        F.array(_row(5, F.lit(0), "overviews", topic, topic_slug, "Key Papers", "append", c("bullet"))),
         over(100, "Major Theories", c("theories_links"), cite),
         over(200, "Important Variables", F.filter(c("concepts_links"), lambda x, i: i > 0), cite),
         over(300, "Recent Developments", c("methods_links"), lambda x: cite(F.concat(F.lit("방법론: "), x))),
@@ -114,16 +112,21 @@ def contributions(sources: DataFrame, extractions: DataFrame) -> DataFrame:
     rows.append(F.filter(overviews, lambda r: topic.isNotNull()))
 
     def question(fw: Column, i: Column) -> Column:
-        at, n = i * 100, T.question_title(fw)
-        return F.concat(
-            F.array(_row(6, at, "questions", n, "Question", "set", fw), _row(6, at + 1, "questions", n, "Why It Is Open", "set", F.concat(F.lit(V.WHY_OPEN), c("cite")))),
-            _each(c("concepts_links"), lambda x, j: _row(6, at + 10 + j, "questions", n, "Related Concepts", "append", x), 3),
-            F.array(_row(6, at + 50, "questions", n, "Related Papers", "append", c("bullet")), _row(6, at + 51, "questions", n, "Status", "set", F.lit("detected"))),
-        )
+        row = lambda page: lambda pos, *more: _row(6, i * 100 + pos, "questions", page["name"], page["slug"], *more)
+
+        def page(p: Column) -> Column:
+            own = row(p)
+            return F.concat(
+                F.array(own(F.lit(0), "Question", "set", fw), own(F.lit(1), "Why It Is Open", "set", F.concat(F.lit(V.WHY_OPEN), c("cite")))),
+                _each(c("concepts_links"), lambda x, j: own(j + 10, "Related Concepts", "append", x), 3),
+                F.array(own(F.lit(50), "Related Papers", "append", c("bullet")), own(F.lit(51), "Status", "set", F.lit("detected"))),
+            )
+
+        return T.let(T.let(T.question_title(fw), lambda n: F.struct(n.alias("name"), T.slug(n).alias("slug"))), page)
 
     rows.append(F.flatten(_each(c("future_work"), question, 3)))
     log = e.select("seq", "source_id", (F.size("significant_relationships") > 0).alias("has_sig"), (F.size("nonsignificant_relationships") > 0).alias("has_nonsig"), F.explode(F.concat(*rows)).alias("r"))
-    log = log.select("seq", "source_id", "has_sig", "has_nonsig", "r.*").withColumn("slug", T.slug("name"))
+    log = log.select("seq", "source_id", "has_sig", "has_nonsig", "r.*")
     return log.withColumn("line", F.when(F.col("op") == "set", F.col("line")).when(F.startswith("line", F.lit("- ")), F.col("line")).otherwise(F.concat(F.lit("- "), F.col("line"))))
 
 

@@ -319,8 +319,8 @@ def authors_ko(spark, d):
 
 @query(f"WITH {_LINES} SELECT source_id, {_GUESS} AS title FROM lined")
 def title_guess(spark, d):
-    s = P.papers(spark, d).select("source_id", "title", T.lines("text").alias("ls"), F.transform(T.raw_lines("text"), X.normal_title).alias("every"))
-    return s.select("source_id", F.coalesce(X.guess_title("ls", "every"), "title").alias("title"))
+    s = P.papers(spark, d).select("source_id", "title", T.raw_lines("text").alias("raw")).withColumn("ls", T.stripped_lines("raw"))
+    return s.select("source_id", F.coalesce(X.guess_title("raw", "ls"), "title").alias("title"))
 
 
 @query(f"WITH {_LINES} SELECT source_id, len(ls) AS n_lines, sha256(array_to_string(ls, chr(10))) AS lines_sha256 FROM lined")
@@ -367,8 +367,8 @@ def sample_antipredicate(spark, d):
 
 @query(f"WITH {_SENTENCES} SELECT source_id, {_LIMITS} AS limitations, {_FUTURE} AS future_work FROM sentences")
 def limitations_section(spark, d):
-    s = _sentences(spark, d)
-    a, b = X.limitations_and_future("ps", "ss", "low")
+    s = _sentences(spark, d).withColumn("own", T.sentences(T.limitations_section("ps")))
+    a, b = X.limitations_and_future("own", "ss", "low")
     return s.select("source_id", a.alias("limitations"), b.alias("future_work"))
 
 
