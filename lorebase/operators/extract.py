@@ -33,7 +33,7 @@ def find(text: Column | str, p: str, group: int = 0, flags: str = "i") -> Column
 
 
 def doi(text: Column, known: Column) -> Column:
-    return F.rtrim(F.coalesce(T.nonempty(known), find(text, V.DOI)), F.lit(".,;"))
+    return F.rtrim(F.coalesce(T.nonempty(known), F.when(F.contains(text, F.lit("10.")), find(text, V.DOI))), F.lit(".,;"))
 
 
 def language(text: Column | str) -> Column:
@@ -48,12 +48,16 @@ def journal(text: Column | str) -> Column:
 
 def year(text: Column | str) -> Column:
     line = find(text, V.JOURNAL + ".*", 0, "m")
-    at = [find(line, V.YEAR), find(text, V.VOLUME_YEAR, 1, ""), find(text, V.YEAR)]
+    # V.YEAR with the border of the word looked for after the first digit
+    own = r"[12](?<=\b1(?=9)|\b2(?=0))[09]\d{2}\b"
+    at = [find(line, own, 0, ""), F.when(F.contains(text, F.lit("제")), find(text, V.VOLUME_YEAR, 1, "")), find(text, own, 0, "")]
     return F.coalesce(*at).cast("int")
 
 
-def keywords(text: Column | str) -> Column:
+def keywords(text: Column | str, low: Column | str | None = None) -> Column:
     got = F.regexp_extract(text, T.pattern(V.KEYWORDS), 1)
+    if low is not None:
+        got = F.when(T.may_hit(low, ["주제어", "핵심어", "key"]), got).otherwise("")
     return F.filter(F.transform(F.split(got, "[,;·]"), lambda k: F.btrim(k, F.lit(" ."))), lambda k: k != "")
 
 
@@ -117,7 +121,7 @@ def mentions(text: Column | str, gazetteer: dict[str, list[str]], low: Column |
     ``stressed`` tells of those that are met once whether ``emphasis`` has them too.
     """
     low = T.folded(text) if low is None else low
-    count = lambda ps: sum((F.when(T.may_hit(low, [p], ko), F.regexp_count(text, F.lit(T.pattern(T.foreseen(p))))).otherwise(0) for p in ps), F.lit(0))
+    count = lambda ps: sum((F.when(T.may_hit(low, [p], ko), F.regexp_count(low, F.lit(T.pattern(T.lowered(p), "")))).otherwise(0) for p in ps), F.lit(0))
     also = lambda n, ps: F.lit(False) if emphasis is None else F.coalesce((n == 1) & T.hits(emphasis, "|".join(ps)), F.lit(False))
     entry = lambda i, name, ps: lambda n: F.struct(n.alias("n"), F.lit(i).alias("ord"), F.lit(name).alias("name"), also(n, ps).alias("stressed"))
     return F.array(*[T.let(count(ps), entry(i, name, ps)) for i, (name, ps) in enumerate(gazetteer.items())])
@@ -176,7 +180,7 @@ def extract(sources: DataFrame) -> DataFrame:
         "authors": F.when(some, F.when(F.size("_author") > 0, F.col("_author")).otherwise(authors("_lines"))).otherwise(_empty()),
         "journal": F.when(some, journal(text)),
         "year": F.when(some, year(text)),
-        "keywords": F.when(some, keywords(text)).otherwise(_empty()),
+        "keywords": F.when(some, keywords(text, "_low")).otherwise(_empty()),
     })
     s = s.withColumn("abstract", F.when(some, abstract(text, F.col("_lines"), F.col("language"))))
     limits, future = limitations_and_future("_own", "_sentences", "_lows", ko)
@@ -188,7 +192,7 @@ def extract(sources: DataFrame) -> DataFrame:
         "limitations": limits, "future_work": future,
     })
     stressed = F.concat_ws(" ", F.coalesce("abstract", F.lit("")), F.array_join("keywords", " "), F.coalesce("title", F.lit("")), F.col("_methodology"))
-    s = s.withColumns({"methodology": T.first(F.col("_methodology")), "_stressed": stressed, "_phrases": phrases_of("abstract", "_text")})
+    s = s.withColumns({"methodology": T.first(F.col("_methodology")), "_stressed": stressed, "_phrases": F.when(F.size("keywords") == 0, phrases_of("abstract", "_text")).otherwise(_empty())})
     s = s.withColumns({
         "theoretical_background": F.when(some, entities("_text", F.col("_stressed"), V.THEORIES, "_low", ko)).otherwise(_empty()),
         "analysis_methods": F.when(some, entities("_text", F.col("_stressed"), V.METHODS, "_low", ko)).otherwise(_empty()),

@@ -30,3 +30,31 @@ def test_blanks_titles_and_lines_at_once(spark):
     row = spark.createDataFrame([(text,)], "text string").select(T.lines("text").alias("ls"), T.sentences(T.paragraphs(T.lines("text"))).alias("ss")).first()
     assert row["ls"] == [x.strip() for x in text.splitlines()]
     assert row["ss"] == ["Next one here is long.", "Then another sentence!", "Tail without an end", "Last paragraph, of its own"]
+
+
+def test_patterns_on_folded_text(spark):
+    """Patterns that regard case on folded text find what those that ignore it find on the text itself; so does a literal from its rarest letter on."""
+    from lorebase.functions import text as T
+    from lorebase.functions import values as V
+    from lorebase.operators import extract as X
+    from pyspark.sql import functions as F
+
+    assert T.lowered(r"\bMETHODS?\b\D\p{L}") == r"method(?<=\bmethod)s?\b\D\p{L}" and T.lowered(r"\bUTAUT2?\b") == r"utaut(?<=\butaut)2?\b"
+    assert T.sought("expectan") == "xpectan" and T.sought("sem") == "sem"
+    texts = ["PLS-SEM and SEM; SEMantics LDA토픽 lda_ UTAUT2 stam TAM", "ınterviewſ Interviewİ ınterKview SURVEY", "N = 5, RQ1: RQ; future WORK, METHODOLOGY", "ΟΔΟΣ tam", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("low", T.folded("text"))
+    patterns = [p for g in (V.THEORIES, V.METHODS, V.CUES) for ps in (g.values()) for p in ps]
+    pairs = [(F.regexp_count("text", F.lit(T.pattern(p))), F.regexp_count("low", F.lit(T.pattern(T.lowered(p), "")))) for p in patterns]
+    assert all(a == b for r in rows.select(*[F.struct(a.alias("a"), b.alias("b")) for a, b in pairs]).collect() for a, b in r)
+    years = [r[0] for r in spark.createDataFrame([(t,) for t in ["x1999 20201 1850 2100 (2019)", "1899", "a 1990.", ""]], "text string").select(X.year("text")).collect()]
+    assert years == [2019, None, 1990, None]
+
+
+def test_white_space_of_every_script(spark):
+    from lorebase.functions import text as T
+
+    texts = ["", " ", "a b", " a", "a ", "a  b", "a\tb", "é b", "a b", "a 　 b", " a b ", "😀 \x1f😀", "a​b", "\x00 a"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string").orderBy("i").select(T.collapse("s")).collect()]
+    assert got == [" ".join(t.split()) for t in texts]
+    tidy = spark.createDataFrame([("a b",)], "s string").select(T.collapse("s").alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "++" in tidy
