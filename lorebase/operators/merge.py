@@ -43,10 +43,22 @@ def grouped(groups: dict[str, Column]) -> Column:
 
 #: Kinds of entity pages, with the columns that name their pages.
 ENTITIES = {"concepts": "concepts", "theories": "theoretical_background", "methods": "analysis_methods"}
+#: The sections of the first row that a source has for each of its pages, by kind of page.
+FIRST = {"papers": "Summary", "concepts": "Related Papers", "theories": "Related Papers", "methods": "Related Papers", "overviews": "Key Papers", "questions": "Question"}
+#: Parts of the log (``contributions``) that suffice: for ``pages``, for ``touches`` and ``changes``, for ``bullets``.
+NAMES = {"sections": {*FIRST.values()}, "lines": ()}
+TOUCHES = {"sections": {*FIRST.values(), "Established Findings", "Applications"}, "lines": ("Related Papers", "Applications")}
+APPENDED = {"op": "append"}
 
 
-def contributions(sources: DataFrame, extractions: DataFrame) -> DataFrame:
-    """The log rows of sources (seq, source_id, title, author, source_type, evidence_level, ...) and their extractions."""
+def contributions(sources: DataFrame, extractions: DataFrame, kinds=None, sections=None, op: str | None = None, lines=None) -> DataFrame:
+    """The log rows of sources (seq, source_id, title, author, source_type, evidence_level, ...) and their extractions.
+
+    Only rows of these kinds of pages, these sections and this operation, where given, and null for the lines of sections that
+    are not in ``lines``: whatever makes up the others, down to the rules over the text, is then not computed.
+    """
+    wanted = lambda kind, section, how: (kinds is None or kind in kinds) and (sections is None or section in sections) and op in (None, how)
+    said = lambda section, x: x if lines is None or section in lines else F.lit(None).cast("string")
     optional = {"url": "string", "local_file": "string", "publication_date": "date", "evidence_level": "string"}
     s = sources.select("seq", "source_id", F.col("title").alias("s_title"), "author", F.col("doi").alias("s_doi"), "source_type", *[(F.col(c) if c in sources.columns else F.lit(None).cast(k)).alias(c) for c, k in optional.items()])
     e = s.join(extractions, "source_id")
@@ -84,48 +96,62 @@ def contributions(sources: DataFrame, extractions: DataFrame) -> DataFrame:
             F.concat(F.lit("- DOI: "), c("p_doi")), F.concat(F.lit("- URL: "), some("url")), F.concat(F.lit("- Evidence level: "), F.coalesce("evidence_level", F.lit("unknown"))), F.lit(V.EXTRACTOR_LINE),
         ),
     }
-    rows = [F.array(*[_row(1, F.lit(i), "papers", c("name"), c("slug"), k, "set", T.strip(v)) for i, (k, v) in enumerate(paper.items())])]
     applied = F.concat(F.when(c("language") == "ko", F.lit("적용 분야")).otherwise(F.lit("Applied to")), F.lit(": "), F.coalesce(T.nonempty(F.array_join(F.slice("keywords", 1, 3), ", ")), c("name")))
+
+    def one_row(step: int, pos: Column, kind: str, name: Column, slug: Column, section: str, how: str, line: Column) -> list[Column]:
+        return [F.array(_row(step, pos, kind, name, slug, section, how, said(section, line)))] if wanted(kind, section, how) else []
+
+    def some_rows(step: int, pos, kind: str, name: Column, slug: Column, section: str, values: Column, make, n: int | None = None) -> list[Column]:
+        """Lines of all values, or of the first ``n``, appended at ``pos`` of their index."""
+        if not wanted(kind, section, "append"):
+            return []
+        return [_each(values, lambda x, j: _row(step, pos(j), kind, name, slug, section, "append", said(section, make(x))), n)]
+
+    rows = [r for i, (k, v) in enumerate(paper.items()) for r in one_row(1, F.lit(i), "papers", c("name"), c("slug"), k, "set", T.strip(v))]
+
     def entity(step: int, kind: str):
-        def page(n: Column, i: Column) -> Column:
-            at, slug = i * 100, c(f"{kind}_slugs")[i]
-            out = [F.array(_row(step, at, kind, n, slug, "Related Papers", "append", c("bullet")))]
-            if kind == "methods":
-                out.append(F.array(_row(step, at + 1, kind, n, slug, "Applications", "append", cite(applied))))
-            out.append(_each(c("significant_relationships"), lambda f, j: _row(step, at + 10 + j, kind, n, slug, "Established Findings", "append", cite(f)), 3))
-            out.append(_each(c("nonsignificant_relationships"), lambda f, j: _row(step, at + 20 + j, kind, n, slug, "Conflicting Findings", "append", cite(F.concat(F.lit("(non-significant) "), f))), 3))
-            return F.concat(*out)
+        def page(n: Column, i: Column) -> list[Column]:
+            at, own = i * 100, (kind, n, c(f"{kind}_slugs")[i])
+            return [
+                *one_row(step, at, *own, "Related Papers", "append", c("bullet")),
+                *(one_row(step, at + 1, *own, "Applications", "append", cite(applied)) if kind == "methods" else []),
+                *some_rows(step, lambda j: at + 10 + j, *own, "Established Findings", c("significant_relationships"), cite, 3),
+                *some_rows(step, lambda j: at + 20 + j, *own, "Conflicting Findings", c("nonsignificant_relationships"), lambda f: cite(F.concat(F.lit("(non-significant) "), f)), 3),
+            ]
 
         return page
 
     for step, (kind, names) in enumerate(ENTITIES.items(), 2):
-        rows.append(F.flatten(F.transform(names, entity(step, kind))))
+        page = entity(step, kind)
+        if page(F.lit(""), F.lit(0)):
+            rows.append(F.flatten(F.transform(names, lambda n, i: F.concat(*page(n, i)))))  # noqa: B023
     topic, topic_slug = (F.try_element_at(c(x), F.lit(1)) for x in ("concepts", "concepts_slugs"))
-    over = lambda base, section, source, make, n=None: _each(source, lambda x, j: _row(5, j + base, "overviews", topic, topic_slug, section, "append", make(x)), n)
-    overviews = F.concat(
-        F.array(_row(5, F.lit(0), "overviews", topic, topic_slug, "Key Papers", "append", c("bullet"))),
-        over(100, "Major Theories", c("theories_links"), cite),
-        over(200, "Important Variables", F.filter(c("concepts_links"), lambda x, i: i > 0), cite),
-        over(300, "Recent Developments", c("methods_links"), lambda x: cite(F.concat(F.lit("방법론: "), x))),
-        over(400, "Open Questions", c("future_work"), cite, 3),
-    )
-    rows.append(F.filter(overviews, lambda r: topic.isNotNull()))
-
-    def question(fw: Column, i: Column) -> Column:
-        row = lambda page: lambda pos, *more: _row(6, i * 100 + pos, "questions", page["name"], page["slug"], *more)
+    over = lambda base, section, source, make, n=None: some_rows(5, lambda j: j + base, "overviews", topic, topic_slug, section, source, make, n)
+    overviews = [
+        *one_row(5, F.lit(0), "overviews", topic, topic_slug, "Key Papers", "append", c("bullet")),
+        *over(100, "Major Theories", c("theories_links"), cite),
+        *over(200, "Important Variables", F.filter(c("concepts_links"), lambda x, i: i > 0), cite),
+        *over(300, "Recent Developments", c("methods_links"), lambda x: cite(F.concat(F.lit("방법론: "), x))),
+        *over(400, "Open Questions", c("future_work"), cite, 3),
+    ]
+    if overviews:
+        rows.append(F.filter(F.concat(*overviews), lambda r: topic.isNotNull()))
+
+    def question(fw: Column, i: Column):
+        def page(p: Column) -> list[Column]:
+            own = ("questions", p["name"], p["slug"])
+            return [
+                *one_row(6, i * 100, *own, "Question", "set", fw), *one_row(6, i * 100 + 1, *own, "Why It Is Open", "set", F.concat(F.lit(V.WHY_OPEN), c("cite"))),
+                *some_rows(6, lambda j: i * 100 + j + 10, *own, "Related Concepts", c("concepts_links"), lambda x: x, 3),
+                *one_row(6, i * 100 + 50, *own, "Related Papers", "append", c("bullet")), *one_row(6, i * 100 + 51, *own, "Status", "set", F.lit("detected")),
+            ]
 
-        def page(p: Column) -> Column:
-            own = row(p)
-            return F.concat(
-                F.array(own(F.lit(0), "Question", "set", fw), own(F.lit(1), "Why It Is Open", "set", F.concat(F.lit(V.WHY_OPEN), c("cite")))),
-                _each(c("concepts_links"), lambda x, j: own(j + 10, "Related Concepts", "append", x), 3),
-                F.array(own(F.lit(50), "Related Papers", "append", c("bullet")), own(F.lit(51), "Status", "set", F.lit("detected"))),
-            )
-
-        return T.let(T.let(T.question_title(fw), lambda n: F.struct(n.alias("name"), T.slug(n).alias("slug"))), page)
+        return page
 
-    rows.append(F.flatten(_each(c("future_work"), question, 3)))
-    log = e.select("seq", "source_id", (F.size("significant_relationships") > 0).alias("has_sig"), (F.size("nonsignificant_relationships") > 0).alias("has_nonsig"), F.explode(F.concat(*rows)).alias("r"))
+    if question(F.lit(""), F.lit(0))({"name": F.lit(""), "slug": F.lit("")}):
+        named = lambda fw: T.let(T.question_title(fw), lambda n: F.struct(n.alias("name"), T.slug(n).alias("slug")))
+        rows.append(F.flatten(_each(c("future_work"), lambda fw, i: T.let(named(fw), lambda p: F.concat(*question(fw, i)(p))), 3)))
+    log = e.select("seq", "source_id", (F.size("significant_relationships") > 0).alias("has_sig"), (F.size("nonsignificant_relationships") > 0).alias("has_nonsig"), F.explode_outer(F.concat(*rows)).alias("r")).where("r IS NOT NULL")
     log = log.select("seq", "source_id", "has_sig", "has_nonsig", "r.*")
     return log.withColumn("line", F.when(F.col("op") == "set", F.col("line")).when(F.startswith("line", F.lit("- ")), F.col("line")).otherwise(F.concat(F.lit("- "), F.col("line"))))
 

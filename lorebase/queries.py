@@ -210,9 +210,14 @@ def extractions(spark: SparkSession, d: str) -> DataFrame:
     return X.extract(P.papers(spark, d)).withColumns({"significant_relationships": sig, "nonsignificant_relationships": non})
 
 
-def log(spark: SparkSession, d: str) -> DataFrame:
-    """The contribution log of the composed papers, written once: pages read it several times."""
-    return cut(M.contributions(P.papers(spark, d).drop("text"), extractions(spark, d)))
+def contributed(spark: SparkSession, d: str, **part) -> DataFrame:
+    """The contribution log of the composed papers, or the part (``merge.contributions``) that a query reads, once."""
+    return M.contributions(P.papers(spark, d).drop("text"), extractions(spark, d), **part)
+
+
+def log(spark: SparkSession, d: str, **part) -> DataFrame:
+    """The same, written once, where it is read several times."""
+    return cut(contributed(spark, d, **part))
 
 
 # ---- registration and deduplication
@@ -548,7 +553,7 @@ def digest(spark, d):
 
 @query(f"""WITH {_LOG} SELECT 1 AS one, count(DISTINCT slug) AS n FROM slugged WHERE page_type = 'concepts' AND section = 'Conflicting Findings'""")
 def digest_contradictions(spark, d):
-    s = M.bullets(log(spark, d)).where("page_type = 'concepts' AND lower(section) = 'conflicting findings'")
+    s = M.bullets(contributed(spark, d, kinds={"concepts"}, sections={"Conflicting Findings"}))
     return s.agg(F.count_distinct("slug").alias("n")).select(F.lit(1).alias("one"), "n")
 
 

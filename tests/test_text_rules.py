@@ -32,6 +32,32 @@ def test_blanks_titles_and_lines_at_once(spark):
     assert row["ss"] == ["Next one here is long.", "Then another sentence!", "Tail without an end", "Last paragraph, of its own"]
 
 
+def test_parts_of_the_log_suffice(spark, data):
+    """A query that reads a part of the log gets what the whole log gives it, and rules over the text that only other parts need are not planned."""
+    from lorebase import queries as Q
+    from lorebase.functions import text as T
+    from lorebase.functions import values as V
+    from lorebase.operators import merge as M
+
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        whole = Q.log(spark, data)
+        rows = lambda df: sorted(map(repr, df.collect()))
+        assert rows(M.touches(Q.contributed(spark, data, **M.TOUCHES))) == rows(M.touches(whole))
+        concepts = {"kinds": {"concepts"}, "sections": {"Conflicting Findings"}}
+        plan = lambda **part: Q.contributed(spark, data, **part)._jdf.queryExecution().optimizedPlan().toString()
+        counted = T.lowered(r"\bsurvey\b")
+        cue = lambda text, name: T.lowered(V.CUES[name][0]) in text
+        text = plan(**concepts)
+        assert not any(cue(text, name) for name in V.CUES) and counted not in text
+        text = plan(kinds={"questions"}, op="set")
+        assert cue(text, "future_work") and not cue(text, "purpose") and counted not in text
+        text = plan(**M.NAMES)
+        assert counted in text and not cue(text, "purpose") and not cue(text, "data")
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
 def test_patterns_on_folded_text(spark):
     """Patterns that regard case on folded text find what those that ignore it find on the text itself; so does a literal from its rarest letter on."""
     from lorebase.functions import text as T
