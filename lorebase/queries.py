@@ -465,13 +465,13 @@ effects AS (SELECT *, CASE WHEN page_type IN ('concepts', 'theories', 'methods')
 
 @query(f"WITH {_TOUCH} SELECT seq, page_type, slug, effect FROM effects WHERE effect IS NOT NULL")
 def effects(spark, d):
-    return M.touches(log(spark, d)).where("effect IS NOT NULL").select("seq", "page_type", "slug", "effect")
+    return M.touches(log(spark, d, **M.TOUCHES)).where("effect IS NOT NULL").select("seq", "page_type", "slug", "effect")
 
 
 @query(f"""WITH {_TOUCH} SELECT seq, page_type, slug, CASE WHEN NOT existed THEN 'created' ELSE 'updated' END AS change FROM effects
 WHERE NOT existed OR page_type IN ('overviews', 'papers') OR (effect IS NOT NULL AND (added OR effect <> 'unchanged'))""")
 def page_changes(spark, d):
-    return M.changes(log(spark, d)).drop("source_id", "effect")
+    return M.changes(log(spark, d, **M.TOUCHES)).drop("source_id", "effect")
 
 
 @query(f"WITH {_LOG} SELECT slug, section, count(*) AS n, sha256(string_agg('- ' || line, chr(10) ORDER BY seq, step, pos)) AS body_sha256 FROM firsts WHERE k = 1 AND page_type = 'overviews' GROUP BY ALL")
@@ -547,7 +547,7 @@ UNION ALL SELECT 'wiki_pages', page_type, count(DISTINCT slug) FROM slugged GROU
 UNION ALL SELECT 'open_questions', '', count(DISTINCT slug) FROM slugged WHERE page_type = 'questions'
 UNION ALL SELECT 'contradictions', '', count(DISTINCT slug) FROM slugged WHERE page_type = 'concepts' AND section = 'Conflicting Findings'""")
 def digest(spark, d):
-    own = log(spark, d)
+    own = log(spark, d, sections=M.NAMES["sections"] | {"Conflicting Findings"}, lines={"Conflicting Findings"})
     return S.digest(P.papers(spark, d), M.pages(own), M.section_lines(own, "Conflicting Findings"))
 
 
