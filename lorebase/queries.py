@@ -476,7 +476,7 @@ def page_changes(spark, d):
 
 @query(f"WITH {_LOG} SELECT slug, section, count(*) AS n, sha256(string_agg('- ' || line, chr(10) ORDER BY seq, step, pos)) AS body_sha256 FROM firsts WHERE k = 1 AND page_type = 'overviews' GROUP BY ALL")
 def overview_sections(spark, d):
-    got = M.bullets(log(spark, d)).where("page_type = 'overviews'").groupBy("slug", "section").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("at", "line"))).alias("x"))
+    got = M.bullets(contributed(spark, d, kinds={"overviews"})).groupBy("slug", "section").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("at", "line"))).alias("x"))
     return got.select("slug", "section", "n", F.sha2(F.array_join(F.col("x.line"), "\n"), 256).alias("body_sha256"))
 
 
