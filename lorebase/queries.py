@@ -451,7 +451,7 @@ def wiki_bullets(spark, d):
 
 @query(f"WITH {_LOG} SELECT page_type, slug, arg_min(name, (seq, step, pos)) AS name, min(seq) AS first_seq, count(DISTINCT seq) AS n_sources FROM slugged GROUP BY ALL")
 def wiki_pages(spark, d):
-    return M.pages(log(spark, d))
+    return M.pages(contributed(spark, d, **M.NAMES))
 
 
 _TOUCH = _LOG + """, touch AS (SELECT s.seq, s.page_type, s.slug, min((s.seq, s.step, s.pos)) AS own_at FROM slugged s GROUP BY ALL),
