@@ -487,7 +487,7 @@ def open_questions(spark, d):
 
 @query(f"""WITH {_LOG} SELECT slug, section, arg_max(line, (seq, step, pos)) AS body FROM slugged WHERE page_type = 'papers' AND line <> '' GROUP BY ALL""")
 def paper_sections_lww(spark, d):
-    return M.set_sections(log(spark, d)).where("page_type = 'papers'").select("slug", "section", F.col("line").alias("body"))
+    return M.set_sections(contributed(spark, d, kinds={"papers"}, op="set")).select("slug", "section", F.col("line").alias("body"))
 
 
 _RENDER = _LOG + ", skeleton AS (" + " UNION ALL ".join(f"SELECT '{t}' AS page_type, '{s}' AS section, {i} AS ord" for t, ss in V.SECTIONS.items() for i, s in enumerate(ss)) + """),
