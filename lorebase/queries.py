@@ -482,7 +482,7 @@ def overview_sections(spark, d):
 
 @query(f"WITH {_LOG} SELECT slug, section, arg_max(line, (seq, step, pos)) AS body FROM slugged WHERE op = 'set' AND page_type = 'questions' GROUP BY ALL")
 def open_questions(spark, d):
-    return M.set_sections(log(spark, d)).where("page_type = 'questions'").select("slug", "section", F.col("line").alias("body"))
+    return M.set_sections(contributed(spark, d, kinds={"questions"}, op="set")).select("slug", "section", F.col("line").alias("body"))
 
 
 @query(f"""WITH {_LOG} SELECT slug, section, arg_max(line, (seq, step, pos)) AS body FROM slugged WHERE page_type = 'papers' AND line <> '' GROUP BY ALL""")
