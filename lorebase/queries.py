@@ -445,7 +445,7 @@ def wikilinks(spark, d):
 
 @query(f"WITH {_LOG} SELECT page_type, slug, section, '- ' || line AS line, seq, step, pos FROM firsts WHERE k = 1")
 def wiki_bullets(spark, d):
-    got = M.bullets(log(spark, d)).select("page_type", "slug", "section", "line", "at.*")
+    got = M.bullets(contributed(spark, d, **M.APPENDED)).select("page_type", "slug", "section", "line", "at.*")
     return got.withColumns({"step": F.col("step").cast("int"), "pos": F.col("pos").cast("long")})
 
 
