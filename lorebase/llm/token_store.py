@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from .bpe import byte_letters, lengths_of, slices, vocabulary
 from .common import cached, cut, scratch, shared_dir, table
 
-VOCABULARY, END, BLOCK, LIMIT, PIECES, AT_ONCE = "word_bpe_49k.json", 2, 1 << 15, 1 << 16, 1 << 19, 1 << 24
-FUNCTIONS = {"Encode": "binary", "Decode": "array<binary>", "Join": "binary"}
+VOCABULARY, END, BLOCK, LIMIT, PIECES, AT_ONCE = "word_bpe_49k.json", 2, 1 << 15, 1 << 16, 1 << 19, 1 << 23
+FUNCTIONS = {"Encode": "binary", "EncodeShorts": "binary", "Decode": "array<binary>", "Join": "binary"}
 _PIECES = "array<struct<start:bigint,doc_id:bigint,length:bigint,at:bigint,n:int>>"
 
 
 def coder(spark: SparkSession) -> dict[str, str]:
-    """SQL names of the coder's functions, made known to the session: ids -> payload, (payload, numbers) -> pieces, pieces -> ids."""
+    """SQL names of the coder's functions, made known to the session: ids -> payload, ids of two bytes -> payload, (payload, numbers) -> pieces, pieces -> ids."""
     source = Path(__file__).with_name("TokenCoder.java").read_text()
     mark = hashlib.sha256(source.encode()).hexdigest()[:12]
     names = {k: f"lorebase_{k.lower()}_{mark}" for k in FUNCTIONS}
@@ -60,7 +60,8 @@ def coder(spark: SparkSession) -> dict[str, str]:
     return names
 
 
-_WORD = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:;=-@\[-`{-~]*)")
+_MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
+_LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 _PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
 _PLAIN = re.compile(r"[a-z0-9ß-öø-ÿ!-&(-/:;=-@\[-`{-~]+")
 _ODD_SPACE = "[\x1c-\x1f]"
@@ -71,7 +72,8 @@ class ChunkEncoder:
 
     White space is dropped by this kind of vocabulary and nothing is joined across it. A stretch of plain letters, digits
     and marks is cut as the library's splitter cuts it, and its pieces go to the library's model directly, as its
-    normaliser (composed form, lower case) would hand them over. A worker keeps ``PIECES`` of them at most.
+    normaliser (composed form, lower case) would hand them over. A worker keeps ``PIECES`` of them, and those of one slice
+    of texts more. Ids take two bytes each, as the coder knows no larger ones.
     """
 
     def __init__(self, path: str):
@@ -90,36 +92,53 @@ class ChunkEncoder:
         self.pieces: dict[str, bytes] = {}
 
     def piece(self, s: str) -> bytes:
-        if len(self.pieces) >= PIECES:
-            self.pieces.clear()
         written = s if s.isascii() else s.encode().decode("latin-1").translate(self.letters)
-        got = self.pieces[s] = array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
+        got = self.pieces[s] = array("H", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
         return got
 
-    def distinct(self, words: list[str]) -> list[bytes]:
-        """Ids of each stretch as 32-bit integers."""
-        out: list = [b""] * len(words)
-        rest, pieces, piece, word = [], self.pieces, self.piece, _WORD.fullmatch
-        for i, w in enumerate(words):
-            low = w.lower()
-            if (got := pieces.get(low)) is not None:
-                out[i] = got
-            elif m := word(low):
-                a, b = m.groups()
-                got = pieces.get(a) or piece(a)
-                out[i] = got + (pieces.get(b) or piece(b)) if b else got
-            elif _PLAIN.fullmatch(low):
-                out[i] = b"".join([pieces.get(p) or piece(p) for p in _PARTS.findall(low)])
-            elif w:
-                rest.append(i)
+    def distinct(self, words):
+        """Ids of each stretch of an Arrow array as 16-bit integers, in an Arrow array."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if len(self.pieces) >= PIECES:
+            self.pieces.clear()
+        pieces, piece, kind = self.pieces, self.piece, pa.large_binary()
+
+        def known(some):
+            """Ids of plain pieces, each distinct one looked up once."""
+            some = some.dictionary_encode()
+            texts = some.dictionary.to_numpy(zero_copy_only=False).tolist()
+            got = [piece(t) if g is None else g for g, t in zip(map(pieces.get, texts), texts)]
+            return pa.array(got, kind).take(some.indices)
+
+        words = words.to_numpy(zero_copy_only=False).tolist()
+        lows = " ".join(words).lower().split(" ")  # no stretch holds a space, and none changes what another becomes
+        low = pa.array(lows, pa.large_string())
+        a, b = pc.utf8_rtrim(low, _MARKS), pc.utf8_ltrim(low, _LETTERS)  # letters, then marks, if nothing is in both
+        odd = np.flatnonzero(pc.not_equal(pc.add(pc.binary_length(a), pc.binary_length(b)), pc.binary_length(low)))
+        if len(odd):
+            fits = np.ones(len(lows), bool)
+            fits[odd] = False
+            a, b = (pc.if_else(pa.array(fits), x, pa.scalar("", pa.large_string())) for x in (a, b))
+        out = pc.binary_join_element_wise(known(a), known(b), pa.scalar(b"", kind))
+        if not len(odd):
+            return out
+        ids, rest = [b""] * len(odd), []
+        for k, i in enumerate(odd.tolist()):
+            if _PLAIN.fullmatch(lows[i]):
+                ids[k] = b"".join([pieces.get(p) or piece(p) for p in _PARTS.findall(lows[i])])
+            else:
+                rest.append(k)
         for s in range(0, len(rest), 4096):
             some = rest[s : s + 4096]
-            for i, e in zip(some, self.tokenizer.encode_batch([words[i] for i in some], add_special_tokens=False)):
-                out[i] = array("I", e.ids).tobytes()
-        return out
+            for k, e in zip(some, self.tokenizer.encode_batch([words[odd[k]] for k in some], add_special_tokens=False)):
+                ids[k] = array("H", e.ids).tobytes()
+        return pc.replace_with_mask(out, pa.array(~fits), pa.array(ids, kind))
 
-    def encode(self, texts):
-        """(ids of all ``texts``, an Arrow array of strings, and the number of ids of each)."""
+    def encode(self, texts, end: int):
+        """(ids of all ``texts``, an Arrow array of strings, with ``end`` after each, and the number of ids of each)."""
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
@@ -128,25 +147,23 @@ class ChunkEncoder:
         odd = np.ones(len(texts), bool) if not self.by_chunk else pc.match_substring_regex(texts, _ODD_SPACE).to_numpy(zero_copy_only=False)
         split = pc.utf8_split_whitespace(pc.replace_with_mask(texts, pa.array(odd), pa.scalar("", pa.large_string())) if odd.any() else texts)
         words, ends = split.flatten().dictionary_encode(), np.diff(split.offsets.to_numpy()).cumsum()
-        known = self.distinct(words.dictionary.to_pylist())
-        flat, sizes = np.frombuffer(b"".join(known), np.uint32), np.array([len(k) // 4 for k in known], np.int64)
-        which = words.indices.to_numpy()
-        n = sizes[which]
-        done = np.r_[0, n.cumsum()]
-        ids = flat[np.repeat((sizes.cumsum() - sizes)[which] - done[:-1], n) + np.arange(done[-1])]
-        counts = np.diff(np.r_[0, done[ends]])
+        known = pa.concat_arrays([self.distinct(words.dictionary), pa.array([array("H", [end]).tobytes()], pa.large_binary())])
+        joined = known.take(pa.array(np.insert(words.indices.to_numpy(), ends, len(known) - 1)))  # the end is one more stretch
+        at = np.frombuffer(joined.buffers()[1], np.int64)[: len(joined) + 1] // 2
+        ids = np.frombuffer(joined.buffers()[2], np.uint16)[: at[-1]]
+        counts = np.diff(np.r_[0, at[ends + np.arange(1, len(ends) + 1)]])
         if odd.any():  # by the library itself, put in where they belong
-            at = np.flatnonzero(odd)
-            more = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts.take(pa.array(at)).to_pylist(), add_special_tokens=False)]
+            rows = np.flatnonzero(odd)
+            more = [np.array([*e.ids, end], np.uint16) for e in self.tokenizer.encode_batch(texts.take(pa.array(rows)).to_pylist(), add_special_tokens=False)]
             kept = np.split(ids, counts.cumsum()[:-1])
-            for i, m in zip(at, more):
+            for i, m in zip(rows, more):
                 kept[i], counts[i] = m, len(m)
             ids = np.concatenate(kept)
         return ids, counts
 
 
 def _blocks(path: str, end: int):
-    """Rows (part, block, n_ids, ids, pieces) of a partition of (doc_id, text)."""
+    """Rows (part, block, n_ids, ids, pieces) of a partition of (doc_id, text), ids of two bytes each."""
 
     def run(batches):
         import numpy as np
@@ -154,7 +171,7 @@ def _blocks(path: str, end: int):
         from pyspark import TaskContext
 
         own, part = cached(("chunks", path), lambda: ChunkEncoder(path)), TaskContext.get().partitionId()
-        left, pieces, held, block, start = np.zeros(0, np.uint32), [], 0, 0, 0  # of the block that is not yet closed
+        left, pieces, held, block, start = np.zeros(0, np.uint16), [], 0, 0, 0  # of the block that is not yet closed
         fields = [("start", pa.int64()), ("doc_id", pa.int64()), ("length", pa.int64()), ("at", pa.int64()), ("n", pa.int32())]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct(fields))]
 
@@ -170,10 +187,10 @@ def _blocks(path: str, end: int):
         for b in batches:
             texts, docs = b.column("text"), b.column("doc_id").to_pylist()
             for s, e in slices(lengths_of(texts), AT_ONCE):
-                ids, counts = own.encode(texts.slice(s, e - s))
-                flat = np.r_[left, np.insert(ids, counts.cumsum(), end).astype(np.uint32)]
+                ids, counts = own.encode(texts.slice(s, e - s), end)
+                flat = np.r_[left, ids]
                 ready, begin = [], 0
-                for i, n in zip(docs[s:e], (counts + 1).tolist()):
+                for i, n in zip(docs[s:e], counts.tolist()):
                     at = 0
                     while at < n:
                         take = min(n - at, LIMIT - held)
@@ -203,7 +220,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
     rows = rows.withColumn("h", F.xxhash64("text")).withColumn("p", F.spark_partition_id())
     rows = rows.repartitionByRange("doc_id", "h", "p").sortWithinPartitions("doc_id", "h", "text")
     made = rows.select("doc_id", "text").mapInArrow(_blocks(tokenizer or vocabulary(VOCABULARY), end), f"part long, block long, n_ids long, ids binary, pieces {_PIECES}")
-    coded = made.select("part", "block", "n_ids", F.call_function(coder(spark)["Encode"], "ids").alias("payload"), "pieces")
+    coded = made.select("part", "block", "n_ids", F.call_function(coder(spark)["EncodeShorts"], "ids").alias("payload"), "pieces")
     coded.write.option("compression", "none").parquet(path)
 
 

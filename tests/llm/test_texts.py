@@ -83,6 +83,34 @@ def test_coder_round_trip(spark):
             spark.createDataFrame([(bad,)], "p binary").select(F.call_function(own["Encode"], "p")).collect()
 
 
+def test_ids_of_two_bytes_code_as_those_of_four(spark):
+    rng = np.random.default_rng(2)
+    blocks = [rng.integers(0, 65536, 5000), np.zeros(300, int), np.arange(3000) % 7, rng.zipf(1.4, 40_000) % 50000, np.arange(65536), np.arange(65536)[::-1]]
+    own = token_store.coder(spark)
+    df = spark.createDataFrame([(k, *(bytearray(b.astype(kind).tobytes()) for kind in ("<u2", "<u4"))) for k, b in enumerate(blocks)], "k int, two binary, four binary")
+    rows = df.select("k", F.call_function(own["EncodeShorts"], "two").alias("a"), F.call_function(own["Encode"], "four").alias("b")).orderBy("k").collect()
+    assert all(r["a"] == r["b"] for r in rows)
+    # of the coder's first form, so files stay readable
+    assert [zlib.crc32(rows[k]["b"]) for k in range(len(blocks))] == [4105221348, 4245273498, 1003271605, 3641669653, 3276766145, 2007521846]
+    for bad in (bytearray(), bytearray(3), bytearray(2 * 65537)):
+        with pytest.raises(Exception, match="a block holds"):
+            spark.createDataFrame([(bad,)], "p binary").select(F.call_function(own["EncodeShorts"], "p")).collect()
+
+
+def test_stretches_of_all_kinds_equal_the_library(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = bpe.vocabulary(token_store.VOCABULARY)
+    own, library = token_store.ChunkEncoder(path), Tokenizer.from_file(path)
+    texts = ["", None, "word, Word. WORD word", "a.b don't .. x1, 12 ab' ,a", "İstanbul ΑΣ ΑΣ, Kelvin \u212b", "a\x1cb word", "Übung übung, ß ẞ", "<|endoftext|> <a> a<b"]
+    for more in (texts, ["word, more", "Wörter!"], [None], ["word, more"]):
+        ids, counts = own.encode(pa.array(more, pa.string()), 2)
+        want = [[*library.encode(t or "", add_special_tokens=False).ids, 2] for t in more]
+        assert ids.itemsize == 2 and ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+        monkeypatch.setattr(token_store, "PIECES", 1)  # whatever is forgotten between slices
+
+
 def test_coder_needs_fewer_bytes_than_zlib(spark, data, tmp_path):
     path = f"file://{tmp_path}/tokens"
     token_store.write(spark.read.parquet(f"{data.replace('sf0.001', 'sf0.01')}/documents.parquet").coalesce(1), path)
